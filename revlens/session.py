@@ -56,9 +56,38 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 
 def apply_required_conf(spark: SparkSession) -> None:
-    """Set the settings results depend on, on any session."""
+    """Set the settings results depend on, on any session, and make the
+    library importable by the Python workers."""
     for k, v in REQUIRED_CONF.items():
         spark.conf.set(k, v)
+    ship_library(spark)
+
+
+_SHIPPED: set = set()
+
+
+def ship_library(spark: SparkSession) -> None:
+    """Distribute this package to the executors' Python workers (once per
+    SparkContext) with ``addPyFile``, as a cluster deployment would."""
+    sc = spark.sparkContext
+    key = id(sc._jsc)
+    if key in _SHIPPED:
+        return
+    import zipfile
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg_dir)
+    out_dir = tempfile.mkdtemp(prefix="revlens-pyfiles-")
+    zpath = os.path.join(out_dir, "revlens.zip")
+    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as zf:
+        for dirpath, _dirs, files in os.walk(pkg_dir):
+            if "__pycache__" in dirpath:
+                continue
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    zf.write(full, os.path.relpath(full, root))
+    sc.addPyFile(zpath)
+    _SHIPPED.add(key)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
