@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from revlens import schemas as S
 from revlens.functions.lookups import language_of
 from revlens.functions.text import cap, split_lines, token_estimate
+from revlens.session import spread
 
 # Fixed value: the hunk header pattern of unified diffs.
 HUNK_HEADER_RE = r"^@@ -\d+(?:,\d+)? \+(\d+)(?:,(\d+))? @@"
@@ -48,7 +49,7 @@ def _content(lines: Column, mark: str) -> Column:
 def changed_files(diff_files: DataFrame) -> DataFrame:
     """Parsed changed files (F07 + X01-X04), one row per file with a patch."""
     lines = split_lines(F.col("patch"))
-    return (with_patch(diff_files)
+    return (spread(with_patch(diff_files))
             .withColumn("language", language_of("filename"))
             .withColumn("_lines", lines)
             .withColumn("added_lines", _content(F.col("_lines"), "+"))

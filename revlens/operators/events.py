@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from revlens import schemas as S
 from revlens.functions.text import pr_description, short_sha
+from revlens.session import spread
 
 # --------------------------------------------------------------- F05 signature
 
@@ -117,71 +118,77 @@ def parse_event(df: DataFrame, body: str = "body") -> DataFrame:
     ``schema_error`` (first failing field) and ``event`` (typed struct E with
     defaults, SHAs lower-cased; only meaningful where ``schema_ok``).
 
-    The body is parsed once; two casts of the VARIANT to the payload tree
-    (typed leaves, and raw VARIANT leaves) give every field's value and
-    JSON type without per-field re-parsing.  Numbers and booleans are read
+    The body is parsed once and cast to the payload tree with VARIANT
+    leaves; each leaf is then cast to its type, and its JSON type is read
+    from the leaf, without re-parsing the text.  Numbers and booleans are read
     leniently (numeric strings accepted); text fields must be JSON strings;
     a present optional field of the wrong type is a schema error.
     """
-    out = (df.withColumn("_v", F.try_parse_json(F.col(body)))
-             .withColumn("_t", F.try_variant_get(F.col("_v"), "$", _schema_ddl()))
-             .withColumn("_r", F.try_variant_get(F.col("_v"), "$", _schema_ddl("variant"))))
-    t, r = F.col("_t"), F.col("_r")
+    out = (spread(df).withColumn("_v", F.try_parse_json(F.col(body)))
+           .withColumn("_r", F.try_variant_get(F.col("_v"), "$", _schema_ddl("variant")))
+           .withColumn("_ok", F.col("_v").isNotNull()))
+    r = F.col("_r")
+    leaves = {p: F.try_variant_get(_leaf(r, p), "$", typ) for p, typ, *_ in _REQUIRED + _OPTIONAL}
+    out = out.withColumn("_t", F.struct(*[leaves[p].alias(p.replace(".", "__")) for p in leaves]))
+    t = F.col("_t")
+
+    def _tl(p):
+        return t[p.replace(".", "__")]
     checks = []
     for p, typ in _REQUIRED:
-        ok = _leaf(t, p).isNotNull()
+        ok = _tl(p).isNotNull()
         if typ == "string":
             ok = ok & (F.schema_of_variant(_leaf(r, p)) == "STRING")
         checks.append((p, ok))
     for p, typ, _ in _OPTIONAL:
         raw = _leaf(r, p)
-        checks.append((p, raw.isNull() | F.is_variant_null(raw) | _leaf(t, p).isNotNull()))
+        checks.append((p, raw.isNull() | F.is_variant_null(raw) | _tl(p).isNotNull()))
     for p in ("pull_request.head.sha", "pull_request.base.sha"):
-        checks.append((p, F.length(_leaf(t, p)) >= S.MIN_SHA_LEN))
-    first_error = F.lit(None).cast("string")
-    for p, ok in reversed(checks):
-        first_error = F.when(~F.coalesce(ok, F.lit(False)), F.lit(p)).otherwise(first_error)
+        checks.append((p, F.length(_tl(p)) >= S.MIN_SHA_LEN))
+    # first failing field: a flat array of failures, not a 33-deep CASE
+    first_error = F.try_element_at(F.array_compact(F.array(
+        *[F.when(~F.coalesce(ok, F.lit(False)), F.lit(p)) for p, ok in checks])), F.lit(1))
 
     def opt(p, d):
-        val = _leaf(t, p)
+        val = _tl(p)
         return val if d is None else F.coalesce(val, F.lit(d))
 
     def ref(side):
-        return F.struct(_leaf(t, f"pull_request.{side}.label").alias("label"),
-                        _leaf(t, f"pull_request.{side}.ref").alias("ref"),
-                        F.lower(_leaf(t, f"pull_request.{side}.sha")).alias("sha"))
+        return F.struct(_tl(f"pull_request.{side}.label").alias("label"),
+                        _tl(f"pull_request.{side}.ref").alias("ref"),
+                        F.lower(_tl(f"pull_request.{side}.sha")).alias("sha"))
 
     pr = "pull_request"
     event = F.struct(
-        _leaf(t, "action").alias("action"),
-        _leaf(t, "number").alias("number"),
+        _tl("action").alias("action"),
+        _tl("number").alias("number"),
         F.struct(
-            _leaf(t, f"{pr}.number").alias("number"), _leaf(t, f"{pr}.title").alias("title"),
-            opt(f"{pr}.body", None).alias("body"), _leaf(t, f"{pr}.state").alias("state"),
-            opt(f"{pr}.draft", False).alias("draft"), _leaf(t, f"{pr}.html_url").alias("html_url"),
-            F.struct(_leaf(t, f"{pr}.user.login").alias("login"), _leaf(t, f"{pr}.user.id").alias("id"),
+            _tl(f"{pr}.number").alias("number"), _tl(f"{pr}.title").alias("title"),
+            opt(f"{pr}.body", None).alias("body"), _tl(f"{pr}.state").alias("state"),
+            opt(f"{pr}.draft", False).alias("draft"), _tl(f"{pr}.html_url").alias("html_url"),
+            F.struct(_tl(f"{pr}.user.login").alias("login"), _tl(f"{pr}.user.id").alias("id"),
                      opt(f"{pr}.user.type", "User").alias("type")).alias("user"),
             ref("head").alias("head"), ref("base").alias("base"),
             opt(f"{pr}.additions", 0).alias("additions"), opt(f"{pr}.deletions", 0).alias("deletions"),
             opt(f"{pr}.changed_files", 0).alias("changed_files"),
         ).alias("pull_request"),
         F.struct(
-            _leaf(t, "repository.id").alias("id"), _leaf(t, "repository.name").alias("name"),
-            _leaf(t, "repository.full_name").alias("full_name"),
+            _tl("repository.id").alias("id"), _tl("repository.name").alias("name"),
+            _tl("repository.full_name").alias("full_name"),
             opt("repository.private", False).alias("private"),
-            _leaf(t, "repository.html_url").alias("html_url"),
-            F.struct(_leaf(t, "repository.owner.login").alias("login"),
+            _tl("repository.html_url").alias("html_url"),
+            F.struct(_tl("repository.owner.login").alias("login"),
                      opt("repository.owner.id", 0).alias("id")).alias("owner"),
             opt("repository.default_branch", "main").alias("default_branch"),
         ).alias("repository"),
-        F.struct(_leaf(t, "sender.login").alias("login"), _leaf(t, "sender.id").alias("id"),
+        F.struct(_tl("sender.login").alias("login"), _tl("sender.id").alias("id"),
                  opt("sender.type", "User").alias("type")).alias("sender"),
     )
-    return (out.withColumn("json_ok", F.col("_v").isNotNull())
+    return (out.withColumn("json_ok", F.col("_ok"))
             .withColumn("schema_error", F.when(F.col("json_ok"), first_error))
             .withColumn("schema_ok", F.col("json_ok") & F.col("schema_error").isNull())
             .withColumn("event", event)
-            .drop("_v", "_t", "_r"))
+            .drop("_v", "_ok", "_t", "_r"))
 
 
 # --------------------------------------------------------------- F01-F04 routing

@@ -31,6 +31,7 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
 }
 
 
@@ -110,3 +111,23 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the checkpoint dir for one job's durable outputs."""
     base = checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}"
+
+
+def spread(df, min_partitions: int | None = None):
+    """Spread a narrow input across the cluster before CPU-heavy row-local
+    work (JSON parse, HMAC, diff parsing).
+
+    Only a plan without any shuffle is considered: a scan of large,
+    splittable files already has many partitions and is left alone; a small
+    single-row-group file is one partition and would run on one core, so it
+    is round-robin repartitioned.  A plan that already shuffles is spread by
+    its exchange and returned unchanged (checking it would execute it).
+    """
+    spark = df.sparkSession
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    if "Exchange" in plan:
+        return df
+    target = min_partitions or spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df

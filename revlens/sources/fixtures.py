@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from revlens.session import spread
 from revlens.sources.tables import load_table
 
 TEMPLATES: dict[str, str] = {}
@@ -171,5 +172,5 @@ def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name == "deliveries":
         # row-local, Arrow-batched: one pass, no re-read of the base table
         schema = T.StructType(df.schema.fields + [T.StructField("signature", T.StringType())])
-        df = df.mapInPandas(_sign_batches, schema)
+        df = spread(df).mapInPandas(_sign_batches, schema)
     return df
