@@ -21,7 +21,7 @@ def split_lines(s) -> Column:
     s = _c(s)
     parts = F.split(s, LINE_BREAK_RE, -1)
     n = F.size(parts)
-    last_empty = F.element_at(parts, -1) == F.lit("")
+    last_empty = F.try_element_at(parts, F.lit(-1)) == F.lit("")
     return (F.when(s.isNull(), F.lit(None))
             .when(s == "", F.array().cast("array<string>"))
             .when(last_empty, F.slice(parts, 1, n - 1))

@@ -41,11 +41,12 @@ def upsert(existing: DataFrame, updates: DataFrame, key: str, seq: str | None =
     missing on one side are NULL-filled (``unionByName`` with missing columns).
     """
     cols = existing.columns
-    u = updates.select(*[c for c in cols if c in updates.columns])
-    tagged = (existing.withColumn("_src", F.lit(0)).withColumn("_seq", F.lit(None).cast("string"))
-              .unionByName(u.withColumn("_src", F.lit(1))
-                           .withColumn("_seq", (F.col(seq) if seq else F.lit(None)).cast("string")),
-                           allowMissingColumns=True))
+    u = (updates.withColumn("_seq", F.col(seq) if seq else F.lit(0))
+         .select(*[c for c in cols if c in updates.columns], "_seq")
+         .withColumn("_src", F.lit(1)))
+    e = (existing.withColumn("_seq", F.lit(None).cast(u.schema["_seq"].dataType))
+         .withColumn("_src", F.lit(0)))
+    tagged = e.unionByName(u, allowMissingColumns=True)
     winner = F.max_by(F.struct(*[F.col(c) for c in cols]), F.struct("_src", "_seq"))
     return tagged.groupBy(key).agg(winner.alias("_row")).select("_row.*")
 
