@@ -37,8 +37,14 @@ def routed(spark, sf):
     return E.route(fixture(spark, sf, "deliveries"), TEST_WEBHOOK_SECRET)
 
 
-@register("F04_delivery_disposition", with_fixtures(
-    f"SELECT delivery_id, {_DISPOSITION} FROM deliveries", "deliveries"))
+ORACLE_F04 = with_fixtures(f"SELECT delivery_id, {_DISPOSITION} FROM deliveries", "deliveries")
+ORACLE_DELIVERY_IDS = with_fixtures("SELECT delivery_id FROM deliveries", "deliveries")
+ORACLE_REJECTED = with_fixtures(
+    f"SELECT delivery_id, http_code FROM (SELECT delivery_id, {_DISPOSITION} FROM deliveries) WHERE status = 'rejected'",
+    "deliveries")
+
+
+@register("F04_delivery_disposition", ORACLE_F04)
 def f04(spark, sf):
     return routed(spark, sf).select("delivery_id", "status", "http_code")
 

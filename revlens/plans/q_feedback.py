@@ -38,8 +38,10 @@ def w02(spark, sf):
     return FB.latest_feedback(feedback(spark, sf))
 
 
-@register("J05_apply_feedback", with_fixtures(
-    f"SELECT review_id, repo, accepted FROM {_APPLIED}", "reviews", "feedback"))
+ORACLE_J05 = with_fixtures(f"SELECT review_id, repo, accepted FROM {_APPLIED}", "reviews", "feedback")
+
+
+@register("J05_apply_feedback", ORACLE_J05)
 def j05(spark, sf):
     return FB.apply_feedback(reviews(spark, sf), feedback(spark, sf)).select("review_id", "repo", "accepted")
 

@@ -32,13 +32,16 @@ def conventions(spark, sf):
 
 
 # ---------------------------------------------------------------- A05 (flagship)
-@register("A05_repo_breakdown", with_fixtures(f"""
+ORACLE_A05 = with_fixtures(f"""
 SELECT repo, count(*) AS total_reviews,
        CAST(count_if({NORM_SEV} = 'critical') AS BIGINT) AS critical, CAST(count_if({NORM_SEV} = 'high') AS BIGINT) AS high,
        CAST(count_if({NORM_SEV} = 'medium') AS BIGINT) AS medium, CAST(count_if({NORM_SEV} = 'low') AS BIGINT) AS low,
        CAST(count_if(accepted = 1) AS BIGINT) AS accepted, CAST(count_if(accepted = 0) AS BIGINT) AS rejected,
        {RATE} AS acceptance_rate, {pct(RATE)} AS acceptance_pct
-FROM reviews GROUP BY repo ORDER BY repo""", "reviews"))
+FROM reviews GROUP BY repo ORDER BY repo""", "reviews")
+
+
+@register("A05_repo_breakdown", ORACLE_A05)
 def a05(spark, sf):
     return M.repo_breakdown(reviews(spark, sf))
 
@@ -81,8 +84,11 @@ def _date_text(df):
     return df.withColumn("date", F.date_format("date", "yyyy-MM-dd"))
 
 
-@register("A06_issues_per_day", with_store(
-    "SELECT strftime(date, '%Y-%m-%d') AS date, count(*) AS issues FROM store WHERE date IS NOT NULL GROUP BY date"))
+ORACLE_A06 = with_store(
+    "SELECT strftime(date, '%Y-%m-%d') AS date, count(*) AS issues FROM store WHERE date IS NOT NULL GROUP BY date")
+
+
+@register("A06_issues_per_day", ORACLE_A06)
 def a06(spark, sf):
     return _date_text(M.issues_per_day(store_rows(spark, sf)))
 

@@ -123,6 +123,8 @@ def spread(df, min_partitions: int | None = None):
     is round-robin repartitioned.  A plan that already shuffles is spread by
     its exchange and returned unchanged (checking it would execute it).
     """
+    if df.isStreaming:
+        return df      # a stream is spread by its source's file splits
     spark = df.sparkSession
     plan = df._jdf.queryExecution().executedPlan().toString()
     if "Exchange" in plan:
