@@ -1 +1,117 @@
-"""Registered queries (filled in below)."""
+"""Registered UDF-surface, sequence and generator queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from revlens.catalog import register
+from revlens.functions import udf as U
+from revlens.operators import diffs as D
+from revlens.operators import findings as FD
+from revlens.operators import synth as SY
+from revlens.plans.q_findings import _VALID
+from revlens.plans.q_vectors import x17 as _x17_query  # noqa: F401  (same answer as D01)
+from revlens.sources.fixtures import fixture, with_ctes, with_fixtures
+from revlens.sources.tables import load_table
+
+SEED = "revlens"
+
+
+@register("D01_embed_documents", """
+SELECT doc_id, CAST(i AS INT) AS dim,
+       round(CAST(('0x' || substring(md5(text), 2 * i + 1, 2)) AS INT) / 255.0, 6) AS value
+FROM documents, range(8) t(i)""")
+def d01(spark, sf):
+    docs = U.embed_column(load_table(spark, sf, "documents"), "text")
+    return (docs.select("doc_id", F.posexplode("embedding").alias("dim", "value"))
+            .select("doc_id", "dim", F.round("value", 6).alias("value")))
+
+
+@register("W03_embed_batch_index", """
+SELECT doc_id, CAST((row_number() OVER (ORDER BY doc_id) - 1) // 100 AS BIGINT) AS batch_no FROM documents""")
+def w03(spark, sf):
+    return U.batch_index(load_table(spark, sf, "documents").select("doc_id"), "doc_id").select("doc_id", "batch_no")
+
+
+def _prompts(spark, sf):
+    cf = D.changed_files(fixture(spark, sf, "diff_files"))
+    return cf.select("repo", "pr_number", "filename", "language", "added_lines",
+                     F.substring("patch", 1, 4000).alias("patch"))
+
+
+@register("D03_model_enrichment", with_fixtures("""
+SELECT repo, pr_number, filename,
+       CAST(len(list_filter(added, lambda x: ltrim(x) LIKE 'def %' OR ltrim(x) LIKE 'function %' OR trim(x) = '')) AS INT) AS n_comments,
+       len(list_filter(added, lambda x: ltrim(x) LIKE 'def %' OR ltrim(x) LIKE 'function %' OR trim(x) = '')) > 0 AS has_issues
+FROM (SELECT repo, pr_number, filename,
+             list_transform(list_filter(string_split(patch, chr(10)), lambda x: starts_with(x, '+') AND NOT starts_with(x, '+++') AND length(x) > 1),
+                            lambda x: substring(x, 2)) AS added
+      FROM diff_files WHERE coalesce(patch, '') <> '')""", "diff_files"))
+def d03(spark, sf):
+    out = U.enrich(_prompts(spark, sf), ["repo", "pr_number", "filename"])
+    return out.select("repo", "pr_number", "filename", F.size("comments").alias("n_comments"), "has_issues")
+
+
+def flaky_summarizer_factory():
+    """A stand-in summariser that fails on PRs with critical findings, so the
+    fallback path (A14/A15) is exercised."""
+    def summarize(text):
+        if "[CRITICAL]" in text:
+            raise RuntimeError("model unavailable")
+        verdict = "needs_changes" if "[HIGH]" in text else "approved"
+        return {"overall_verdict": verdict, "summary": f"Reviewed: {verdict}."}
+    return summarize
+
+
+@register("D04_summary_with_fallback")
+def d04(spark, sf):
+    valid = FD.split_valid(fixture(spark, sf, "findings"))[0]
+    reviews = FD.file_reviews(valid)
+    texts = FD.findings_text(reviews)
+    summaries = U.summarize(texts, FD.PR_KEYS, flaky_summarizer_factory, retry_sleep=lambda s: None)
+    return U.with_fallback(summaries, FD.pr_rollup(reviews), FD.PR_KEYS)
+
+
+_G01_CTES = [
+    ("vf", f"SELECT * FROM findings WHERE {_VALID}"),
+    ("params", "SELECT count(*) AS n FROM documents"),
+    ("crit", f"""SELECT finding_id, category, issue, suggestion, 'CRITICAL' AS severity, 'c' || finding_id AS pick_key FROM (
+        SELECT *, row_number() OVER (ORDER BY md5('{SEED}:c:' || finding_id), finding_id) - 1 AS r FROM vf WHERE severity = 'critical')
+        WHERE r < (SELECT n // 10 FROM params)"""),
+    ("warn", f"""SELECT finding_id, category, issue, suggestion, 'WARNING' AS severity, 'w' || finding_id AS pick_key FROM (
+        SELECT *, row_number() OVER (ORDER BY md5('{SEED}:w:' || finding_id), finding_id) - 1 AS r FROM vf WHERE severity = 'high')
+        WHERE r < (SELECT n // 5 FROM params)"""),
+    ("spool", "SELECT *, row_number() OVER (ORDER BY finding_id) - 1 AS pidx FROM vf WHERE severity NOT IN ('critical', 'high')"),
+    ("draws", f"""SELECT j, CAST(('0x' || substring(md5('{SEED}:s:' || j), 1, 12)) AS BIGINT) % (SELECT count(*) FROM spool) AS pidx
+        FROM (SELECT unnest(range(n - n // 10 - n // 5)) AS j FROM params)"""),
+    ("sugg", "SELECT p.finding_id, p.category, p.issue, p.suggestion, 'SUGGESTION' AS severity, 's' || d.j AS pick_key FROM draws d JOIN spool p USING (pidx)"),
+    ("picks", "SELECT * FROM crit UNION ALL SELECT * FROM warn UNION ALL SELECT * FROM sugg"),
+    ("ordered", f"SELECT *, row_number() OVER (ORDER BY md5('{SEED}:order:' || pick_key)) - 1 AS i FROM picks"),
+    ("ids", "SELECT unnest(range(n)) AS id FROM params"),
+    ("acc", f"""SELECT id AS i, CAST((row_number() OVER (ORDER BY md5('{SEED}:a:' || id), id) - 1) < (SELECT n * 7 // 10 FROM params) AS INT) AS accepted FROM ids"""),
+    ("stamps", f"""SELECT row_number() OVER (ORDER BY ts, id) - 1 AS i, ts FROM (
+        SELECT id, (SELECT max(ts) FROM events) - to_seconds(CAST(('0x' || substring(md5('{SEED}:t:' || id), 1, 12)) AS BIGINT) % {SY.SPREAD_SECONDS}) AS ts FROM ids)"""),
+    ("rlist", "SELECT repo, row_number() OVER (ORDER BY repo) - 1 AS ridx FROM (SELECT DISTINCT source AS repo FROM documents)"),
+    ("rr", f"""SELECT id AS i, (row_number() OVER (ORDER BY md5('{SEED}:r:' || id), id) - 1) % (SELECT count(*) FROM rlist) AS ridx FROM ids"""),
+]
+
+
+@register("G01_synthetic_reviews", with_ctes("""
+SELECT o.i, o.pick_key, o.finding_id, o.severity, o.category, o.issue AS comment, o.suggestion AS code_snippet,
+       l.repo, a.accepted, strftime(s.ts, '%Y-%m-%dT%H:%M:%S.%f') AS ts
+FROM ordered o JOIN acc a USING (i) JOIN stamps s USING (i) JOIN rr USING (i) JOIN rlist l USING (ridx)""",
+    ["findings"], _G01_CTES))
+def g01(spark, sf):
+    valid = FD.split_valid(fixture(spark, sf, "findings"))[0]
+    n = load_table(spark, sf, "documents").count()
+    base = load_table(spark, sf, "events").agg(F.max("ts")).first()[0]
+    repos = load_table(spark, sf, "documents").select(F.col("source").alias("repo"))
+    out = SY.synthetic_reviews(valid, repos, n, base, seed=SEED)
+    return out.withColumn("ts", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+
+
+@register("G01_mix_check", with_ctes("""
+SELECT o.severity, a.accepted, count(*) AS n FROM ordered o JOIN acc a USING (i) GROUP BY ALL""",
+    ["findings"], _G01_CTES))
+def g01m(spark, sf):
+    return g01(spark, sf).groupBy("severity", "accepted").agg(F.count(F.lit(1)).alias("n"))

@@ -174,3 +174,9 @@ def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         schema = T.StructType(df.schema.fields + [T.StructField("signature", T.StringType())])
         df = spread(df).mapInPandas(_sign_batches, schema)
     return df
+
+
+def with_ctes(sql: str, fixtures: list[str], extra: list[tuple[str, str]]) -> str:
+    """Oracle query with derived tables and further named CTEs."""
+    parts = [f"{n} AS ({duckdb_sql(n)})" for n in fixtures] + [f"{n} AS ({q})" for n, q in extra]
+    return "WITH " + ",\n".join(parts) + "\n" + sql
