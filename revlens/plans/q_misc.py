@@ -115,3 +115,70 @@ SELECT o.severity, a.accepted, count(*) AS n FROM ordered o JOIN acc a USING (i)
     ["findings"], _G01_CTES))
 def g01m(spark, sf):
     return g01(spark, sf).groupBy("severity", "accepted").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ----------------------------------------------------------------- S01, F16, F20, A21, X20
+
+from revlens.plans.q_events import _DISPOSITION  # noqa: E402,F401
+
+
+@register("S01_delivery_source", with_fixtures("""
+SELECT delivery_id, event_name, strftime(received_ts, '%Y-%m-%dT%H:%M:%S.%f') AS received_ts,
+       CAST(length(body) AS INT) AS body_chars FROM deliveries""", "deliveries"))
+def s01(spark, sf):
+    d = fixture(spark, sf, "deliveries")
+    return d.select("delivery_id", "event_name", F.date_format("received_ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("received_ts"),
+                    F.length("body").alias("body_chars"))
+
+
+def fault_injecting_reviewer_factory():
+    """The rule reviewer, failing for every file of PRs whose number is a
+    multiple of 7 (fault injection to exercise F20 / T07)."""
+    base = U.rule_reviewer_factory()
+
+    def review(prompt):
+        if int(prompt["pr_number"]) % 7 == 0:
+            raise TimeoutError("model timed out")
+        return base(prompt)
+    return review
+
+
+def _enriched(spark, sf):
+    return U.enrich(_prompts(spark, sf), ["repo", "pr_number", "filename"], fault_injecting_reviewer_factory,
+                    retry_sleep=lambda s: None)
+
+
+@register("F16_file_review_validation", with_fixtures("""
+SELECT repo, pr_number, filename, pr_number % 7 <> 0 AS valid FROM diff_files WHERE coalesce(patch, '') <> ''""",
+    "diff_files"))
+def f16(spark, sf):
+    e = _enriched(spark, sf)
+    ok = F.col("filename").isNotNull() & F.col("summary").isNotNull() & F.col("has_issues").isNotNull()
+    return e.select("repo", "pr_number", "filename", F.coalesce(ok, F.lit(False)).alias("valid"))
+
+
+@register("F20_all_files_failed", with_fixtures("""
+SELECT DISTINCT repo, pr_number FROM diff_files WHERE coalesce(patch, '') <> '' AND pr_number % 7 = 0""",
+    "diff_files"))
+def f20(spark, sf):
+    e = _enriched(spark, sf)
+    prs = e.select("repo", "pr_number").distinct()
+    return FD.all_files_failed(prs, e.filter(F.col("error").isNull()))
+
+
+@register("A21_load_counters", with_fixtures("""
+SELECT count(*) AS read, CAST(count_if(trim(coalesce(rule, '')) = '') AS BIGINT) AS skipped,
+       CAST(count_if(trim(coalesce(rule, '')) <> '') AS BIGINT) AS written FROM conventions""", "conventions"))
+def a21(spark, sf):
+    from revlens.sources.conventions_yaml import load_counters
+    return load_counters(fixture(spark, sf, "conventions"))
+
+
+@register("X20_notification_payloads")
+def x20(spark, sf):
+    from revlens.operators.outputs import notification_payloads, notification_rows
+    valid = FD.split_valid(fixture(spark, sf, "findings"))[0]
+    rows = notification_rows(FD.severity_counts_per_pr(valid)).withColumn(
+        "pr_url", F.concat(F.lit("https://example.invalid/"), F.col("repo"), F.lit("/pull/"), F.col("pr_number").cast("string"))
+    ).withColumn("pr_title", F.concat(F.lit("PR "), F.col("pr_number").cast("string")))
+    return notification_payloads(rows)
