@@ -34,6 +34,8 @@ HEADLINE = [
     "F05_signature_check",
     "A14_A15_A18_J08_pr_rollup",
     "J05_apply_feedback",
+    "J07_X27_file_context",
+    "P01_P05_function_facts",
 ]
 
 
