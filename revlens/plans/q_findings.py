@@ -71,11 +71,7 @@ SELECT repo, pr_number, filename, CAST(n AS INT) AS n_comments,
        CASE WHEN any_critical THEN 'REQUEST_CHANGES' ELSE 'COMMENT' END AS review_event
 FROM {_FR}""", "findings"))
 def a11(spark, sf):
-    r = reviews(spark, sf)
-    return r.select(*FD.FILE_KEYS, F.size("comments").alias("n_comments"),
-                    FD.worst_severity_label(F.col("comments")).alias("stored_severity"),
-                    FD.first_category(F.col("comments")).alias("stored_category"),
-                    FD.review_event(F.col("comments")).alias("review_event"))
+    return FD.file_rollup(valid_findings(spark, sf))
 
 
 @register("A11_pr_worst_severity", with_fixtures(f"""

@@ -39,9 +39,9 @@ def t05(spark, sf):
 
 @register("T06_incremental_feedback", q_feedback.ORACLE_J05)
 def t06(spark, sf):
-    path = J.incremental_feedback(spark, fixture(spark, sf, "reviews"),
+    base = J.incremental_feedback(spark, fixture(spark, sf, "reviews"),
                                   J.feedback_stream(spark, table_path(sf, "events")))
-    return sinks.read_table(spark, path).select("review_id", "repo", "accepted")
+    return J.current_reviews(spark, base).select("review_id", "repo", "accepted")
 
 
 @register("T07_dead_letters", q_events.ORACLE_REJECTED)

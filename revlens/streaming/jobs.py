@@ -176,33 +176,47 @@ def incremental_feedback(spark: SparkSession, reviews: DataFrame, feedback: Data
                          base: str | None = None) -> str:
     """Fold feedback into the review table batch by batch.
 
-    The latest mark per review is state kept as a versioned table (merged by
-    (ts, feedback_id), so an out-of-order batch cannot override a newer mark);
-    each epoch writes state version ``epoch`` and the review table version
-    ``epoch`` = reviews with the state applied.
+    Each micro-batch costs O(batch): its latest mark per review (with ts and
+    feedback id) is written to the feedback log as folder ``_e=<epoch>``
+    (a replayed epoch rewrites its own folder).  The current table is the
+    base snapshot with the latest mark over the whole log applied
+    (``current_reviews``; ``max_by`` over (ts, feedback id), so a late,
+    older mark cannot override a newer one); ``compact`` folds the log into
+    a new base version.  Returns the job folder.
     """
     base = base or run_dir(spark, "feedback")
-    sinks.write_version(reviews, f"{base}/reviews")
-    state_base = f"{base}/state"
-
-    def merge(batch: DataFrame, epoch_id: int):
-        sp = batch.sparkSession
-        prev = sinks.read_table(sp, state_base)
-        rows = batch.select("feedback_id", "review_id", "accepted", "ts")
-        if prev is not None:
-            rows = prev.unionByName(rows)
-        state = (rows.groupBy("review_id")
-                 .agg(F.max_by(F.struct("accepted", "ts", "feedback_id"), F.struct("ts", "feedback_id")).alias("s"))
-                 .select("review_id", "s.accepted", "s.ts", "s.feedback_id"))
-        state.write.mode("overwrite").parquet(f"{state_base}/_v={epoch_id}")
-        fresh = sp.read.parquet(f"{state_base}/_v={epoch_id}")
-        # the base table (version 0) with every mark so far applied
-        FB.apply_feedback(sp.read.parquet(f"{base}/reviews/_v=0"), fresh) \
-            .write.mode("overwrite").parquet(f"{base}/reviews/_v={epoch_id + 1}")
-
-    run_available_now(feedback.writeStream.foreachBatch(merge)
+    if sinks.latest_path(spark, f"{base}/reviews") is None:
+        sinks.write_version(reviews, f"{base}/reviews")
+
+    def append(batch: DataFrame, epoch_id: int):
+        latest = (batch.groupBy("review_id")
+                  .agg(F.max_by(F.struct("accepted", "ts", "feedback_id"), F.struct("ts", "feedback_id")).alias("s"))
+                  .select("review_id", "s.accepted", "s.ts", "s.feedback_id"))
+        latest.write.mode("overwrite").parquet(f"{base}/log/_e={epoch_id}")
+
+    run_available_now(feedback.writeStream.foreachBatch(append)
                       .option("checkpointLocation", f"{base}/_checkpoint"))
-    return f"{base}/reviews"
+    return base
+
+
+def feedback_log(spark: SparkSession, base: str) -> DataFrame | None:
+    fs, p = sinks._fs(spark, f"{base}/log")
+    if not fs.exists(p):
+        return None
+    return spark.read.parquet(f"{base}/log")
+
+
+def current_reviews(spark: SparkSession, base: str) -> DataFrame:
+    """The review table as of the last processed epoch (merge on read)."""
+    reviews = sinks.read_table(spark, f"{base}/reviews")
+    log = feedback_log(spark, base)
+    return reviews if log is None else FB.apply_feedback(reviews, log.select("review_id", "accepted", "ts", "feedback_id"))
+
+
+def compact(spark: SparkSession, base: str) -> str:
+    """Write the current table as a new base version (a batch job to run off
+    the stream's path; the log is kept, re-applying it is idempotent)."""
+    return sinks.write_version(current_reviews(spark, base), f"{base}/reviews")
 
 
 def bench_streaming_upsert(spark: SparkSession, sf_dir: str) -> float:
