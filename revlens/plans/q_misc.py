@@ -63,7 +63,21 @@ def flaky_summarizer_factory():
     return summarize
 
 
-@register("D04_summary_with_fallback")
+def _d04_oracle():
+    from revlens.plans.q_findings import _ROLLUP, _X26
+    return with_fixtures(f"""
+SELECT r.repo, r.pr_number,
+       CASE WHEN contains(t.findings_text, '[CRITICAL]') THEN CASE WHEN r.any_issues THEN 'needs_changes' ELSE 'approved' END
+            WHEN contains(t.findings_text, '[HIGH]') THEN 'needs_changes' ELSE 'approved' END AS verdict,
+       CASE WHEN contains(t.findings_text, '[CRITICAL]') THEN r.fallback_summary
+            ELSE 'Reviewed: ' || CASE WHEN contains(t.findings_text, '[HIGH]') THEN 'needs_changes' ELSE 'approved' END || '.' END AS summary_body,
+       contains(t.findings_text, '[CRITICAL]') AS used_fallback, r.files_reviewed
+FROM {_ROLLUP} r JOIN (
+  SELECT repo, pr_number, substring(string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY filename), 1, 12000) AS findings_text
+  FROM {_X26} GROUP BY repo, pr_number) t USING (repo, pr_number)""", "findings")
+
+
+@register("D04_summary_with_fallback", _d04_oracle())
 def d04(spark, sf):
     valid = FD.split_valid(fixture(spark, sf, "findings"))[0]
     reviews = FD.file_reviews(valid)
@@ -174,11 +188,35 @@ def a21(spark, sf):
     return load_counters(fixture(spark, sf, "conventions"))
 
 
-@register("X20_notification_payloads")
+def _x20_oracle():
+    from revlens.plans.q_findings import _COUNTS
+    from revlens import schemas as S
+    return with_fixtures(f"""
+SELECT repo, pr_number,
+       CASE WHEN critical > 0 THEN '#FF4444' WHEN high > 0 THEN '#FFB800' ELSE '#36A64F' END AS color,
+       '{S.PRODUCT} reviewed ' || repo || ': ' || critical || ' critical, ' || high || ' high, ' || medium || ' medium, ' || low || ' low findings.' AS fallback,
+       CASE WHEN critical > 0 THEN '🚨 *CRITICAL ISSUES* — immediate action required'
+            WHEN high > 0 THEN '⚠️ *NEEDS CHANGES* — high-priority issues found'
+            ELSE '✅ *APPROVED* — no critical or high issues' END AS verdict_text,
+       '📊 *Total findings:*' || chr(10) || (critical + high + medium + low + info) AS total_field,
+       CASE WHEN critical = 0 AND high = 0 THEN 'primary' ELSE 'danger' END AS style,
+       'https://example.invalid/' || repo || '/pull/' || pr_number AS url,
+       '*Repository:* `' || repo || '`' || chr(10) || '*PR:* <https://example.invalid/' || repo || '/pull/' || pr_number || '|PR ' || pr_number || '>' AS header_text
+FROM {_COUNTS}""", "findings")
+
+
+@register("X20_notification_payloads", _x20_oracle())
 def x20(spark, sf):
+    """The JSON payload is built with to_json and read back field by field."""
     from revlens.operators.outputs import notification_payloads, notification_rows
     valid = FD.split_valid(fixture(spark, sf, "findings"))[0]
     rows = notification_rows(FD.severity_counts_per_pr(valid)).withColumn(
         "pr_url", F.concat(F.lit("https://example.invalid/"), F.col("repo"), F.lit("/pull/"), F.col("pr_number").cast("string"))
     ).withColumn("pr_title", F.concat(F.lit("PR "), F.col("pr_number").cast("string")))
-    return notification_payloads(rows)
+    p = notification_payloads(rows)
+    j = lambda path: F.get_json_object("payload", path)
+    return p.select("repo", "pr_number", j("$.attachments[0].color").alias("color"),
+                    j("$.attachments[0].fallback").alias("fallback"), j("$.blocks[2].text.text").alias("verdict_text"),
+                    j("$.blocks[2].fields[5].text").alias("total_field"),
+                    j("$.actions[0].elements[0].style").alias("style"), j("$.actions[0].elements[0].url").alias("url"),
+                    j("$.blocks[1].text.text").alias("header_text"))
