@@ -31,7 +31,7 @@ def register(name: str, oracle: str | None = None):
 def _load_all():
     # importing the modules registers their queries
     from revlens.plans import (q_metrics, q_diffs, q_vectors, q_events,  # noqa: F401
-                               q_findings, q_feedback, q_misc, q_streaming, q_codefacts, q_context)
+                               q_findings, q_feedback, q_misc, q_streaming, q_codefacts, q_context, q_flow)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
