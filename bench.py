@@ -68,8 +68,17 @@ def main() -> None:
     except ImportError:
         pass
     total = round(sum(out.values()), 3)
+    # end to end: deliveries -> routed -> parsed files -> context -> model -> stored review rows (one run)
+    flow = {}
+    if os.environ.get("BENCH_FLOW", "1") == "1" and "S12_stored_reviews_from_deliveries" in qs:
+        t0 = time.perf_counter()
+        df = qs["S12_stored_reviews_from_deliveries"](spark, SF_DIR)
+        df.write.format("noop").mode("overwrite").save()
+        sec = time.perf_counter() - t0
+        files = spark.read.parquet(f"{SF_DIR}/part.parquet").count()
+        flow = {"sec": round(sec, 3), "diff_files_in": files}
     print(json.dumps({"metric": "headline_total_sec", "value": total, "unit": "sec", "queries": out,
-                      "sf": _sf(SF_DIR), "cpus": CPUS, "runs": RUNS}))
+                      "sf": _sf(SF_DIR), "cpus": CPUS, "runs": RUNS, "end_to_end_review_flow": flow}))
     spark.stop()
 
 
