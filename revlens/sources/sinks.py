@@ -72,3 +72,23 @@ def write_outbox(df: DataFrame, base: str, keys: list[str]) -> str:
     """Outbox rows (S16-S19) keyed by ``keys``: deduplicated on the key so a
     re-run batch cannot emit a payload twice, then written as a version."""
     return write_version(df.dropDuplicates(keys), base)
+
+
+def write_review_store(reviews, base: str, ts_col: str = "ts", vec_col: str | None = "embedding") -> str:
+    """The review store layout: partitioned by event date (a day's reviews are
+    appended as new partitions; date filters prune whole folders), clustered
+    by repository inside each file (repo-scoped reads skip row groups by
+    min/max statistics), vector norms stored beside the vectors.
+
+    High-cardinality repositories are deliberately not partition folders.
+    """
+    from pyspark.sql import functions as F
+    df = reviews.withColumn("date", F.to_date(F.col(ts_col)))
+    if vec_col and vec_col in reviews.columns:
+        df = df.withColumn("norm", F.sqrt(F.aggregate(F.col(vec_col), F.lit(0.0),
+                                                      lambda acc, x: acc + x.cast("double") * x.cast("double"))))
+    # range-partition on (date, repo, id): a hot day or a hot repository is
+    # spread over several writer tasks instead of one
+    key = [c for c in ("date", "repo", "review_id") if c in df.columns]
+    df = df.repartitionByRange(*key).sortWithinPartitions(*key)
+    return write_version(df, base, partition_by=["date"])

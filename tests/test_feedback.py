@@ -63,3 +63,17 @@ def test_versioned_table_roundtrip(spark, tmp_path):
     sinks.write_version(FB.upsert(df, spark.createDataFrame([(1, "b")], "id long, v string"), "id"), base)
     assert sinks.table_versions(spark, base) == [0, 1]
     assert sinks.read_table(spark, base).first().v == "b"
+
+
+def test_review_store_layout_prunes_dates(spark, tmp_path):
+    from conftest import SF001
+    from revlens.sources.fixtures import fixture
+    base = str(tmp_path / "store")
+    path = sinks.write_review_store(fixture(spark, SF001, "reviews").filter("ts IS NOT NULL"), base, vec_col=None)
+    df = spark.read.parquet(path)
+    one_day = df.filter(F.col("date") == "2024-01-02").filter(F.col("repo") == "src1")
+    plan = one_day._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(date" in plan and "2024-01-02" in plan
+    assert "EqualTo(repo,src1)" in plan
+    assert one_day.count() == fixture(spark, SF001, "reviews").filter(
+        (F.to_date("ts") == "2024-01-02") & (F.col("repo") == "src1")).count()
