@@ -10,7 +10,6 @@ from revlens.operators import diffs as D
 from revlens.operators import findings as FD
 from revlens.operators import synth as SY
 from revlens.plans.q_findings import _VALID
-from revlens.plans.q_vectors import x17 as _x17_query  # noqa: F401  (same answer as D01)
 from revlens.sources.fixtures import fixture, with_ctes, with_fixtures
 from revlens.sources.tables import load_table
 
@@ -133,7 +132,6 @@ def g01m(spark, sf):
 
 # ----------------------------------------------------------------- S01, F16, F20, A21, X20
 
-from revlens.plans.q_events import _DISPOSITION  # noqa: E402,F401
 
 
 @register("S01_delivery_source", with_fixtures("""
