@@ -12,7 +12,7 @@ import sys
 
 HEADLINE = ["A05_repo_breakdown", "F04_delivery_disposition", "X05_changed_files", "J01_similar_reviews_scoped",
             "J03_relevant_conventions", "J04_functions_in_hunks", "J05_apply_feedback", "S09_get_filtered",
-            "A14_A15_A18_J08_pr_rollup"]
+            "A14_A15_A18_J08_pr_rollup", "P01_P05_function_facts", "A17_findings_text"]
 
 
 def plan_text(df, mode: str = "simple") -> str:
