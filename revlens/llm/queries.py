@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from revlens.llm import sql
 
@@ -11,12 +12,43 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_pivot_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors with cosine 0.93 or more within their label."""
+    from revlens.llm.pivot_index import near_vectors
+    return near_vectors(_read(spark, sf_dir, "embeddings"))
+
+
+def op2_relative_lz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words left of each document without the windows of 50 words that smaller ids hold."""
+    from revlens.llm.relative_lz import substring_dedup
+    return (substring_dedup(_read(spark, sf_dir, "documents"))
+            .select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")))
+
+
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 5-word shingle sets have Jaccard similarity 0.75 or more."""
     from revlens.llm.ngram_jaccard import jaccard_join
     return jaccard_join(_read(spark, sf_dir, "documents"))
 
 
+def op5_dp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 2048 tokens."""
+    from revlens.llm.packing import pack
+    return pack(_read(spark, sf_dir, "documents"))
+
+
+def op6_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of each document along a Hilbert curve over language, source and length."""
+    from revlens.llm.hilbert import curve_shards
+    return curve_shards(_read(spark, sf_dir, "documents"), ["lang", "source", "n_chars"])
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of all pages as read back from the written archives."""
+    from revlens.llm.warc import round_trip
+    return round_trip(_read(spark, sf_dir, "pages"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2:3].isdigit()}
 
