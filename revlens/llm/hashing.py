@@ -51,15 +51,43 @@ class Words:
     first: np.ndarray
 
 
-def split_words(body: np.ndarray, off: np.ndarray, lower: bool = False) -> Words:
+def _byte_prefix(body, up):
+    prefix = np.zeros(len(body) + 1, U)
+    np.cumsum((body.astype(U) + U(1)) * up[:len(body)], out=prefix[1:])
+    return prefix
+
+
+def _byte_hash(prefix, down, start, end):
+    h = (prefix[end] - prefix[start]) * down[start]
+    return mix(h + (end - start).astype(U) * U(0xA24BAED4963EE407))
+
+
+def word_starts(body: np.ndarray, w: Words, size: int) -> np.ndarray:
+    """Hash of the first ``size`` bytes of each word (of the whole word if shorter)."""
+    if len(body) == 0:
+        return np.zeros(0, U)
+    up, down = _powers(_BYTE_BASE, len(body) + 1)
+    return _byte_hash(_byte_prefix(body, up), down, w.start, np.minimum(w.end, w.start + size))
+
+
+def lower_ascii(body: np.ndarray) -> np.ndarray:
+    return np.where((body >= 65) & (body <= 90), body + np.uint8(32), body)
+
+
+def split_words(body: np.ndarray, off: np.ndarray, lower: bool = False, letters: bool = False) -> Words:
+    """Words of a slice; with ``letters`` all ASCII but letters and digits parts them too."""
     n_docs = len(off) - 1
     if lower:
-        body = np.where((body >= 65) & (body <= 90), body + np.uint8(32), body)
+        body = lower_ascii(body)
     n = len(body)
     if n == 0:
         z = np.zeros(0, np.int64)
         return Words(z, z, z, np.zeros(0, U), np.zeros(n_docs + 1, np.int64))
-    word = ~((body == 32) | ((body >= 9) & (body <= 13)))
+    if letters:
+        low = body | np.uint8(32)
+        word = (body >= 128) | ((low >= 97) & (low <= 122)) | ((body >= 48) & (body <= 57))
+    else:
+        word = ~((body == 32) | ((body >= 9) & (body <= 13)))
     edge = np.unique(off)
     before = np.empty(n, bool)
     before[0] = False
@@ -72,10 +100,7 @@ def split_words(body: np.ndarray, off: np.ndarray, lower: bool = False) -> Words
     start = np.flatnonzero(word & ~before)
     end = np.flatnonzero(word & ~after) + 1
     up, down = _powers(_BYTE_BASE, n + 1)
-    prefix = np.zeros(n + 1, U)
-    np.cumsum((body.astype(U) + U(1)) * up[:n], out=prefix[1:])
-    h = (prefix[end] - prefix[start]) * down[start]
-    h = mix(h + (end - start).astype(U) * U(0xA24BAED4963EE407))
+    h = _byte_hash(_byte_prefix(body, up), down, start, end)
     doc = np.searchsorted(off, start, "right") - 1
     first = np.searchsorted(start, off)
     return Words(start, end, doc, h, first)

@@ -31,6 +31,12 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(_read(spark, sf_dir, "documents"))
 
 
+def op4_factorization_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of all documents, learnt from the labels outside the held-out third."""
+    from revlens.llm.toxicity import toxicity
+    return toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op5_dp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 2048 tokens."""
     from revlens.llm.packing import pack
