@@ -27,14 +27,25 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the shared folder.
+    """Cut lineage with a table written in the shared folder.
 
     Used where a small derived table is read more than once, and where a join
     must see a plain exchange on both sides so that adaptive execution can
-    split a skewed partition.
+    split a skewed partition.  A written table also has sizes of its own: those
+    of a checkpoint are estimates carried through all joins before it, whose
+    products grow without bound in a loop.
     """
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = scratch(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop(df: DataFrame) -> None:
+    """Delete the files of a table made by :func:`cut` that nothing reads any more."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
 
 
 def scratch(spark: SparkSession, name: str) -> str:

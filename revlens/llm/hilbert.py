@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from revlens.llm.common import cut
+from revlens.llm.common import shared_dir
 
 
 def hilbert_index(steps: np.ndarray, bits: int) -> np.ndarray:
@@ -92,7 +92,8 @@ def curve_shards(docs: DataFrame, dims: list[str], shards: int = 16, bits: int =
         _index_udf(bounds, bits)(*[_ordered(docs, d) for d in dims]).alias("curve"))
     order = ["curve", "text_crc32", "doc_id", "size"]
     # the checkpoint fixes partitions and order, which the positions rest on
-    rows = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order))
+    shared_dir(docs.sparkSession)
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).checkpoint(eager=True)
     rows = rows.withColumn("at", F.monotonically_increasing_id())
     part, place = F.shiftright("at", 33), F.col("at").bitwiseAND((1 << 33) - 1)
     counts = sorted(rows.groupBy(part.alias("part")).count().collect())  # one number for each partition
