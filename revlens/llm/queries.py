@@ -49,6 +49,12 @@ def op6_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curve_shards(_read(spark, sf_dir, "documents"), ["lang", "source", "n_chars"])
 
 
+def op9_latent_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold an item of the benchmark, by pair."""
+    from revlens.llm.latent_search import contamination
+    return contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of all pages as read back from the written archives."""
     from revlens.llm.warc import round_trip
