@@ -49,6 +49,13 @@ def op6_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curve_shards(_read(spark, sf_dir, "documents"), ["lang", "source", "n_chars"])
 
 
+def op7_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of all documents, with the digest of the masked text."""
+    from revlens.llm.secret_forest import scan, train
+    docs = _read(spark, sf_dir, "documents")
+    return scan(docs, train(docs))
+
+
 def op9_latent_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold an item of the benchmark, by pair."""
     from revlens.llm.latent_search import contamination
