@@ -56,6 +56,12 @@ def op7_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(docs, train(docs))
 
 
+def op8_site_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    from revlens.llm.site_tree import extract
+    return extract(_read(spark, sf_dir, "pages"))
+
+
 def op9_latent_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold an item of the benchmark, by pair."""
     from revlens.llm.latent_search import contamination
