@@ -342,7 +342,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     stood = meta.select("doc_id", "d1", "d2").join(shared, "doc_id").groupBy("d1", "d2").agg(F.max("shared").alias("shared"))
     left = cut(reps.join(cut(stood), ["d1", "d2"])
                .where(f"seen - shared <= n - ceil(n * {num} / {den})").select("rep", "d1", "d2"))
-    sets = cut(base.join(left, base.doc_id == left.rep).select("doc_id", "text", "d1", "d2")
+    # by merge at any size: a broadcast of the remaining ids is bounded only by their number
+    sets = cut(base.join(left.hint("merge"), base.doc_id == left.rep).select("doc_id", "text", "d1", "d2")
                .mapInArrow(_set_rows(size), _SETS))
     links = _verified(sets, _candidate_groups(sets, num, den), num, den)
     found = components(links)
