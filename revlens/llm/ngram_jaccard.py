@@ -46,6 +46,8 @@ from revlens.llm.components import components
 COLUMN_SHARE = 100
 #: N-grams in a column block, n-grams that a map task holds, documents in a row block, columns in a chunk.
 BLOCK_ENTRIES, CHUNK_ENTRIES, ROW_BLOCK, COLUMN_CHUNK = 1_500_000, 1_000_000, 512, 4096
+#: Column blocks at least, so that a document's counts come from about as many blocks at any size.
+LEAST_BLOCKS = 64
 
 _META = "doc_id long, n_shingles long, d1 long, d2 long"
 _SETS = "doc_id long, n long, grams binary"
@@ -333,7 +335,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     reps = cut(meta.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2")
                .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("seen").alias("seen")))
     total = reps.agg(F.sum("seen")).first()[0] or 0
-    blocks = min(0xFFFF, max(1, -(-total // BLOCK_ENTRIES)))
+    blocks = min(0xFFFF, max(LEAST_BLOCKS, -(-total // BLOCK_ENTRIES)))
     shared = (base.mapInArrow(_column_blocks(size, blocks, COLUMN_SHARE),
                               "block int, keys binary, place binary, ids binary, adds binary")
               .groupBy("block").applyInArrow(_column_counts, "doc_id long, shared long")
