@@ -173,7 +173,7 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                .select("anchor", "doc_id", "text_key", "start", "windows", F.coalesce("same", F.lit(True)).alias("same")))
     edges = (hits.where("not same").groupBy("doc_id", "text_key")
              .agg(F.collect_list(F.struct("start", "windows", "anchor")).alias("spans")))
-    single = cut(edges.join(base, ["doc_id", "text_key"]).select("doc_id", "text_key", "spans", "text")
+    single = cut(base.join(edges.hint("merge"), ["doc_id", "text_key"]).select("doc_id", "text_key", "spans", "text")
                  .mapInArrow(_windows(window), _WINDOWS))
     known = cut(single.groupBy("anchor", "word_run").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
                 .where("first < last").select("anchor", "word_run", "first"))
@@ -188,5 +188,5 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spans = (duplicate_spans(docs, id_col, text_col, window, gram).groupBy("doc_id", "text_key")
              .agg(F.collect_list(F.struct("start", "windows")).alias("spans")))
     base = _base(docs, id_col, text_col)
-    return (base.join(spans, ["doc_id", "text_key"], "left").select("doc_id", "spans", "text")
+    return (base.join(spans.hint("merge"), ["doc_id", "text_key"], "left").select("doc_id", "spans", "text")
             .mapInArrow(_cut_words(window), "doc_id long, n_words long, n_removed long, kept string"))
