@@ -58,9 +58,9 @@ def changed_files(diff_files: DataFrame) -> DataFrame:
             .drop("_lines"))
 
 
-def review_input(changed: DataFrame) -> DataFrame:
-    """The capped patch and its token estimate for the model input."""
-    patch = cap(F.col("patch"), S.MAX_PATCH_CHARS)
+def review_input(changed: DataFrame, max_chars: int | None = None) -> DataFrame:
+    """The patch (capped where asked) and its token estimate for the model input."""
+    patch = F.col("patch") if max_chars is None else cap(F.col("patch"), max_chars)
     return (changed.withColumn("patch_text", patch)
             .withColumn("patch_tokens", token_estimate(patch)))
 

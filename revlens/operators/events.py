@@ -113,6 +113,32 @@ def _leaf(struct_col: Column, path: str) -> Column:
     return c
 
 
+# fixed values: words that stand for a boolean
+_TRUE_WORDS = ("true", "t", "yes", "y", "on", "1")
+_FALSE_WORDS = ("false", "f", "no", "n", "off", "0")
+
+
+def _value(raw: Column, typ: str) -> Column:
+    """A JSON leaf as a type, NULL where it cannot be one."""
+    plain = F.try_variant_get(raw, "$", typ)
+    if typ != "boolean":
+        return plain
+    word = F.lower(F.try_variant_get(raw, "$", "string"))
+    return F.when(F.schema_of_variant(raw) == "STRING", F.when(word.isin(*_TRUE_WORDS), F.lit(True))
+                  .when(word.isin(*_FALSE_WORDS), F.lit(False))).otherwise(plain)
+
+
+def _fits(raw: Column, typ: str) -> Column:
+    """Whether a JSON leaf may be read as a type."""
+    kind = F.schema_of_variant(raw)
+    if typ == "string":
+        return kind == "STRING"
+    number = F.try_variant_get(raw, "$", "double")
+    if typ == "boolean":
+        return F.when(kind.isin("BOOLEAN", "STRING"), F.lit(True)).otherwise(F.coalesce(number.isin(0.0, 1.0), F.lit(False)))
+    return F.coalesce(number == F.floor(number), F.lit(False))
+
+
 def parse_event(df: DataFrame, body: str = "body") -> DataFrame:
     """Adds ``json_ok`` (body is JSON), ``schema_ok`` (validates),
     ``schema_error`` (first failing field) and ``event`` (typed struct E with
@@ -120,15 +146,16 @@ def parse_event(df: DataFrame, body: str = "body") -> DataFrame:
 
     The body is parsed once and cast to the payload tree with VARIANT
     leaves; each leaf is then cast to its type, and its JSON type is read
-    from the leaf, without re-parsing the text.  Numbers and booleans are read
-    leniently (numeric strings accepted); text fields must be JSON strings;
-    a present optional field of the wrong type is a schema error.
+    from the leaf, without re-parsing the text.  Whole numbers and numeric
+    strings are integers, true / false, 0 / 1 and the usual words are booleans,
+    text fields must be JSON strings; anything else present is a schema error,
+    and null is allowed for the body only.
     """
     out = (spread(df).withColumn("_v", F.try_parse_json(F.col(body)))
            .withColumn("_r", F.try_variant_get(F.col("_v"), "$", _schema_ddl("variant")))
            .withColumn("_ok", F.col("_v").isNotNull()))
     r = F.col("_r")
-    leaves = {p: F.try_variant_get(_leaf(r, p), "$", typ) for p, typ, *_ in _REQUIRED + _OPTIONAL}
+    leaves = {p: _value(_leaf(r, p), typ) for p, typ, *_ in _REQUIRED + _OPTIONAL}
     out = out.withColumn("_t", F.struct(*[leaves[p].alias(p.replace(".", "__")) for p in leaves]))
     t = F.col("_t")
 
@@ -136,13 +163,12 @@ def parse_event(df: DataFrame, body: str = "body") -> DataFrame:
         return t[p.replace(".", "__")]
     checks = []
     for p, typ in _REQUIRED:
-        ok = _tl(p).isNotNull()
-        if typ == "string":
-            ok = ok & (F.schema_of_variant(_leaf(r, p)) == "STRING")
-        checks.append((p, ok))
-    for p, typ, _ in _OPTIONAL:
+        checks.append((p, _tl(p).isNotNull() & _fits(_leaf(r, p), typ)))
+    for p, typ, default in _OPTIONAL:
         raw = _leaf(r, p)
-        checks.append((p, raw.isNull() | F.is_variant_null(raw) | _tl(p).isNotNull()))
+        ok = _tl(p).isNotNull() & _fits(raw, typ)
+        # a field without a default may be null; the others may only be absent
+        checks.append((p, raw.isNull() | ok | (F.is_variant_null(raw) if default is None else F.lit(False))))
     for p in ("pull_request.head.sha", "pull_request.base.sha"):
         checks.append((p, F.length(_tl(p)) >= S.MIN_SHA_LEN))
     # first failing field: a flat array of failures, not a 33-deep CASE
@@ -237,8 +263,9 @@ def route(deliveries: DataFrame, secret: str | None, event_col: str = "event_nam
             .withColumn("reason", reason))
 
 
-def pr_context(routed: DataFrame) -> DataFrame:
-    """PR context (flattened event) for queued deliveries, with X08 and X30."""
+def pr_context(routed: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """PR context (flattened event) for queued deliveries, with X08 and X30;
+    ``keep`` names columns of the delivery to carry along."""
     e = "event"
     q = routed.filter(F.col("status") == "queued")
     return q.select(
@@ -262,6 +289,7 @@ def pr_context(routed: DataFrame) -> DataFrame:
         F.col(f"{e}.pull_request.changed_files").alias("changed_files"),
         F.col(f"{e}.action").alias("action"),
         F.col(f"{e}.sender.login").alias("sender"),
+        *keep,
     )
 
 

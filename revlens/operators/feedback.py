@@ -37,18 +37,19 @@ def unknown_feedback(feedback: DataFrame, reviews: DataFrame, key: str = "review
 def upsert(existing: DataFrame, updates: DataFrame, key: str, seq: str | None = None) -> DataFrame:
     """Rows of ``updates`` replace rows of ``existing`` with the same key.
 
-    Among several updates of one key the greatest ``seq`` wins.  Columns
-    missing on one side are NULL-filled (``unionByName`` with missing columns).
+    Columns that ``updates`` does not have keep their stored values (NULL for
+    a new key).  Among several updates of one key the greatest ``seq`` wins,
+    then the greatest row, so the result does not depend on the order of rows.
     """
-    cols = existing.columns
-    u = (updates.withColumn("_seq", F.col(seq) if seq else F.lit(0))
-         .select(*[c for c in cols if c in updates.columns], "_seq")
-         .withColumn("_src", F.lit(1)))
-    e = (existing.withColumn("_seq", F.lit(None).cast(u.schema["_seq"].dataType))
-         .withColumn("_src", F.lit(0)))
-    tagged = e.unionByName(u, allowMissingColumns=True)
-    winner = F.max_by(F.struct(*[F.col(c) for c in cols]), F.struct("_src", "_seq"))
-    return tagged.groupBy(key).agg(winner.alias("_row")).select("_row.*")
+    carried = [c for c in existing.columns if c in updates.columns and c != key]
+    kept = [c for c in existing.columns if c not in carried and c != key]
+    order = F.struct(*([F.col(seq)] if seq else []), F.xxhash64(*updates.columns))
+    u = updates.groupBy(key).agg(F.max_by(F.struct(F.lit(True).alias("_new"), *carried), order).alias("_u"))
+    j = existing.withColumnsRenamed({c: f"_e_{c}" for c in existing.columns if c != key}).join(u, key, "full")
+    new = F.col("_u._new").isNotNull()
+    return j.select(*[F.col(key) if c == key else
+                      F.when(new, F.col(f"_u.{c}")).otherwise(F.col(f"_e_{c}")).alias(c) if c in carried else
+                      F.col(f"_e_{c}").alias(c) for c in existing.columns])
 
 
 def fill_timestamp(ts: str = "timestamp") -> Column:

@@ -100,13 +100,12 @@ def kpis(reviews: DataFrame, approx: bool = False) -> DataFrame:
 def filter_choices(reviews: DataFrame, fields=("repo", "severity", "category")) -> DataFrame:
     """Sorted distinct non-null values per field, with 'All' first.
 
-    One row per (field, value); the distinct step is a shuffle on
-    (field, value) and the order a distributed range sort, never a collect.
+    One row per (field, value), all fields from one scan; the distinct step is
+    a shuffle on (field, value) and the order a distributed range sort, never
+    a collect.
     """
-    stacked = None
-    for f in fields:
-        part = reviews.select(F.lit(f).alias("field"), F.col(f).cast("string").alias("value"))
-        stacked = part if stacked is None else stacked.unionByName(part)
+    stacked = reviews.select(F.inline(F.array(*[
+        F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields])))
     values = stacked.filter(F.col("value").isNotNull()).distinct().withColumn("is_all", F.lit(False))
     alls = reviews.sparkSession.createDataFrame([(f, ALL, True) for f in fields],
                                                 "field string, value string, is_all boolean")
@@ -129,10 +128,14 @@ def showing_counts(reviews: DataFrame, repo: str = ALL, severity: str = ALL,
 
 
 def history_rows(reviews: DataFrame, **filters) -> DataFrame:
-    """F11/F12 + X11: the filtered history table with status labels."""
+    """F11/F12 + X11: the filtered history table with status labels; filters
+    see whole texts, the shown comment is cut."""
+    from revlens import schemas as S
     from revlens.functions.lookups import history_status
+    from revlens.functions.text import cap
     return (history_filter(reviews, **filters)
-            .select("review_id", "repo", "file", "severity", "category", "timestamp", "comment",
+            .select("review_id", "repo", "file", "severity", "category", "timestamp",
+                    cap("comment", S.LIST_COMMENT_CHARS).alias("comment"),
                     history_status("accepted").alias("status")))
 
 

@@ -26,6 +26,10 @@ _FR = f"""(SELECT repo, pr_number, filename, count(*) AS n,
         min(CASE severity WHEN 'critical' THEN 1 WHEN 'high' THEN 2 WHEN 'medium' THEN 3 WHEN 'low' THEN 4 WHEN 'info' THEN 5 END) AS worst,
         bool_or(severity = 'critical') AS any_critical
    FROM {_VF} GROUP BY repo, pr_number, filename)"""
+# all reviewed files, clean ones included
+_FRC = f"""(SELECT f.repo, f.pr_number, f.filename, count(v.pos) AS n,
+        f.filename || ': ' || count(v.pos) || ' finding(s).' AS summary
+   FROM reviewed_files f LEFT JOIN {_VF} v USING (repo, pr_number, filename) GROUP BY f.repo, f.pr_number, f.filename)"""
 _FIX_MD = f"CASE WHEN coalesce(code_fix, '') <> '' THEN '```' || {NL} || code_fix || {NL} || '```' END"
 _X26_ITEM = (f"'- [' || upper(severity) || '] line ' || line || ' (' || category || '): ' || issue || {NL} || "
              f"'  Suggestion: ' || suggestion || CASE WHEN coalesce(code_fix, '') <> '' THEN {NL} || '  Fix: `' || code_fix || '`' ELSE '' END")
@@ -42,6 +46,15 @@ def reviews(spark, sf):
     return FD.file_reviews(valid_findings(spark, sf))
 
 
+def all_reviews(spark, sf):
+    """File reviews of all reviewed files, clean ones included."""
+    return FD.with_clean_files(reviews(spark, sf), fixture(spark, sf, "reviewed_files"))
+
+
+def all_counts(spark, sf):
+    return FD.severity_counts_per_pr(valid_findings(spark, sf), fixture(spark, sf, "reviewed_files"))
+
+
 @register("F15_finding_validation", with_fixtures("""
 SELECT finding_id, coalesce(line >= 1, false) AND coalesce(severity IN ('critical','high','medium','low','info'), false)
          AND coalesce(category IN ('security','bug','logic','style','performance','test_coverage'), false)
@@ -94,15 +107,15 @@ def o01(spark, sf):
 
 
 @register("X25_file_comment_markdown", with_fixtures(f"""
-SELECT f.repo, f.pr_number, f.filename,
-       concat_ws({NL}, '## 🤖 {P} — `' || f.filename || '`', '', r.summary, '',
-                 string_agg(concat_ws({NL}, '**' || {_ICON} || ' Line ' || line || '** `[' || upper(severity) || ']` `' || category || '`',
-                                      '> ' || issue, '**Suggestion:** ' || suggestion, {_FIX_MD}, ''), {NL} ORDER BY line, pos),
+SELECT r.repo, r.pr_number, r.filename,
+       concat_ws({NL}, '## 🤖 {P} — `' || r.filename || '`', '', r.summary, '',
+                 CASE WHEN r.n = 0 THEN '✅ No issues found in this file.' ELSE string_agg(concat_ws({NL}, '**' || {_ICON} || ' Line ' || line || '** `[' || upper(severity) || ']` `' || category || '`',
+                                      '> ' || issue, '**Suggestion:** ' || suggestion, {_FIX_MD}, ''), {NL} ORDER BY line, pos) END,
                  '---', '*Generated by {P}. Not a substitute for human review.*') AS body
-FROM {_VF} f JOIN {_FR} r USING (repo, pr_number, filename)
-GROUP BY f.repo, f.pr_number, f.filename, r.summary""", "findings"))
+FROM {_FRC} r LEFT JOIN {_VF} f USING (repo, pr_number, filename)
+GROUP BY r.repo, r.pr_number, r.filename, r.summary, r.n""", "findings", "reviewed_files"))
 def x25(spark, sf):
-    r = reviews(spark, sf)
+    r = all_reviews(spark, sf)
     return r.select(*FD.FILE_KEYS, FD.file_comment_markdown(r).alias("body"))
 
 
@@ -130,6 +143,11 @@ _COUNTS = f"""(SELECT repo, pr_number,
    CAST(count_if(severity = 'medium') AS BIGINT) AS medium, CAST(count_if(severity = 'low') AS BIGINT) AS low,
    CAST(count_if(severity = 'info') AS BIGINT) AS info
  FROM {_VF} GROUP BY repo, pr_number)"""
+_COUNTS_ALL = f"""(SELECT p.repo, p.pr_number,
+   CAST(count_if(severity = 'critical') AS BIGINT) AS critical, CAST(count_if(severity = 'high') AS BIGINT) AS high,
+   CAST(count_if(severity = 'medium') AS BIGINT) AS medium, CAST(count_if(severity = 'low') AS BIGINT) AS low,
+   CAST(count_if(severity = 'info') AS BIGINT) AS info
+ FROM (SELECT DISTINCT repo, pr_number FROM reviewed_files) p LEFT JOIN {_VF} v USING (repo, pr_number) GROUP BY p.repo, p.pr_number)"""
 _TABLE = f"""CASE WHEN greatest(critical, high, medium, low, info) > 0 THEN concat_ws({NL}, '| Severity | Count |', '|----------|-------|',
    CASE WHEN critical > 0 THEN '| 🚨 Critical | ' || critical || ' |' END, CASE WHEN high > 0 THEN '| ❗ High | ' || high || ' |' END,
    CASE WHEN medium > 0 THEN '| ⚠️ Medium | ' || medium || ' |' END, CASE WHEN low > 0 THEN '| 💡 Low | ' || low || ' |' END,
@@ -149,46 +167,54 @@ _ROLLUP = f"""(SELECT repo, pr_number, count(*) AS files_reviewed, CAST(sum(n) A
               string_agg('- **' || filename || '** — ' || summary || ' (' || CASE WHEN n > 0 THEN n || ' issue(s)' ELSE 'no issues' END || ')', {NL} ORDER BY filename),
               {NL} || '---' || {NL} || '*Generated by {P}.*') AS fallback_summary
   FROM {_FR} GROUP BY repo, pr_number)"""
+_ROLLUP_ALL = _ROLLUP.replace(_FR, _FRC)
 
 
 @register("A14_A15_A18_J08_pr_rollup", with_fixtures(f"""
 SELECT repo, pr_number, files_reviewed, total_issues, any_issues,
        CASE WHEN any_issues THEN 'needs_changes' ELSE 'approved' END AS fallback_verdict,
        CASE WHEN any_issues THEN '⚠️ NEEDS CHANGES' ELSE '✅ APPROVED' END AS verdict_display,
-       fallback_summary FROM {_ROLLUP}""", "findings"))
+       fallback_summary FROM {_ROLLUP_ALL}""", "findings", "reviewed_files"))
 def a14(spark, sf):
-    p = FD.pr_rollup(reviews(spark, sf))
+    p = FD.pr_rollup(all_reviews(spark, sf))
     return p.select(*FD.PR_KEYS, "files_reviewed", "total_issues", "any_issues", "fallback_verdict",
                     verdict_display("fallback_verdict").alias("verdict_display"), "fallback_summary")
 
 
 @register("A17_findings_text", with_fixtures(f"""
-SELECT repo, pr_number, substring(string_agg(text, {NL} || {NL} || '---' || {NL} || {NL} ORDER BY filename), 1, 12000) AS findings_text
+SELECT repo, pr_number, string_agg(text, {NL} || {NL} || '---' || {NL} || {NL} ORDER BY filename) AS findings_text
 FROM {_X26} GROUP BY repo, pr_number""", "findings"))
 def a17(spark, sf):
     return FD.findings_text(reviews(spark, sf))
 
 
+@register("A17_findings_text_budget", with_fixtures(f"""
+SELECT repo, pr_number, substring(string_agg(text, {NL} || {NL} || '---' || {NL} || {NL} ORDER BY filename), 1, 1500) AS findings_text
+FROM {_X26} GROUP BY repo, pr_number""", "findings"))
+def a17_budget(spark, sf):
+    """With a caller's own budget of characters."""
+    return FD.findings_text(reviews(spark, sf), max_chars=1500)
+
+
 @register("S17_pr_summary_outbox", with_fixtures(f"""
 SELECT c.repo, c.pr_number, concat_ws({NL} || {NL}, {_TABLE}, r.fallback_summary) AS body
-FROM {_COUNTS} c JOIN {_ROLLUP} r USING (repo, pr_number)""", "findings"))
+FROM {_COUNTS_ALL} c JOIN {_ROLLUP_ALL} r USING (repo, pr_number)""", "findings", "reviewed_files"))
 def s17(spark, sf):
     from revlens.operators.outputs import pr_summary_rows
-    r = reviews(spark, sf)
-    return pr_summary_rows(FD.severity_counts_per_pr(valid_findings(spark, sf)), FD.pr_rollup(r))
+    return pr_summary_rows(all_counts(spark, sf), FD.pr_rollup(all_reviews(spark, sf)))
 
 
 @register("S18_file_comment_outbox", with_fixtures(f"""
-SELECT f.repo, f.pr_number, f.filename, 'COMMENT' AS event,
-       md5(concat_ws({NL}, '## 🤖 {P} — `' || f.filename || '`', '', r.summary, '',
-                 string_agg(concat_ws({NL}, '**' || {_ICON} || ' Line ' || line || '** `[' || upper(severity) || ']` `' || category || '`',
-                                      '> ' || issue, '**Suggestion:** ' || suggestion, {_FIX_MD}, ''), {NL} ORDER BY line, pos),
+SELECT r.repo, r.pr_number, r.filename, 'COMMENT' AS event,
+       md5(concat_ws({NL}, '## 🤖 {P} — `' || r.filename || '`', '', r.summary, '',
+                 CASE WHEN r.n = 0 THEN '✅ No issues found in this file.' ELSE string_agg(concat_ws({NL}, '**' || {_ICON} || ' Line ' || line || '** `[' || upper(severity) || ']` `' || category || '`',
+                                      '> ' || issue, '**Suggestion:** ' || suggestion, {_FIX_MD}, ''), {NL} ORDER BY line, pos) END,
                  '---', '*Generated by {P}. Not a substitute for human review.*')) AS body_md5
-FROM {_VF} f JOIN {_FR} r USING (repo, pr_number, filename)
-GROUP BY f.repo, f.pr_number, f.filename, r.summary""", "findings"))
+FROM {_FRC} r LEFT JOIN {_VF} f USING (repo, pr_number, filename)
+GROUP BY r.repo, r.pr_number, r.filename, r.summary, r.n""", "findings", "reviewed_files"))
 def s18(spark, sf):
     from revlens.operators.outputs import file_comment_rows
-    rows = file_comment_rows(reviews(spark, sf))
+    rows = file_comment_rows(all_reviews(spark, sf))
     return rows.select(*FD.FILE_KEYS, "event", F.md5("body").alias("body_md5"))
 
 
@@ -201,10 +227,10 @@ SELECT repo, pr_number, critical, high, medium, low, info,
        critical + high + medium + low + info AS total,
        CASE WHEN critical = 0 AND high = 0 THEN 'primary' ELSE 'danger' END AS button_style,
        '{P} reviewed ' || repo || ': ' || critical || ' critical, ' || high || ' high, ' || medium || ' medium, ' || low || ' low findings.' AS fallback
-FROM {_COUNTS}""", "findings"))
+FROM {_COUNTS_ALL}""", "findings", "reviewed_files"))
 def a16(spark, sf):
     from revlens.operators.outputs import notification_rows
-    n = notification_rows(FD.severity_counts_per_pr(valid_findings(spark, sf)))
+    n = notification_rows(all_counts(spark, sf))
     return n.select(*FD.PR_KEYS, *S.SEVERITY_ORDER, "colour", "verdict_text", "total", "button_style", "fallback")
 
 

@@ -161,9 +161,10 @@ def a24t(spark, sf):
 
 # ---------------------------------------------------------------- store scans
 @register("S07_load_reviews", with_store(
-    "SELECT * REPLACE (strftime(date, '%Y-%m-%d') AS date) FROM store"))
+    "SELECT * REPLACE (strftime(date, '%Y-%m-%d') AS date, substring(comment, 1, 200) AS comment, "
+    "substring(snippet, 1, 100) AS snippet) FROM store"))
 def s07(spark, sf):
-    return _date_text(store_rows(spark, sf))
+    return _date_text(store.list_view(store_rows(spark, sf)))
 
 
 @register("S08_load_conventions", with_fixtures(_CONV_VIEW, "conventions"))
@@ -216,14 +217,14 @@ _HIST_STATUS = ("CASE accepted WHEN 1 THEN '✅ Accepted' WHEN 0 THEN '❌ Rejec
 
 
 @register("F11_history_filters", with_store(f"""
-SELECT review_id, repo, file, severity, category, timestamp, comment, {_HIST_STATUS} AS status
+SELECT review_id, repo, file, severity, category, timestamp, substring(comment, 1, 200) AS comment, {_HIST_STATUS} AS status
 FROM store WHERE repo = '{REPO}' AND severity = '{SEVERITY}' AND category = '{CATEGORY}'"""))
 def f11(spark, sf):
     return M.history_rows(store_rows(spark, sf), repo=REPO, severity=SEVERITY, category=CATEGORY)
 
 
 @register("F12_comment_search", with_store(f"""
-SELECT review_id, repo, file, severity, category, timestamp, comment, {_HIST_STATUS} AS status
+SELECT review_id, repo, file, severity, category, timestamp, substring(comment, 1, 200) AS comment, {_HIST_STATUS} AS status
 FROM store WHERE regexp_matches(comment, '{SEARCH.strip()}', 'i')"""))
 def f12(spark, sf):
     return M.history_rows(store_rows(spark, sf), search=SEARCH)

@@ -35,7 +35,7 @@ def w03(spark, sf):
 def _prompts(spark, sf):
     cf = D.changed_files(fixture(spark, sf, "diff_files"))
     return cf.select("repo", "pr_number", "filename", "language", "added_lines",
-                     F.substring("patch", 1, 4000).alias("patch"))
+                     "patch")
 
 
 @register("D03_model_enrichment", with_fixtures("""
@@ -72,7 +72,7 @@ SELECT r.repo, r.pr_number,
             ELSE 'Reviewed: ' || CASE WHEN contains(t.findings_text, '[HIGH]') THEN 'needs_changes' ELSE 'approved' END || '.' END AS summary_body,
        contains(t.findings_text, '[CRITICAL]') AS used_fallback, r.files_reviewed
 FROM {_ROLLUP} r JOIN (
-  SELECT repo, pr_number, substring(string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY filename), 1, 12000) AS findings_text
+  SELECT repo, pr_number, string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY filename) AS findings_text
   FROM {_X26} GROUP BY repo, pr_number) t USING (repo, pr_number)""", "findings")
 
 
@@ -187,7 +187,7 @@ def a21(spark, sf):
 
 
 def _x20_oracle():
-    from revlens.plans.q_findings import _COUNTS
+    from revlens.plans.q_findings import _COUNTS_ALL
     from revlens import schemas as S
     return with_fixtures(f"""
 SELECT repo, pr_number,
@@ -196,11 +196,11 @@ SELECT repo, pr_number,
        CASE WHEN critical > 0 THEN '🚨 *CRITICAL ISSUES* — immediate action required'
             WHEN high > 0 THEN '⚠️ *NEEDS CHANGES* — high-priority issues found'
             ELSE '✅ *APPROVED* — no critical or high issues' END AS verdict_text,
-       '📊 *Total findings:*' || chr(10) || (critical + high + medium + low + info) AS total_field,
+       'divider' AS third_block, '📊 *Total findings:*' || chr(10) || (critical + high + medium + low + info) AS total_field,
        CASE WHEN critical = 0 AND high = 0 THEN 'primary' ELSE 'danger' END AS style,
        'https://example.invalid/' || repo || '/pull/' || pr_number AS url,
        '*Repository:* `' || repo || '`' || chr(10) || '*PR:* <https://example.invalid/' || repo || '/pull/' || pr_number || '|PR ' || pr_number || '>' AS header_text
-FROM {_COUNTS}""", "findings")
+FROM {_COUNTS_ALL}""", "findings", "reviewed_files")
 
 
 @register("X20_notification_payloads", _x20_oracle())
@@ -208,13 +208,14 @@ def x20(spark, sf):
     """The JSON payload is built with to_json and read back field by field."""
     from revlens.operators.outputs import notification_payloads, notification_rows
     valid = FD.split_valid(fixture(spark, sf, "findings"))[0]
-    rows = notification_rows(FD.severity_counts_per_pr(valid)).withColumn(
+    prs = fixture(spark, sf, "reviewed_files")
+    rows = notification_rows(FD.severity_counts_per_pr(valid, prs)).withColumn(
         "pr_url", F.concat(F.lit("https://example.invalid/"), F.col("repo"), F.lit("/pull/"), F.col("pr_number").cast("string"))
     ).withColumn("pr_title", F.concat(F.lit("PR "), F.col("pr_number").cast("string")))
     p = notification_payloads(rows)
     j = lambda path: F.get_json_object("payload", path)
     return p.select("repo", "pr_number", j("$.attachments[0].color").alias("color"),
-                    j("$.attachments[0].fallback").alias("fallback"), j("$.blocks[2].text.text").alias("verdict_text"),
-                    j("$.blocks[2].fields[5].text").alias("total_field"),
-                    j("$.actions[0].elements[0].style").alias("style"), j("$.actions[0].elements[0].url").alias("url"),
+                    j("$.attachments[0].fallback").alias("fallback"), j("$.blocks[3].text.text").alias("verdict_text"),
+                    j("$.blocks[2].type").alias("third_block"), j("$.blocks[4].fields[5].text").alias("total_field"),
+                    j("$.blocks[5].elements[0].style").alias("style"), j("$.blocks[5].elements[0].url").alias("url"),
                     j("$.blocks[1].text.text").alias("header_text"))

@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 from revlens.catalog import register
 from revlens.plans import q_events, q_feedback, q_metrics
 from revlens.sources import sinks
-from revlens.sources.fixtures import fixture
+from revlens.sources.fixtures import TEST_WEBHOOK_SECRET, fixture
 from revlens.sources.tables import table_path
 from revlens.streaming import jobs as J
 
 
 @register("T01_T02_stream_routing", q_events.ORACLE_F04)
 def t01(spark, sf):
-    path = J.ingest_and_route(spark, table_path(sf, "events"))
+    path = J.ingest_and_route(spark, table_path(sf, "events"), TEST_WEBHOOK_SECRET)
     return spark.read.parquet(path).select("delivery_id", "status", "http_code")
 
 
@@ -46,5 +46,5 @@ def t06(spark, sf):
 
 @register("T07_dead_letters", q_events.ORACLE_REJECTED)
 def t07(spark, sf):
-    _ok, dead = J.route_with_dead_letters(spark, table_path(sf, "events"))
+    _ok, dead = J.route_with_dead_letters(spark, table_path(sf, "events"), TEST_WEBHOOK_SECRET)
     return spark.read.parquet(dead).select("delivery_id", "http_code")

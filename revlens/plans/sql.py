@@ -26,8 +26,7 @@ STORE_VIEW = f"""store AS (
   SELECT review_id, coalesce(repo, '') AS repo, coalesce(file, '') AS file,
          coalesce(severity, 'WARNING') AS severity, coalesce(category, 'general') AS category,
          coalesce(CAST(accepted AS INT), -1) AS accepted, {ISO_TS} AS timestamp,
-         substring(coalesce(comment, ''), 1, 200) AS comment,
-         substring(coalesce(code_snippet, ''), 1, 100) AS snippet,
+         coalesce(comment, '') AS comment, coalesce(code_snippet, '') AS snippet,
          CAST(TRY_CAST({ISO_TS} AS TIMESTAMP) AS DATE) AS date
   FROM reviews)"""
 

@@ -32,7 +32,7 @@ SELECT d.doc_id AS review_id, d.source AS repo,
        CASE d.doc_id % 10 WHEN 0 THEN 'CRITICAL' WHEN 1 THEN 'WARNING' WHEN 2 THEN 'WARNING' ELSE 'SUGGESTION' END AS severity,
        CASE d.doc_id % 6 WHEN 0 THEN 'security' WHEN 1 THEN 'bug' WHEN 2 THEN 'logic' WHEN 3 THEN 'style' WHEN 4 THEN 'performance' ELSE 'test_coverage' END AS category,
        coalesce(l.quality, -1) AS accepted, e.ts AS ts,
-       substring(d.text, 1, 1000) AS comment, substring(d.text, 1, 2000) AS code_snippet
+       d.text AS comment, d.text AS code_snippet
 FROM {documents} d
 LEFT JOIN {labels} l ON l.doc_id = d.doc_id
 LEFT JOIN {events} e ON e.event_id = d.doc_id
@@ -48,7 +48,7 @@ FROM {benchmark} b JOIN {embeddings} e ON e.vec_id = b.item_id
 """
 
 TEMPLATES["review_vectors"] = """
-SELECT vec_id AS review_id, concat('repo', label) AS repo, embedding, vec_id % 25 = 0 AS is_query,
+SELECT vec_id AS review_id, concat('repo', label) AS repo, embedding,
        CASE vec_id % 4 WHEN 0 THEN 'python' WHEN 1 THEN 'javascript' WHEN 2 THEN 'unknown' ELSE '' END AS language
 FROM {embeddings}
 """
@@ -109,6 +109,14 @@ SELECT o_orderkey AS finding_id, o_custkey AS pr_number, n_name AS repo,
 FROM {orders} JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey
 """
 
+TEMPLATES["reviewed_files"] = """
+SELECT n_name AS repo, c_custkey AS pr_number, 'f0.py' AS filename
+FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey
+UNION
+SELECT n_name, o_custkey, concat('f', o_orderkey % 4, '.py')
+FROM {orders} JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey
+"""
+
 TEMPLATES["feedback"] = """
 SELECT event_id AS feedback_id, CASE WHEN event_id % 10 = 0 THEN -event_id ELSE event_id % 200 END AS review_id,
        CASE WHEN event_type = 'view' THEN 0 ELSE 1 END AS accepted, ts

@@ -68,10 +68,35 @@ def table_base(spark: SparkSession, name: str) -> str:
     return scratch_path(spark, f"tables/{name}")
 
 
-def write_outbox(df: DataFrame, base: str, keys: list[str]) -> str:
-    """Outbox rows (S16-S19) keyed by ``keys``: deduplicated on the key so a
-    re-run batch cannot emit a payload twice, then written as a version."""
-    return write_version(df.dropDuplicates(keys), base)
+def write_outbox(df: DataFrame, base: str, keys: list[str], batch: str | int) -> str:
+    """Outbox rows (S16-S19) keyed by ``keys``, appended as batch ``batch``.
+
+    Keys that another batch already holds are left out, and a batch that runs
+    again rewrites its own folder, so no payload is emitted twice and none of
+    an earlier batch is lost.
+    """
+    spark = df.sparkSession
+    path = f"{base.rstrip('/')}/_batch={batch}"
+    rows = df.dropDuplicates(keys)
+    others = [p for p in _batches(spark, base) if p.rstrip("/").rsplit("/", 1)[-1] != f"_batch={batch}"]
+    if others:
+        rows = rows.join(spark.read.parquet(*others).select(*keys), keys, "left_anti").select(df.columns)
+    rows.write.mode("overwrite").parquet(path)
+    return path
+
+
+def _batches(spark: SparkSession, base: str) -> list[str]:
+    fs, p = _fs(spark, base)
+    if not fs.exists(p):
+        return []
+    found = [st.getPath() for st in fs.listStatus(p) if st.getPath().getName().startswith("_batch=")]
+    return [x.toString() for x in found if fs.exists(x.suffix("/_SUCCESS"))]
+
+
+def read_outbox(spark: SparkSession, base: str) -> DataFrame | None:
+    """All complete batches of an outbox."""
+    paths = _batches(spark, base)
+    return spark.read.parquet(*paths) if paths else None
 
 
 def write_review_store(reviews, base: str, ts_col: str = "ts", vec_col: str | None = "embedding") -> str:

@@ -21,7 +21,7 @@ def with_timestamp_text(reviews: DataFrame) -> DataFrame:
 
 
 def load_reviews(reviews: DataFrame) -> DataFrame:
-    """Full scan with defaults, comment[:200], snippet[:100], derived date."""
+    """Full scan with defaults, whole texts and the derived date (see ``list_view`` for display)."""
     r = with_timestamp_text(reviews)
     return r.select(
         "review_id",
@@ -31,12 +31,18 @@ def load_reviews(reviews: DataFrame) -> DataFrame:
         F.coalesce("category", F.lit("general")).alias("category"),
         F.coalesce(F.col("accepted").cast("int"), F.lit(S.UNRATED)).alias("accepted"),
         F.col("timestamp"),
-        cap(F.coalesce("comment", F.lit("")), S.LIST_COMMENT_CHARS).alias("comment"),
-        cap(F.coalesce("code_snippet", F.lit("")), S.LIST_SNIPPET_CHARS).alias("snippet"),
+        F.coalesce("comment", F.lit("")).alias("comment"),
+        F.coalesce("code_snippet", F.lit("")).alias("snippet"),
         iso_to_date("timestamp").alias("date"),
     )
 
 
+def list_view(loaded: DataFrame) -> DataFrame:
+    """S07 for display: comment[:200] and snippet[:100], after all filters."""
+    return loaded.withColumns({"comment": cap("comment", S.LIST_COMMENT_CHARS),
+                               "snippet": cap("snippet", S.LIST_SNIPPET_CHARS)})
+
+
 def load_conventions(conventions: DataFrame) -> DataFrame:
     """Full scan; '' language -> 'all', '' repo -> 'global'."""
     return conventions.select(

@@ -21,7 +21,7 @@ from revlens.operators import feedback as FB
 from revlens.operators import metrics as M
 from revlens.session import scratch_path
 from revlens.sources import sinks
-from revlens.sources.fixtures import TEMPLATES, TEST_WEBHOOK_SECRET, _sign_batches
+from revlens.sources.fixtures import TEMPLATES, _sign_batches
 from revlens.sources.tables import table_path
 
 # Gold tables refresh on this trigger (the dashboard's cache lifetime).
@@ -65,10 +65,18 @@ def deliveries_from_events(spark: SparkSession, events: DataFrame) -> DataFrame:
     return d.mapInPandas(_sign_batches, schema)
 
 
-def run_available_now(writer, timeout_s: int = 600):
-    """Start a stream with the availableNow trigger and wait for it."""
+def run_available_now(writer, timeout_s: float | None = None):
+    """Start a stream with the availableNow trigger and wait until it is done.
+
+    With ``timeout_s`` a stream that is not done by then is stopped and
+    TimeoutError raised: a half-written sink is never taken for the answer.
+    """
     q = writer.trigger(availableNow=True).start()
-    q.awaitTermination(timeout_s)
+    if timeout_s is None:
+        q.awaitTermination()
+    elif not q.awaitTermination(timeout_s):
+        q.stop()
+        raise TimeoutError(f"stream not done after {timeout_s} s")
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
     return q
@@ -76,7 +84,7 @@ def run_available_now(writer, timeout_s: int = 600):
 
 # ----------------------------------------------------------------- T01/T02
 
-def ingest_and_route(spark: SparkSession, landing: str, secret: str | None = TEST_WEBHOOK_SECRET,
+def ingest_and_route(spark: SparkSession, landing: str, secret: str | None,
                      out: str | None = None) -> str:
     """T01 + T02: continuous ingest; every delivery is verified, parsed and
     routed in the stream (stateless) and appended to the routed table."""
@@ -230,7 +238,7 @@ def bench_streaming_upsert(spark: SparkSession, sf_dir: str) -> float:
 
 # ----------------------------------------------------------------- T07
 
-def route_with_dead_letters(spark: SparkSession, landing: str, secret: str | None = TEST_WEBHOOK_SECRET) -> tuple[str, str]:
+def route_with_dead_letters(spark: SparkSession, landing: str, secret: str | None) -> tuple[str, str]:
     """A bad delivery never fails the micro-batch; it is routed to a
     dead-letter table with its code and reason, the rest go on."""
     base = run_dir(spark, "deadletter")

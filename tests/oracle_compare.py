@@ -122,7 +122,7 @@ if __name__ == "__main__":
     from revlens.session import get_session
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     names = sys.argv[2:] or None
-    spark = get_session("local[8]", 8)
+    spark = get_session(f"local[{os.environ.get("BENCH_CPUS", "8")}]", 8)
     res = compare(spark, sf, names)
     bad = {k: v for k, v in res.items() if v[0] not in ("OK", "NO-ORACLE")}
     print(f"\n{len(res)} queries, {len(bad)} not OK: {sorted(bad)}")

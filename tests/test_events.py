@@ -98,3 +98,18 @@ def test_pr_context(spark):
     r = ctx.select("pr_body", E.log_extra(ctx).alias("x")).first()
     assert r.pr_body == "hello"
     assert r.x.head_sha == "abcdef1234"
+
+
+@pytest.mark.parametrize("field,value", [
+    ("number", 1.5), ("pull_request.draft", None), ("pull_request.draft", 2), ("pull_request.additions", None),
+    ("sender.type", None), ("pull_request.body", 5), ("sender.type", 5)])
+def test_payload_fields_of_the_wrong_type_are_422(spark, field, value):
+    r = route_one(spark, payload(**{field: value}))
+    assert (r.http_code, r.schema_error) == (422, field)
+
+
+@pytest.mark.parametrize("field,value", [
+    ("number", "12"), ("number", 3.0), ("pull_request.draft", 0), ("pull_request.draft", "off"),
+    ("pull_request.body", None), ("pull_request.body", "text")])
+def test_payload_fields_read_leniently(spark, field, value):
+    assert route_one(spark, payload(**{field: value})).status == "queued"

@@ -26,6 +26,13 @@ def test_upsert_replaces_and_inserts(spark):
     assert got == {1: "a", 2: "BB", 3: "c"}
 
 
+def test_upsert_keeps_columns_the_update_lacks(spark):
+    old = spark.createDataFrame([(1, "a", 5, [1.0])], "id long, v string, accepted int, embedding array<double>")
+    new = spark.createDataFrame([(1, None), (2, "c")], "id long, v string")
+    got = {r.id: (r.v, r.accepted, r.embedding) for r in FB.upsert(old, new, "id").collect()}
+    assert got == {1: (None, 5, [1.0]), 2: ("c", None, None)}
+
+
 def test_content_id_matches_python(spark):
     rule, lang, cat = "  Never store secrets.  ", "", "security"
     digest = hashlib.sha256(f"{cat}:{lang}:{rule.strip()}".encode()).hexdigest()

@@ -23,9 +23,11 @@ def test_checkpoint_dir_is_kept_when_set(spark):
     assert d and checkpoint_dir(spark) == d
 
 
-def test_outbox_rerun_does_not_duplicate(spark, tmp_path):
-    rows = spark.createDataFrame([("r", 1, "a.py", "x"), ("r", 1, "a.py", "x")],
-                                 "repo string, pr_number long, filename string, payload string")
+def test_outbox_keeps_all_batches_and_reruns_add_nothing(spark, tmp_path):
+    ddl, keys = "repo string, pr_number long, filename string, payload string", ["repo", "pr_number", "filename"]
+    one = spark.createDataFrame([("r", 1, "a.py", "x"), ("r", 1, "a.py", "x")], ddl)
+    two = spark.createDataFrame([("r", 1, "a.py", "y"), ("r", 2, "b.py", "z")], ddl)
     base = str(tmp_path / "outbox")
-    sinks.write_outbox(rows, base, ["repo", "pr_number", "filename"])
-    assert sinks.read_table(spark, base).count() == 1
+    for batch, rows in ((0, one), (1, two), (1, two), (0, one)):
+        sinks.write_outbox(rows, base, keys, batch)
+    assert sorted((r.pr_number, r.payload) for r in sinks.read_outbox(spark, base).collect()) == [(1, "x"), (2, "z")]

@@ -46,3 +46,21 @@ def test_gold_refresh_trigger(spark):
         assert sinks.read_table(spark, path).count() > 0
     finally:
         q.stop()
+
+
+def test_a_stream_that_is_not_done_in_time_raises(spark, tmp_path):
+    import time
+
+    import pytest
+
+    from revlens.streaming.jobs import run_available_now
+    spark.range(10).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("id long").parquet(str(tmp_path / "in"))
+
+    def slow(batch, epoch):
+        time.sleep(6)
+
+    writer = stream.writeStream.foreachBatch(slow).option("checkpointLocation", str(tmp_path / "c"))
+    with pytest.raises(TimeoutError):
+        run_available_now(writer, timeout_s=1)
+    assert not spark.streams.active
