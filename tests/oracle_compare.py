@@ -26,7 +26,7 @@ from revlens.sources.tables import TABLES, table_path  # noqa: E402
 
 
 def _norm(v):
-    if v is None:
+    if v is None or v is pd.NA:
         return None
     if isinstance(v, float) and math.isnan(v):
         return None
