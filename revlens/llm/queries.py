@@ -79,4 +79,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_ngram_jaccard": sql.OP3}
+    return {"op1_pivot_permutation": sql.OP1, "op2_relative_lz": sql.OP2, "op3_ngram_jaccard": sql.OP3,
+            "op10_warc": sql.OP10}

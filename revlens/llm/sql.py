@@ -18,3 +18,45 @@ r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(c.m, d.doc_id)) AS component_id
 FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a, min(b) AS m FROM r GROUP BY a) c ON c.a = d.doc_id
 """
+
+OP1 = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (
+  SELECT p.vec_id AS a, q.vec_id AS b FROM v p JOIN v q ON p.label = q.label AND p.vec_id <> q.vec_id AND len(p.e) = len(q.e)
+  WHERE list_dot_product(p.e, q.e) / (sqrt(list_dot_product(p.e, p.e)) * sqrt(list_dot_product(q.e, q.e))) >= 0.93),
+r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT t.vec_id, least(t.vec_id, coalesce(m.m, t.vec_id)) AS component_id
+      FROM embeddings t LEFT JOIN (SELECT a, min(b) AS m FROM r GROUP BY a) m ON m.a = t.vec_id)
+SELECT c.vec_id, coalesce(n.n, 0) AS n_links, c.component_id, c.vec_id = c.component_id AS kept
+FROM c LEFT JOIN (SELECT a, count(*) AS n FROM l GROUP BY a) n ON n.a = c.vec_id
+"""
+
+OP2 = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+k AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) AS x
+      FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w WHERE len(ws) >= 50)),
+f AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY x) AS first FROM k) WHERE first < doc_id),
+p AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w),
+g AS (SELECT p.doc_id, p.i, p.word,
+             coalesce(max(CASE WHEN f.i IS NOT NULL THEN 1 ELSE 0 END) OVER (
+               PARTITION BY p.doc_id ORDER BY p.i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), 0) AS gone
+      FROM p LEFT JOIN f ON f.doc_id = p.doc_id AND f.i = p.i)
+SELECT w.doc_id, CAST(len(w.ws) AS BIGINT) AS n_words, CAST(coalesce(s.removed, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(s.kept, '')) AS kept_sha256
+FROM w LEFT JOIN (
+  SELECT doc_id, sum(gone) AS removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE gone = 0) AS kept
+  FROM g GROUP BY doc_id) s ON s.doc_id = w.doc_id
+"""
+
+OP10 = """
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first < page_id THEN first END AS refers_to
+FROM (SELECT page_id, CAST(strlen(p) AS BIGINT) AS payload_bytes, sha256(p) AS payload_digest,
+             CASE WHEN strlen(p) >= 100 THEN min(page_id) OVER (PARTITION BY p) ELSE page_id END AS first
+      FROM (SELECT page_id, coalesce(html, '') AS p FROM pages))
+"""
