@@ -39,7 +39,7 @@ SENTENCE, HARD, STRETCH, HARD_STEP = 12, 48, 400_000, 256
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 _ODD_SPACE = re.compile(r"[^\S \n]")
-_CACHE_WORDS = 300_000
+_CACHE_WORDS = 1_000_000
 
 
 class Encoder:
@@ -60,6 +60,11 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.words: dict[str, bytes] = {}
+        vocab = self.tokenizer.get_vocab()
+        self.space, self.line = (np.zeros(max(vocab.values()) + 1, bool) for _ in range(2))
+        for token, i in vocab.items():  # in byte-level vocabularies a space is written as one letter, a line break as another
+            self.space[i] = token.startswith("Ġ")
+            self.line[i] = token.startswith("Ċ")
         self.stops = np.array([self.tokenizer.token_to_id(t) for t in (".", "!", "?", "Ċ")
                                if self.tokenizer.token_to_id(t) is not None], np.uint32)
 
@@ -67,6 +72,21 @@ class Encoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, np.uint32).tobytes() for e in found]
 
+    def _joined(self, words: list[str], opens: np.ndarray) -> list[bytes]:
+        """Ids of words that each begin with their one space (or line break), many to a call; ``opens`` tells the
+        ids that begin with it."""
+        out: list[bytes] = []
+        for a in range(0, len(words), 512):
+            part = words[a:a + 512]
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            begin = np.flatnonzero(opens[ids])
+            if len(begin) != len(part) or begin[0]:
+                out += self._ids(part)
+                continue
+            data, edge = ids.tobytes(), (np.append(begin, len(ids)) * 4).tolist()
+            out += [data[i:j] for i, j in zip(edge, edge[1:])]
+        return out
+
     def _plain(self, t: str) -> bool:
         return not (_ODD_SPACE.search(t) or "  " in t or "\n\n" in t or " \n" in t or "\n " in t
                     or t[0] in " \n" or t[-1] in " \n" or any(s in t for s in self.special))
@@ -85,8 +105,12 @@ class Encoder:
             else:
                 odd.append(k)
         new = [p for p in new if p not in self.words]
-        texts_of = [p if p[0] == "\n" else p[1:] if p[0] == "\r" else " " + p for p in new]
-        self.words.update(zip(new, self._ids(texts_of)))
+        heads = [p for p in new if p[0] == "\r"]
+        lines = [p for p in new if p[0] == "\n"]
+        plain = [p for p in new if p[0] not in "\r\n"]
+        self.words.update(zip(heads, self._ids([p[1:] for p in heads])))
+        self.words.update(zip(lines, self._joined(lines, self.line)))
+        self.words.update(zip(plain, self._joined([" " + p for p in plain], self.space)))
         for k, parts in split:
             out[k] = np.frombuffer(b"".join(map(self.words.__getitem__, parts)), np.uint32)
         for k, ids in zip(odd, self._ids([texts[k] for k in odd])):
