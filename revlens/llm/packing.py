@@ -35,11 +35,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from revlens.llm.common import bound_batches
+
 SENTENCE, HARD, STRETCH, HARD_STEP = 12, 48, 400_000, 256
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 _ODD_SPACE = re.compile(r"[^\S \n]")
-_CACHE_WORDS = 1_000_000
+_CACHE_WORDS = 250_000
 
 
 class Encoder:
@@ -60,6 +62,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.words: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         vocab = self.tokenizer.get_vocab()
         self.space, self.line = (np.zeros(max(vocab.values()) + 1, bool) for _ in range(2))
         for token, i in vocab.items():  # in byte-level vocabularies a space is written as one letter, a line break as another
@@ -94,8 +97,8 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out: list[np.ndarray | None] = [None] * len(texts)
         split, odd, new = [], [], set()
-        if len(self.words) > _CACHE_WORDS:
-            self.words.clear()
+        if len(self.words) > _CACHE_WORDS:  # words not seen since the last change of generation go
+            self.old, self.words = self.words, {}
         for k, t in enumerate(texts):
             if t and self._plain(t):
                 # a part that starts with a line break has no space before it; "\r" marks a text's first word
@@ -104,7 +107,10 @@ class Encoder:
                 new.update(parts)
             else:
                 odd.append(k)
-        new = [p for p in new if p not in self.words]
+        new.difference_update(self.words)
+        again = [p for p in new if p in self.old]
+        self.words.update(zip(again, map(self.old.__getitem__, again)))
+        new.difference_update(again)
         heads = [p for p in new if p[0] == "\r"]
         lines = [p for p in new if p[0] == "\n"]
         plain = [p for p in new if p[0] not in "\r\n"]
@@ -225,5 +231,6 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     ``tokenizer`` is the path of a tokenizers file, the same on all machines;
     by default the public byte-level one.
     """
+    bound_batches(docs.sparkSession)
     return (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
             .mapInArrow(_pack(width, end_id, tokenizer), PIECES))
