@@ -37,8 +37,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from revlens.llm import hashing as H
-from revlens.llm.common import slices
+from revlens.llm.common import bound_batches, slices
 
+SLICE = 1 << 18  # bytes of text handled at once: each word of the benchmark's takes rank numbers
 _PART = 128  # terms in a row of the summed matrix
 _MATCHES = "doc_id long, item_id long, cosine double, lcs double"
 
@@ -86,7 +87,7 @@ def _count_terms(terms: np.ndarray, half: int):
     def run(batches):
         total, passages = np.zeros(len(terms), np.int64), 0
         for batch in batches:
-            for _, _, body, off in slices(batch.column(0)):
+            for _, _, body, off in slices(batch.column(0), SLICE):
                 w = _words(body, off)
                 own, doc, first = _halves(w, half)
                 passages += len(doc)
@@ -113,7 +114,7 @@ def _sketch(terms: np.ndarray, idf: np.ndarray, half: int, rank: int, seed: int)
         r = _random(seed, len(terms), rank) * weight[:, None]
         z, energy = np.zeros((len(terms), rank), np.float32), 0.0
         for batch in batches:
-            for _, _, body, off in slices(batch.column(0)):
+            for _, _, body, off in slices(batch.column(0), SLICE):
                 w = _words(body, off)
                 own, doc, first = _halves(w, half)
                 t = _lookup(terms, w.hash)
@@ -266,6 +267,7 @@ def fit(docs: DataFrame, rows, text_col: str = "text", half: int = 32, rank: int
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block: int):
     """The benchmark's rows, a bounded number at a time."""
+    bound_batches(benchmark.sparkSession)
     rows = benchmark.select(F.col(item_col).alias("item_id"), F.col(text_col).cast("string").alias("text"))
     n = max(1, -(-rows.count() // block))
     for k in range(n):
@@ -283,7 +285,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
         def run(batches, s=s):
             for batch in batches:
-                for a, b, body, off in slices(batch.column(1)):
+                for a, b, body, off in slices(batch.column(1), SLICE):
                     m = s.matches(body, off)
                     if m:
                         d, i, cos, common = (np.array(x) for x in zip(*m))
@@ -308,7 +310,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
         def run(batches, s=s):
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
-                for a, b, body, off in slices(batch.column(at)):
+                for a, b, body, off in slices(batch.column(at), SLICE):
                     for d, *_ in s.matches(body, off):
                         keep[a + d] = False
                 yield batch.filter(pa.array(keep))

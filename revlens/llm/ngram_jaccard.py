@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from revlens.llm import hashing as H
-from revlens.llm.common import cut, slices
+from revlens.llm.common import bound_batches, cut, slices
 from revlens.llm.components import components
 
 #: Share of the hash space (of 256 parts) that step 2 looks at.  Any share gives right results: a document is dropped
@@ -330,6 +330,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ``component_id`` is the smallest id reachable over links of similarity
     ``num / den`` or more, the document's own id included.
     """
+    bound_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     meta = cut(base.mapInArrow(_share_counts(size, COLUMN_SHARE), _META + ", seen long"))
     reps = cut(meta.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2")

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from revlens.llm import hashing as H
-from revlens.llm.common import cut, slices
+from revlens.llm.common import bound_batches, cut, slices
 
 _BLOCKS = "anchor long, block long, doc_id long, text_key long, start int, windows int"
 _WINDOWS = "anchor long, word_run long, doc_id long, text_key long, start int"
@@ -162,6 +162,7 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     gram: int = 8) -> DataFrame:
     """Spans of windows that smaller ids hold: (doc_id, text_key, start, windows), all ``windows`` starts from
     word ``start`` on; ``text_key`` is the xxhash64 of the text (for ids that come with several texts)."""
+    bound_batches(docs.sparkSession)
     base = _base(docs, id_col, text_col).where("doc_id is not null")
     blocks = base.mapInArrow(_blocks(window, gram), _BLOCKS)
     index = cut(blocks.where("anchor is not null").groupBy("anchor")

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revlens.llm.common import cut
+from revlens.llm.common import bound_batches, cut
 
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)"
@@ -287,6 +287,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """One row per page: (page_id, url, text, n_chars)."""
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"),
                         F.col(html_col).cast("string").alias("html")).withColumn("host", _host(F.col("url")))
+    bound_batches(pages.sparkSession)
     low = cut(low_importance(rows.select("host", "html"), least_pages, limit))
     return (rows.join(low, "host", "left").select("page_id", "url", "low", "html")
             .mapInArrow(_extract, "page_id long, url string, text string")

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from revlens.llm import hashing as H
-from revlens.llm.common import slices
+from revlens.llm.common import bound_batches, slices
 
 PREFIXES = (4, 5)
 BUCKETS = 1 << 22
@@ -154,6 +154,7 @@ def _row_terms(batches):
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
           per_class: int = 3000, **options) -> Machine:
     """Machine from a bounded sample of labelled documents outside the held-out third."""
+    bound_batches(docs.sparkSession)
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("label")).where(
         F.col("label").isin(0, 1) & F.col("_id").isNotNull() & ~held_out("_id"))
     counts = {r.label: r["count"] for r in known.groupBy("label").count().collect()}
