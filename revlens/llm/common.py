@@ -31,7 +31,7 @@ def bound_batches(spark: SparkSession, size: str = "8m") -> None:
     texts are long, and the default of 64 MB a batch is held several times by
     each worker.  A smaller bound of the session stays."""
     key, limit = "spark.sql.execution.arrow.maxBytesPerBatch", int(size[:-1]) << 20
-    have = spark.conf.get(key, "-1")
+    have = spark.conf.get(key, None) or "-1"
     number = int(have.rstrip("b")) if have.rstrip("b").lstrip("-").isdigit() else -1
     if not 0 < number <= limit:
         spark.conf.set(key, str(limit))
