@@ -6,8 +6,9 @@ those in more than ``stop`` of all passages; their inverse document frequencies
 are counted over all passages.
 
 * *Randomised SVD*: with the TF-IDF matrix A of all passages (benchmark items
-  are rows too, weighted to the same total as the corpus) and a random matrix R
-  of ``rank`` columns, tasks sum A'(A R) over their rows.  The driver gets one
+  are rows too, of one length each and ``weight`` times the corpus in sum, so
+  that the reduced space holds all items of a block) and a random matrix R of
+  ``rank`` columns, tasks sum A'(A R) over their rows.  The driver gets one
   matrix of terms x rank and takes the leading right singular vectors from it
   (Nystroem's way for A'A).
 * *Candidates*: a passage and an item whose rank-reduced vectors have a cosine
@@ -221,8 +222,8 @@ def _items(rows) -> tuple[np.ndarray, list[np.ndarray]]:
     return np.array(ids, dtype=object), words
 
 
-def fit(docs: DataFrame, rows, text_col: str = "text", half: int = 32, rank: int = 160, stop: float = 0.1,
-        cosine: float = 0.3, share: float = 0.6, answer_words: int = 5, answer_share: float = 0.4,
+def fit(docs: DataFrame, rows, text_col: str = "text", half: int = 32, rank: int = 144, stop: float = 0.02,
+        cosine: float = 0.2, weight: float = 10.0, share: float = 0.6, answer_words: int = 5, answer_share: float = 0.4,
         seed: int = 11) -> Searcher:
     """Searcher for a block of items (rows with item_id and text)."""
     ids, words = _items(rows)
@@ -249,9 +250,10 @@ def fit(docs: DataFrame, rows, text_col: str = "text", half: int = 32, rank: int
             else:
                 own = np.frombuffer(r["sum"]).reshape(-1, rank)
                 z[r.part * _PART:r.part * _PART + len(own)] = own
-        scale = max(energy, 1.0) / max((items ** 2).sum(), 1e-9)
+        unit = items / np.maximum(np.sqrt((items ** 2).sum(axis=1)), 1e-12)[:, None]
+        scale = weight * max(energy, 1.0) / max((unit ** 2).sum(), 1e-9)
         r = _random(seed, len(terms), rank).astype(float)
-        z += scale * items.T @ (items @ r)
+        z += scale * unit.T @ (unit @ r)
         core = r.T @ z
         value, vector = np.linalg.eigh((core + core.T) / 2)
         keep = value > 1e-9 * max(value.max(), 1e-300)
@@ -276,7 +278,7 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block: int):
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                  item_col: str = "item_id", item_text_col: str = "text", block: int = 1000, **options) -> DataFrame:
+                  item_col: str = "item_id", item_text_col: str = "text", block: int = 200, **options) -> DataFrame:
     """One row per document and item that it holds: (doc_id, item_id, cosine, lcs)."""
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     out = None
@@ -300,7 +302,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id",
-                  item_text_col: str = "text", block: int = 1000, **options) -> DataFrame:
+                  item_text_col: str = "text", block: int = 200, **options) -> DataFrame:
     """The documents that hold no item, with all their columns."""
     at = docs.columns.index(text_col)
     out = docs
