@@ -41,7 +41,7 @@ SENTENCE, HARD, STRETCH, HARD_STEP = 12, 48, 400_000, 256
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 _ODD_SPACE = re.compile(r"[^\S \n]")
-_CACHE_WORDS = 250_000
+_CACHE_WORDS = 400_000
 
 
 class Encoder:
