@@ -42,7 +42,7 @@ from revlens.llm.common import bound_batches, cut, slices
 from revlens.llm.components import components
 
 #: Share of the hash space (of 256 parts) that step 2 looks at.  Any share gives right results: a document is dropped
-#: only when the lonely n-grams seen in it are already too many.
+#: only when the lonely n-grams seen in it are already too many (a document of which none are seen is kept).
 COLUMN_SHARE = 100
 #: N-grams in a column block, n-grams that a map task holds, documents in a row block, columns in a chunk.
 BLOCK_ENTRIES, CHUNK_ENTRIES, ROW_BLOCK, COLUMN_CHUNK = 1_500_000, 1_000_000, 512, 4096
@@ -343,8 +343,9 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
               .groupBy("doc_id").agg(F.sum("shared").alias("shared")))
     # lonely n-grams seen must not exceed n - ceil(n * num / den); a copy elsewhere may have stood for the representative
     stood = meta.select("doc_id", "d1", "d2").join(shared, "doc_id").groupBy("d1", "d2").agg(F.max("shared").alias("shared"))
-    left = cut(reps.join(cut(stood), ["d1", "d2"])
-               .where(f"seen - shared <= n - ceil(n * {num} / {den})").select("rep", "d1", "d2"))
+    # a set without a row has no shared n-gram inside the share of the hash space; it may have some outside of it
+    left = cut(reps.join(cut(stood), ["d1", "d2"], "left")
+               .where(f"seen - coalesce(shared, 0) <= n - ceil(n * {num} / {den})").select("rep", "d1", "d2"))
     # by merge at any size: a broadcast of the remaining ids is bounded only by their number
     sets = cut(base.join(left.hint("merge"), base.doc_id == left.rep).select("doc_id", "text", "d1", "d2")
                .mapInArrow(_set_rows(size), _SETS))

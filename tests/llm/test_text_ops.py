@@ -67,6 +67,22 @@ def test_jaccard_join_against_brute_force(corpus, empty):
     assert jaccard_join(empty).count() == 0
 
 
+def test_short_near_copies_are_linked(spark):
+    rng = np.random.default_rng(12)
+    rows = []
+    for i in range(420):  # 30 pairs of each length from 7 to 20 words; words of their own, one or two words more
+        w = [f"p{i}x{k}" for k in range(7 + i % 14)]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(w + [f"e{i}", f"f{i}"][:rng.integers(1, 3)]))]
+    sets = {i: _shingles(t) for i, t in rows}
+    up = {i: i for i in sets}
+    for i in sets:
+        for j in range(i):
+            if 4 * len(sets[i] & sets[j]) >= 3 * len(sets[i] | sets[j]):
+                up[i] = min(up[i], up[j])
+    got = {r.doc_id: r.component_id for r in jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == up and sum(i != k for i, k in up.items()) > 250
+
+
 def test_wide_groups_split_into_row_blocks(spark, monkeypatch):
     import revlens.llm.ngram_jaccard as op
     monkeypatch.setattr(op, "ROW_BLOCK", 4)  # read on the driver: groups of more than four documents are split
