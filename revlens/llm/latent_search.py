@@ -1,9 +1,9 @@
 """Operator 9: benchmark decontamination by latent semantic retrieval.
 
 Documents are cut into passages of ``2 * half`` words that overlap by half.
-Terms are the words of the benchmark (letters and digits, A-Z lower-cased) but
-those in more than ``stop`` of all passages; their inverse document frequencies
-are counted over all passages.
+Terms are the words of the benchmark (letters and digits, A-Z lower-cased);
+their inverse document frequencies are counted over all passages.  Those in
+more than ``stop`` of all passages stay out of the reduced space.
 
 * *Randomised SVD*: with the TF-IDF matrix A of all passages (benchmark items
   are rows too, of one length each and ``weight`` times the corpus in sum, so
@@ -14,6 +14,10 @@ are counted over all passages.
 * *Candidates*: a passage and an item whose rank-reduced vectors have a cosine
   of ``cosine`` or more (norms are those before the reduction).  All passages
   meet all items, as one product a slice; none is cut off by a top-k.
+* *Plain items*: an item that the reduced space holds too little of (``1 -
+  share`` of its words or fewer, or under half of its squared TF-IDF length) has
+  as candidates all passages around which words that make up ``share`` of it
+  occur; no match can have less, so nothing is lost there.
 * *Checks*: the item's words and the passage's surroundings must have a common
   subsequence of ``share`` of the item, and the item's last ``answer_words``
   words (its answer) one of ``answer_share``.  Reworded, thinned out or
@@ -153,7 +157,7 @@ class Searcher:
     """What a task needs to find a block of items; bounded by the block and the rank."""
     terms: np.ndarray     # ascending hashes of the benchmark's words
     latent: np.ndarray    # terms x rank: right singular vectors, weighted by idf
-    weight: np.ndarray    # idf
+    weight: np.ndarray    # idf, 0 outside the reduced space
     ids: np.ndarray       # item ids
     words: list           # hashes of each item's words
     vectors: np.ndarray   # items x rank, divided by the norms before the reduction
@@ -162,35 +166,64 @@ class Searcher:
     share: float
     answer_words: int
     answer_share: float
+    plain: np.ndarray     # items that the reduced space holds too little of
+
+    def _plain_places(self, item: int, t, h, doc, first) -> np.ndarray:
+        """Passages around which words that make up ``share`` of a plain item occur; t, h are sorted by both."""
+        words = self.words[item]
+        times = np.zeros(len(self.terms))
+        np.add.at(times, np.searchsorted(self.terms, words), 1)
+        at = np.flatnonzero(times[t] > 0)
+        if not len(at):
+            return at
+        t, h = t[at], h[at]
+        # an occurrence counts for the passages of its document whose surroundings reach it, once for a word
+        reach = -(-len(words) // self.half)
+        d = doc[h]
+        begin = np.maximum(h - 1 - reach, first[d])
+        end = np.minimum(h + reach, first[d + 1] - 1) + 1
+        again = np.flatnonzero(t[1:] == t[:-1]) + 1
+        begin[again] = np.maximum(begin[again], end[again - 1])
+        held = np.cumsum(np.bincount(begin, times[t], len(doc) + 1) - np.bincount(end, times[t], len(doc) + 1))
+        return np.flatnonzero(held[:-1] >= self.share * len(words) - 1e-6)
 
     def matches(self, body: np.ndarray, off: np.ndarray):
         """(document, item, cosine, lcs) of the best matching place of each pair in a slice."""
         w = _words(body, off)
         own, doc, first = _halves(w, self.half)
         t = _lookup(self.terms, w.hash)
-        hit = np.flatnonzero((t >= 0) & (self.weight[t] > 0)) if len(self.terms) else np.zeros(0, int)
-        if not len(hit):
+        known = np.flatnonzero(t >= 0)
+        if not len(known):
             return []
-        t, h = t[hit], own[hit]
-        p = _pairs(_sums(self.latent[t], h, len(doc)), doc)
-        norm = np.sqrt(_pairs(_sums((self.weight[t] ** 2)[:, None], h, len(doc)), doc)[:, 0])
         best: dict[tuple[int, int], tuple[float, float]] = {}
+
+        def check(place, item, cos):
+            d = int(doc[place])
+            words = self.words[item]
+            begin = w.first[d] + (place - first[d]) * self.half
+            near = w.hash[max(w.first[d], begin - len(words)):min(w.first[d + 1], begin + 2 * self.half + len(words))]
+            common = lcs_share(words, near)
+            if common < self.share:
+                return
+            if lcs_share(words[-self.answer_words:], near) < self.answer_share:
+                return
+            key = (d, int(item))
+            best[key] = max(best.get(key, (0.0, 0.0)), (common, cos))
+
+        hit = known[self.weight[t[known]] > 0]
+        p = _pairs(_sums(self.latent[t[hit]], own[hit], len(doc)), doc)
+        norm = np.sqrt(_pairs(_sums((self.weight[t[hit]] ** 2)[:, None], own[hit], len(doc)), doc)[:, 0])
         filled = np.flatnonzero(norm > 0)
         for a in range(0, len(filled), 4096):
             rows = filled[a:a + 4096]
             cos = (p[rows] @ self.vectors.T) / norm[rows][:, None]
-            for i, item in zip(*np.nonzero(cos >= self.cosine)):
-                d = int(doc[rows[i]])
-                words = self.words[item]
-                begin = w.first[d] + (rows[i] - first[d]) * self.half
-                near = w.hash[max(w.first[d], begin - len(words)):min(w.first[d + 1], begin + 2 * self.half + len(words))]
-                common = lcs_share(words, near)
-                if common < self.share:
-                    continue
-                if lcs_share(words[-self.answer_words:], near) < self.answer_share:
-                    continue
-                key = (d, int(item))
-                best[key] = max(best.get(key, (0.0, 0.0)), (common, float(cos[i, item])))
+            for i, item in zip(*np.nonzero((cos >= self.cosine) & ~self.plain)):
+                check(rows[i], item, float(cos[i, item]))
+        if self.plain.any():
+            known = known[np.argsort(t[known], kind="stable")]
+            for item in np.flatnonzero(self.plain):
+                for place in self._plain_places(item, t[known], own[known], doc, first):
+                    check(place, item, float(p[place] @ self.vectors[item] / norm[place]) if norm[place] > 0 else 0.0)
         return [(d, i, cos, common) for (d, i), (common, cos) in sorted(best.items())]
 
 
@@ -234,11 +267,16 @@ def fit(docs: DataFrame, rows, text_col: str = "text", half: int = 32, rank: int
     passages = counts.get(-1, 0)
     df = np.array([counts.get(i, 0) for i in range(len(terms))], float)
     idf = np.log((passages + len(words) + 1) / (df + 1))
-    idf[df > stop * max(passages, 10)] = 0.0
+    stopped = df > stop * max(passages, 10)
     items = np.zeros((len(words), len(terms)))
     for i, w in enumerate(words):
         np.add.at(items[i], np.searchsorted(terms, w), 1)
+    held = (items * ~stopped).sum(axis=1) / np.maximum(items.sum(axis=1), 1)
     items *= idf
+    whole = (items ** 2).sum(axis=1)
+    idf[stopped] = 0.0
+    items[:, stopped] = 0.0
+    plain = (held <= 1 - share + 1e-9) | ((items ** 2).sum(axis=1) < 0.5 * whole)
     rank = max(1, min(rank, len(terms)))
     z, energy = np.zeros((len(terms), rank)), 0.0
     if len(terms):
@@ -264,7 +302,7 @@ def fit(docs: DataFrame, rows, text_col: str = "text", half: int = 32, rank: int
     norm = np.sqrt((items ** 2).sum(axis=1))
     vectors = (items @ basis) / np.maximum(norm, 1e-12)[:, None]
     return Searcher(terms, (basis * idf[:, None]).astype(np.float32), idf.astype(np.float32), ids, words,
-                    vectors.astype(np.float32), half, cosine, share, answer_words, answer_share)
+                    vectors.astype(np.float32), half, cosine, share, answer_words, answer_share, plain)
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block: int):

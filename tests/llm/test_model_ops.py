@@ -205,6 +205,30 @@ def test_latent_search_finds_copies_and_rewordings(spark, corpus, empty):
     assert latent_search.contamination(docs, bench.where("false")).count() == 0
 
 
+def test_latent_search_finds_what_is_copied_often(spark):
+    rng = random.Random(16)
+    often = [f"o{i}" for i in range(40)]
+    vocab = [f"v{i}" for i in range(3000)] + often * 60
+    items = [(k, " ".join(rng.choice(vocab[:3000]) for _ in range(30))) for k in range(6)]
+    items.append((6, " ".join(rng.sample(often, 30))))  # frequent words only
+    rows, planted = [], set()
+    for i in range(300):
+        w = [rng.choice(vocab) for _ in range(rng.choice([20, 200]))]
+        k = 0 if i % 3 == 0 else i // 50 % 7 if i % 50 == 1 else 6 if i % 50 == 2 else None
+        if k is not None:  # item 0 is in a third of all documents
+            at = rng.randrange(len(w))
+            w[at:at] = items[k][1].split()
+            planted.add((i, k))
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in latent_search.contamination(docs, bench).collect()}
+    assert got == planted
+    few = docs.where("doc_id < 4")  # in so small a table all words are frequent
+    got = {(r.doc_id, r.item_id) for r in latent_search.contamination(few, bench).collect()}
+    assert got == {(i, k) for i, k in planted if i < 4}
+
+
 def test_lcs_share_against_the_table():
     rng = np.random.default_rng(3)
     for _ in range(50):
