@@ -19,9 +19,10 @@ more than ``stop`` of all passages stay out of the reduced space.
   as candidates all passages around which words that make up ``share`` of it
   occur; no match can have less, so nothing is lost there.
 * *Checks*: the item's words and the passage's surroundings must have a common
-  subsequence of ``share`` of the item, and the item's last ``answer_words``
-  words (its answer) one of ``answer_share``.  Reworded, thinned out or
-  interrupted copies keep long subsequences; chance hits don't.
+  subsequence of ``share`` of the item.  Where the caller names a column of
+  answers, an item's answer must have one of ``answer_share`` there too (items
+  with a null or wordless answer need none).  Reworded, thinned out, broken off
+  or interrupted copies keep long subsequences; chance hits don't.
 
 The benchmark is taken in blocks of ``block`` items, so what tasks are sent is
 bounded.  Each block takes three passes over the texts and no shuffle of them.
@@ -164,7 +165,7 @@ class Searcher:
     half: int
     cosine: float
     share: float
-    answer_words: int
+    answers: list         # hashes of each answer's words; none where there is no answer
     answer_share: float
     plain: np.ndarray     # items that the reduced space holds too little of
 
@@ -205,7 +206,7 @@ class Searcher:
             common = lcs_share(words, near)
             if common < self.share:
                 return
-            if lcs_share(words[-self.answer_words:], near) < self.answer_share:
+            if len(self.answers[item]) and lcs_share(self.answers[item], near) < self.answer_share:
                 return
             key = (d, int(item))
             best[key] = max(best.get(key, (0.0, 0.0)), (common, cos))
@@ -244,22 +245,26 @@ def lcs_share(words: np.ndarray, near: np.ndarray) -> float:
     return (len(words) - row.bit_count()) / len(words)
 
 
-def _items(rows) -> tuple[np.ndarray, list[np.ndarray]]:
-    ids, words = [], []
+def _hashes(text: str | None) -> np.ndarray:
+    body = (text or "").encode()
+    return _words(np.frombuffer(body, np.uint8), np.array([0, len(body)])).hash
+
+
+def _items(rows) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    ids, words, answers = [], [], []
     for r in rows:
-        body = (r.text or "").encode()
-        w = _words(np.frombuffer(body, np.uint8), np.array([0, len(body)]))
-        if len(w.hash):
+        own = _hashes(r.text)
+        if len(own):
             ids.append(r.item_id)
-            words.append(w.hash)
-    return np.array(ids, dtype=object), words
+            words.append(own)
+            answers.append(_hashes(r.answer))
+    return np.array(ids, dtype=object), words, answers
 
 
 def fit(docs: DataFrame, rows, text_col: str = "text", half: int = 32, rank: int = 144, stop: float = 0.02,
-        cosine: float = 0.2, weight: float = 10.0, share: float = 0.6, answer_words: int = 5, answer_share: float = 0.4,
-        seed: int = 11) -> Searcher:
-    """Searcher for a block of items (rows with item_id and text)."""
-    ids, words = _items(rows)
+        cosine: float = 0.2, weight: float = 10.0, share: float = 0.6, answer_share: float = 0.4, seed: int = 11) -> Searcher:
+    """Searcher for a block of items (rows with item_id, text and answer)."""
+    ids, words, answers = _items(rows)
     terms = np.unique(np.concatenate(words)) if words else np.zeros(0, H.U)
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
     counts = {r.term: r.n for r in texts.mapInArrow(_count_terms(terms, half), "term long, n long")
@@ -302,25 +307,27 @@ def fit(docs: DataFrame, rows, text_col: str = "text", half: int = 32, rank: int
     norm = np.sqrt((items ** 2).sum(axis=1))
     vectors = (items @ basis) / np.maximum(norm, 1e-12)[:, None]
     return Searcher(terms, (basis * idf[:, None]).astype(np.float32), idf.astype(np.float32), ids, words,
-                    vectors.astype(np.float32), half, cosine, share, answer_words, answer_share, plain)
+                    vectors.astype(np.float32), half, cosine, share, answers, answer_share, plain)
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block: int):
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, answer_col: str | None, block: int):
     """The benchmark's rows, a bounded number at a time."""
     bound_batches(benchmark.sparkSession)
-    rows = benchmark.select(F.col(item_col).alias("item_id"), F.col(text_col).cast("string").alias("text"))
+    rows = benchmark.select(F.col(item_col).alias("item_id"), F.col(text_col).cast("string").alias("text"),
+                            (F.col(answer_col) if answer_col else F.lit(None)).cast("string").alias("answer"))
     n = max(1, -(-rows.count() // block))
     for k in range(n):
         part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k)
-        yield part.orderBy("item_id", "text").collect()
+        yield part.orderBy("item_id", "text", "answer").collect()
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                  item_col: str = "item_id", item_text_col: str = "text", block: int = 200, **options) -> DataFrame:
+                  item_col: str = "item_id", item_text_col: str = "text", answer_col: str | None = None, block: int = 200,
+                  **options) -> DataFrame:
     """One row per document and item that it holds: (doc_id, item_id, cosine, lcs)."""
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     out = None
-    for rows in _blocks(benchmark, item_col, item_text_col, block):
+    for rows in _blocks(benchmark, item_col, item_text_col, answer_col, block):
         s = fit(base, rows, "text", **options)
 
         def run(batches, s=s):
@@ -340,11 +347,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id",
-                  item_text_col: str = "text", block: int = 200, **options) -> DataFrame:
+                  item_text_col: str = "text", answer_col: str | None = None, block: int = 200,
+                  **options) -> DataFrame:
     """The documents that hold no item, with all their columns."""
     at = docs.columns.index(text_col)
     out = docs
-    for rows in _blocks(benchmark, item_col, item_text_col, block):
+    for rows in _blocks(benchmark, item_col, item_text_col, answer_col, block):
         s = fit(docs, rows, text_col, **options)
 
         def run(batches, s=s):

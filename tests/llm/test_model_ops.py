@@ -229,6 +229,27 @@ def test_latent_search_finds_what_is_copied_often(spark):
     assert got == {(i, k) for i, k in planted if i < 4}
 
 
+def test_latent_search_finds_broken_off_copies(spark):
+    rng = random.Random(17)
+    vocab = [f"v{i}" for i in range(3000)]
+    items = [(k, " ".join(rng.sample(vocab, 38)), f"yes answer{k}" if k % 2 else None) for k in range(10)]
+    rows = []
+    for i in range(200):
+        w = [rng.choice(vocab) for _ in range(200)]
+        if i < 20:
+            own = items[i % 10][1].split()
+            own[-5:] = [] if i < 10 else rng.sample(vocab, 5)  # broken off, or the last words changed
+            at = rng.randrange(len(w))
+            w[at:at] = own
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string, answer string")
+    got = {(r.doc_id, r.item_id) for r in latent_search.contamination(docs, bench).collect()}
+    assert got == {(i, i % 10) for i in range(20)}
+    got = {(r.doc_id, r.item_id) for r in latent_search.contamination(docs, bench, answer_col="answer").collect()}
+    assert got == {(i, i % 10) for i in range(20) if i % 2 == 0}
+
+
 def test_lcs_share_against_the_table():
     rng = np.random.default_rng(3)
     for _ in range(50):
