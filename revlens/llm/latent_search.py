@@ -1,31 +1,33 @@
 """Operator 9: benchmark decontamination by latent semantic retrieval.
 
-Documents are cut into passages of ``2 * half`` words that overlap by half.
+Documents are cut into passages of ``2 * half`` words that overlap by half,
+longer items into even parts of at most ``2 * half`` words.
 Terms are the words of the benchmark (letters and digits, A-Z lower-cased);
 their inverse document frequencies are counted over all passages.  Those in
 more than ``stop`` of all passages stay out of the reduced space.
 
 * *Randomised SVD*: with the TF-IDF matrix A of all passages (benchmark items
-  are rows too, of one length each and ``weight`` times the corpus in sum, so
-  that the reduced space holds all items of a block) and a random matrix R of
-  ``rank`` columns, tasks sum A'(A R) over their rows.  The driver gets one
+  are rows too, a row for each part, of one length each and ``weight`` times the
+  corpus in sum) and a random matrix R of ``rank`` columns, or as many as the
+  block has parts, so that the reduced space holds them all, tasks sum A'(A R) over their rows.  The driver gets one
   matrix of terms x rank and takes the leading right singular vectors from it
   (Nystroem's way for A'A).
-* *Candidates*: a passage and an item whose rank-reduced vectors have a cosine
-  of ``cosine`` or more (norms are those before the reduction).  All passages
-  meet all items, as one product a slice; none is cut off by a top-k.
+* *Candidates*: a passage and an item of which a part's rank-reduced vector has
+  a cosine of ``cosine`` or more with the passage's (norms are those before the
+  reduction).  All passages meet all parts, as one product a slice; none is cut
+  off by a top-k.
 * *Plain items*: an item that the reduced space holds too little of (``1 -
   share`` of its words or fewer, or under half of its squared TF-IDF length) has
   as candidates all passages around which words that make up ``share`` of it
   occur; no match can have less, so nothing is lost there.
-* *Checks*: the item's words and the passage's surroundings must have a common
+* *Checks*: the whole item's words and the passage's surroundings must have a common
   subsequence of ``share`` of the item.  Where the caller names a column of
   answers, an item's answer must have one of ``answer_share`` there too (items
   with a null or wordless answer need none).  Reworded, thinned out, broken off
   or interrupted copies keep long subsequences; chance hits don't.
 
-The benchmark is taken in blocks of ``block`` items, so what tasks are sent is
-bounded.  Each block takes three passes over the texts and no shuffle of them.
+The benchmark is taken in blocks of about ``block`` parts, so what tasks are sent
+is bounded by that or by the longest item.  Each block takes three passes over the texts and no shuffle of them.
 
 Defined cases: null or empty texts hold nothing; items without words match
 nothing; repeated items each match; null ids of documents are returned with
@@ -99,11 +101,14 @@ def _count_terms(terms: np.ndarray, half: int):
                 passages += len(doc)
                 t = _lookup(terms, w.hash)
                 hit = t >= 0
-                # distinct (term, passage): a half belongs to the passage that begins there and to the one before
-                h = own[hit]
-                before = np.where(first[doc[h]] < h, h - 1, h) if len(h) else h
-                pair = np.unique(np.r_[t[hit] * np.int64(len(doc) + 1) + h, t[hit] * np.int64(len(doc) + 1) + before])
-                total += np.bincount(pair // (len(doc) + 1), minlength=len(terms))
+                # distinct (term, half): a half belongs to the passage that begins there and to the one before, which
+                # counts already where the term is in the half before too
+                pair = np.unique(t[hit] * np.int64(len(doc) + 1) + own[hit])
+                term, h = np.divmod(pair, len(doc) + 1)
+                total += np.bincount(term, minlength=len(terms))
+                if len(pair):
+                    alone = np.r_[True, pair[1:] != pair[:-1] + 1]
+                    total += np.bincount(term[alone & (first[doc[h]] < h)], minlength=len(terms))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[at, -1]), pa.array(np.r_[total[at], passages])], ["term", "n"])
     return run
@@ -161,7 +166,8 @@ class Searcher:
     weight: np.ndarray    # idf, 0 outside the reduced space
     ids: np.ndarray       # item ids
     words: list           # hashes of each item's words
-    vectors: np.ndarray   # items x rank, divided by the norms before the reduction
+    vectors: np.ndarray   # parts x rank, divided by the norms before the reduction
+    part_of: np.ndarray   # item of each part, ascending
     half: int
     cosine: float
     share: float
@@ -215,16 +221,19 @@ class Searcher:
         p = _pairs(_sums(self.latent[t[hit]], own[hit], len(doc)), doc)
         norm = np.sqrt(_pairs(_sums((self.weight[t[hit]] ** 2)[:, None], own[hit], len(doc)), doc)[:, 0])
         filled = np.flatnonzero(norm > 0)
+        begins = np.searchsorted(self.part_of, np.arange(len(self.ids)))  # each item has a part at least
         for a in range(0, len(filled), 4096):
             rows = filled[a:a + 4096]
             cos = (p[rows] @ self.vectors.T) / norm[rows][:, None]
+            cos = np.maximum.reduceat(cos, begins, axis=1)  # by item, the best of its parts
             for i, item in zip(*np.nonzero((cos >= self.cosine) & ~self.plain)):
                 check(rows[i], item, float(cos[i, item]))
         if self.plain.any():
             known = known[np.argsort(t[known], kind="stable")]
             for item in np.flatnonzero(self.plain):
+                parts = self.vectors[self.part_of == item]
                 for place in self._plain_places(item, t[known], own[known], doc, first):
-                    check(place, item, float(p[place] @ self.vectors[item] / norm[place]) if norm[place] > 0 else 0.0)
+                    check(place, item, float((parts @ p[place]).max() / norm[place]) if norm[place] > 0 else 0.0)
         return [(d, i, cos, common) for (d, i), (common, cos) in sorted(best.items())]
 
 
@@ -273,16 +282,22 @@ def fit(docs: DataFrame, rows, text_col: str = "text", half: int = 32, rank: int
     df = np.array([counts.get(i, 0) for i in range(len(terms))], float)
     idf = np.log((passages + len(words) + 1) / (df + 1))
     stopped = df > stop * max(passages, 10)
-    items = np.zeros((len(words), len(terms)))
-    for i, w in enumerate(words):
+    part_of = np.repeat(np.arange(len(words)), [-(-len(w) // (2 * half)) for w in words])
+    parts = [x for w in words for x in np.array_split(w, -(-len(w) // (2 * half)))]
+    items = np.zeros((len(parts), len(terms)))
+    for i, w in enumerate(parts):
         np.add.at(items[i], np.searchsorted(terms, w), 1)
-    held = (items * ~stopped).sum(axis=1) / np.maximum(items.sum(axis=1), 1)
+
+    def by_item(x):
+        return np.bincount(part_of, x, len(words))
+
+    held = by_item((items * ~stopped).sum(axis=1)) / np.maximum(by_item(items.sum(axis=1)), 1)
     items *= idf
-    whole = (items ** 2).sum(axis=1)
+    whole = by_item((items ** 2).sum(axis=1))
     idf[stopped] = 0.0
     items[:, stopped] = 0.0
-    plain = (held <= 1 - share + 1e-9) | ((items ** 2).sum(axis=1) < 0.5 * whole)
-    rank = max(1, min(rank, len(terms)))
+    plain = (held <= 1 - share + 1e-9) | (by_item((items ** 2).sum(axis=1)) < 0.5 * whole)
+    rank = max(1, min(max(rank, len(parts)), len(terms)))
     z, energy = np.zeros((len(terms), rank)), 0.0
     if len(terms):
         found = (texts.mapInArrow(_sketch(terms, idf, half, rank, seed), "part int, sum binary")
@@ -307,15 +322,18 @@ def fit(docs: DataFrame, rows, text_col: str = "text", half: int = 32, rank: int
     norm = np.sqrt((items ** 2).sum(axis=1))
     vectors = (items @ basis) / np.maximum(norm, 1e-12)[:, None]
     return Searcher(terms, (basis * idf[:, None]).astype(np.float32), idf.astype(np.float32), ids, words,
-                    vectors.astype(np.float32), half, cosine, share, answers, answer_share, plain)
+                    vectors.astype(np.float32), part_of, half, cosine, share, answers, answer_share, plain)
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, answer_col: str | None, block: int):
-    """The benchmark's rows, a bounded number at a time."""
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, answer_col: str | None, block: int,
+            half: int = 32, **_):
+    """The benchmark's rows, as many at a time as have about ``block`` parts."""
     bound_batches(benchmark.sparkSession)
     rows = benchmark.select(F.col(item_col).alias("item_id"), F.col(text_col).cast("string").alias("text"),
                             (F.col(answer_col) if answer_col else F.lit(None)).cast("string").alias("answer"))
-    n = max(1, -(-rows.count() // block))
+    n_words = F.size(F.split(F.coalesce("text", F.lit("")), r"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+"))
+    n_parts = rows.agg(F.sum(F.ceil(n_words / (2 * half)))).first()[0] or 0
+    n = max(1, -(-n_parts // block))
     for k in range(n):
         part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k)
         yield part.orderBy("item_id", "text", "answer").collect()
@@ -327,7 +345,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """One row per document and item that it holds: (doc_id, item_id, cosine, lcs)."""
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     out = None
-    for rows in _blocks(benchmark, item_col, item_text_col, answer_col, block):
+    for rows in _blocks(benchmark, item_col, item_text_col, answer_col, block, **options):
         s = fit(base, rows, "text", **options)
 
         def run(batches, s=s):
@@ -352,7 +370,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     """The documents that hold no item, with all their columns."""
     at = docs.columns.index(text_col)
     out = docs
-    for rows in _blocks(benchmark, item_col, item_text_col, answer_col, block):
+    for rows in _blocks(benchmark, item_col, item_text_col, answer_col, block, **options):
         s = fit(docs, rows, text_col, **options)
 
         def run(batches, s=s):

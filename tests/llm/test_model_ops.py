@@ -250,6 +250,24 @@ def test_latent_search_finds_broken_off_copies(spark):
     assert got == {(i, i % 10) for i in range(20) if i % 2 == 0}
 
 
+def test_latent_search_finds_long_items(spark):
+    rng = random.Random(18)
+    vocab = [f"v{i}" for i in range(30000)]
+    items = [(k, " ".join(rng.sample(vocab, 1700 if k < 3 else 600 if k < 6 else 30))) for k in range(60)]
+    rows = []
+    for i in range(300):
+        w = [rng.choice(vocab) for _ in range(200)]
+        if i < 60:
+            at = rng.randrange(len(w))
+            w[at:at] = items[i][1].split()
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for block in (200, 20):
+        got = {(r.doc_id, r.item_id) for r in latent_search.contamination(docs, bench, block=block).collect()}
+        assert got == {(i, i) for i in range(60)}
+
+
 def test_lcs_share_against_the_table():
     rng = np.random.default_rng(3)
     for _ in range(50):
