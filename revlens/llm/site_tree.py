@@ -13,7 +13,11 @@
   only named containers without paragraphs of their own go that way, and only
   on hosts with ``least_pages`` distinct pages, so copies of an article on a host
   don't remove it.  Branches whose tag or class says that they are menus,
-  headers, footers, sidebars, notices, adverts, forms, comments or code always go.
+  headers, footers, sidebars, notices, adverts, forms, comments or code go too,
+  but never by a class (nor as a form) where they hold more than half of the
+  text of the page or of the ``article`` or ``main`` around them, nor where they
+  hold ``main``, nor where no ``article`` is outside of such branches.  What is
+  kept so counts in the style tree like any other branch.
 
 Where a page has an ``article`` or ``main``, its text is the text in there, else
 that of the body.  Blocks (paragraphs, headings, list items, cells) come in page
@@ -63,6 +67,10 @@ JUNK_NAMES = frozenset(
     "comment comments disqus respond reply replies related recommended recommendations trending pagination pager toolbar "
     "complementary contentinfo search-form skip gdpr".split())
 TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 li td th dd dt pre blockquote figcaption caption".split())
+# words that tell of a page's state or layout, not of what a branch is (has-sidebar, no-comments, form-page)
+_STATE_FIRST = frozenset("has with no without show hide is".split())
+_STATE_LAST = frozenset("page layout template".split())
+_HEAD_NAMES = frozenset("header masthead".split())
 _ENDS_P = BLOCK - {"option", "select"}
 _SELF_NESTED = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"),
                 "th": ("td", "th"), "option": ("option",), "p": ("p",)}
@@ -70,25 +78,65 @@ _SCOPES = frozenset("ul ol dl table article section div main body html aside nav
 
 
 class Node:
-    __slots__ = ("tag", "names", "path", "junk", "children", "parent")
+    __slots__ = ("tag", "names", "path", "in_article", "junk", "children", "parent")
 
     def __init__(self, tag, names, parent):
         self.tag, self.names, self.parent = tag, names, parent
         self.children: list = []
         self.path = (parent.path + "/" if parent else "") + tag + "".join("." + n for n in sorted(names))
-        inside = parent is not None and (parent.junk or False)
-        article_head = tag == "header" and parent is not None and "article" in parent.path.split("/")
-        self.junk = inside or (tag in JUNK_TAGS and not article_head) or bool(
-            tag not in ("html", "body", "article", "main", "h1") and _junk_names(names))
+        self.in_article = parent is not None and (parent.in_article or parent.tag == "article")
+        self.junk = False  # set by settle() when the page is whole
 
 
-def _junk_names(names) -> bool:
+def _junk_names(names, but=frozenset()) -> bool:
     for n in names:
-        if n in JUNK_NAMES or any(part in JUNK_NAMES for part in re.split(r"[-_\s]+", n)):
+        parts = [x for x in re.split(r"[-_\s]+", n) if x]
+        if len(parts) > 1 and (parts[0] in _STATE_FIRST or parts[-1] in _STATE_LAST):
+            continue
+        if n in JUNK_NAMES - but or any(x in JUNK_NAMES and x not in but for x in parts):
             return True
     return False
 
 
+def settle(root: Node) -> None:
+    """Mark the branches whose tag or names say that they are no main text; see the module's text."""
+    order, todo = [], [root]
+    while todo:
+        x = todo.pop()
+        order.append(x)
+        todo.extend(c for c in x.children if not isinstance(c, str))
+    by_tag, by_name, n_chars, has_main = set(), set(), {}, set()
+    for x in reversed(order):  # children before their parents
+        if x.tag in JUNK_TAGS and not (x.tag == "header" and x.in_article):
+            by_tag.add(x)
+        elif x.tag not in ("html", "body", "article", "main", "h1") and _junk_names(
+                x.names, _HEAD_NAMES if x.in_article else frozenset()):
+            by_name.add(x)
+        n_chars[x] = sum(len(c.strip()) if isinstance(c, str) else n_chars[c] if c not in by_tag or c.tag == "form" else 0
+                         for c in x.children)
+        if x.tag == "main" or any(c in has_main for c in x.children if not isinstance(c, str)):
+            has_main.add(x)
+
+    def mark(spared):
+        within = {root: root}  # the article, main or page that a node is in
+        for x in order:
+            if x.parent is not None:
+                within[x] = x.parent if x.parent.tag in ("article", "main") else within[x.parent]
+            most = 2 * n_chars[x] > n_chars[within[x]] and (x in by_name or x.tag == "form")
+            own = (x in by_tag or x in by_name) and not most and x not in has_main and x not in spared
+            x.junk = own or (x.parent is not None and x.parent.junk)
+
+    mark(())
+    articles = [x for x in order if x.tag == "article"]
+    if articles and not has_main and all(x.junk for x in articles):
+        spared = set()
+        for x in articles:
+            while x is not None and x not in spared:
+                spared.add(x)
+                x = x.parent
+        mark(spared)
+
+
 def _names(attrs: str) -> frozenset:
     found = set()
     for _, a, b, c in _CLASS.findall(attrs or ""):
@@ -150,6 +198,7 @@ def parse(page: str) -> Node:
             here = node
         elif tag not in VOID:
             here = node if tag in BLOCK else here  # <div/> opens a div in HTML
+    settle(root)
     return root
 
 

@@ -295,6 +295,22 @@ def test_blocks_of_a_page():
     assert site_tree.blocks(site_tree.parse("")) == []
 
 
+@pytest.mark.parametrize("page, want", [
+    ("<div class='content-sidebar-wrap'><main><p>Text</p></main><div class='sidebar'>Links to all and more</div></div>", ["Text"]),
+    ("<div class='has-sidebar'><article><p>Text</p></article></div><p>Around it is much more</p>", ["Text"]),
+    ("<div class='sidebar-left-wrap'><article><p>Text</p></article></div><p>Around it is much more</p>", ["Text"]),
+    ("<div class='site-with-ads'><p>Long main text</p><div class='ads'>Buy</div></div><p>End</p>", ["Long main text", "End"]),
+    ("<div class='no-comments form-page'><p>Text</p></div><p>Much longer text after it</p>", ["Text", "Much longer text after it"]),
+    ("<form id='aspnetForm'><nav>Menu</nav><p>Main text</p></form><footer>Imprint</footer>", ["Main text"]),
+    ("<form id='f'><nav>Menu</nav><main><p>Main text</p></main></form>", ["Main text"]),
+    ("<article class='post'><header><h1>Head</h1></header><p>Text</p></article>", ["Head", "Text"]),
+    ("<article class='post'><header class='entry-header'><h1>Head</h1></header><p>Text</p></article>", ["Head", "Text"]),
+    ("<article><p>Long text</p></article><div class='related-posts'><article>More</article></div>", ["Long text"]),
+    ("<article><p>Long text here</p><div class='comments'>First!</div></article>", ["Long text here"])])
+def test_names_do_not_remove_main_text(page, want):
+    assert site_tree.blocks(site_tree.parse(f"<html><body>{page}</body></html>")) == want
+
+
 def test_repeated_branches_go_and_articles_stay(spark):
     rng = random.Random(8)
 
