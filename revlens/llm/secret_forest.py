@@ -1,16 +1,20 @@
 """Operator 7: secret scans with a random forest that removes false findings.
 
-Candidates are runs of 12 or more letters, digits, ``+ / _ -`` (and closing
-``=``) with a digit in them.  Each is described by its length, shares and
+Candidates are, the first of them where they overlap: whole PEM blocks; user
+information in URLs; values of any length and characters that are assigned to a
+credential's name; dotted tokens of three parts or more; runs of 12 or more
+letters, digits, ``+ / _ -`` (and closing ``=``) with a digit in them.  Each is
+described by which of these it is, its length, lines, shares and
 transitions of character classes, entropy, how much of its letters the rest of
 the document uses as words (dictionary coverage), path marks around it and the
 word before it.  A random forest tells secrets from other findings.
 
 The forest is trained from labelled findings, at most ``per_class`` of either
-label (those with the smallest hash of place and id).  A caller can pass a table
+label and sort (those with the smallest hash of place and id); sorts with few of
+them count as ``least_rows``.  A caller can pass a table
 of them (id, start, label).  Without one, the labels come from ``rule_label``,
-fixed formats of well-known keys and assignments to credential names, which
-the given tables hold; the forest sees neither the formats nor the rule.
+fixed formats of well-known keys, private keys, passwords in URLs and
+assignments to credential names; the forest sees neither the formats nor the rule.
 
 Scanning and redaction are one pass over whole texts without a shuffle.
 
@@ -34,9 +38,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from revlens.llm.common import bound_batches
+from revlens.llm.common import bound_batches, cut
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_\-]{12,}={0,2}", re.ASCII)
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----(?:.*?-----END \1-----|[A-Za-z0-9+/=\s\\]*)", re.S)
+URL_USER = re.compile(r"://([^\s/?#\"'<>]+)@(?=[A-Za-z0-9\[])", re.ASCII)
+ASSIGNED = re.compile(r"(?<![A-Za-z0-9_\-])([A-Za-z][A-Za-z0-9_\-]{1,60})[\"']?[ \t]{0,4}(?::=|=>|[=:])[ \t]{0,4}"
+                      r"(?:\"((?:[^\"\\\n]|\\.)+)\"|'((?:[^'\\\n]|\\.)+)'|([^\s\"'`]+))", re.ASCII)
+DOTTED = re.compile(r"(?<![A-Za-z0-9_.\-])[A-Za-z0-9_\-]{2,}(?:\.[A-Za-z0-9_\-]{6,}){2,}", re.ASCII)
+_PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 _DIGIT = re.compile(r"[0-9]")
 _LETTERS = re.compile(r"[A-Za-z]{3,}")
 _BEFORE = re.compile(r"([A-Za-z_\-]+)\W{0,4}$", re.ASCII)
@@ -46,23 +56,95 @@ _HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 CREDENTIAL_WORDS = ("key", "token", "secret", "password", "passwd", "pwd", "credential", "auth", "bearer", "apikey")
 DIGEST_WORDS = ("sha", "md5", "commit", "checksum", "digest", "hash", "uuid", "id", "isbn", "phone", "card")
 # fixed values: published formats of access keys
+STRONG_WORDS = ("token", "secret", "password", "passwd", "passphrase", "pwd", "credential", "apikey", "accesskey",
+                "secretkey", "privatekey")
+# fixed values: what stands where a secret is left out
+NO_SECRETS = frozenset("none null nil true false undefined str string bytes int optional xxx todo changeme".split())
 KEY_FORMATS = (r"AKIA[0-9A-Z]{16}", r"ASIA[0-9A-Z]{16}", r"gh[pousr]_[A-Za-z0-9]{36}", r"sk_live_[A-Za-z0-9]{16,}",
-               r"xox[abprs]-[A-Za-z0-9-]{10,}", r"AIza[A-Za-z0-9_-]{35}", r"glpat-[A-Za-z0-9_-]{20}")
+               r"xox[abprs]-[A-Za-z0-9-]{10,}", r"AIza[A-Za-z0-9_-]{35}", r"glpat-[A-Za-z0-9_-]{20}",
+               r"eyJ[A-Za-z0-9_-]{8,}(?:\.[A-Za-z0-9_-]+){1,4}")
 _FORMAT = re.compile("|".join(f"(?:{f})" for f in KEY_FORMATS))
 
 MASK = "[SECRET]"
 _FINDINGS = "array<struct<start:int,length:int,score:double>>"
 
 
+def _credential(name: str) -> bool:
+    """Whether a name's last part is a credential's (api_key, dbPassword; not author or monkey)."""
+    parts = [x.lower() for x in _PARTS.findall(name)]
+    while len(parts) > 1 and parts[-1].isdigit():
+        parts.pop()
+    last = parts[-1].removesuffix("s") if parts else ""
+    return last in CREDENTIAL_WORDS or last.endswith(STRONG_WORDS)
+
+
+def _strong(name: str) -> bool:
+    return any(w in "".join(_PARTS.findall(name)).lower() for w in STRONG_WORDS)
+
+
+def _value(m) -> tuple[int, int, str] | None:
+    """(begin, end, name) of the value in a match of ASSIGNED, if a credential's name has one."""
+    if not _credential(m[1]):
+        return None
+    group = 2 if m[2] else 3 if m[3] else 4
+    a, b = m.span(group)
+    s = m[group]
+    if group == 4:
+        if m.string[max(0, m.start() - 1):m.start()] in ("?", "&"):
+            s = re.split("[&#]", s)[0]
+        s = s.rstrip(",;.)]}>")
+        b = a + len(s)
+    elif any(c.isspace() for c in s) and not _strong(m[1]):
+        return None  # a text of some words; runs in it are candidates by themselves
+    return (a, b, m[1]) if s and s != MASK else None
+
+
+def _spans(text: str):
+    """(begin, end, sort, name) of what may be secrets, in order of rank."""
+    if "-----BEGIN " in text:
+        yield from ((m.start(), m.end(), 4, m[1]) for m in PEM.finditer(text))
+    if "://" in text:
+        yield from ((m.start(1), m.end(1), 3, "") for m in URL_USER.finditer(text))
+    at = 0
+    while m := ASSIGNED.search(text, at):
+        v = _value(m)
+        if v:
+            yield v[0], v[1], 2, v[2]
+        at = v[1] if v else m.end(1)  # the value of another name may hold an assignment
+    yield from ((m.start(), m.end(), 1, "") for m in DOTTED.finditer(text) if _DIGIT.search(m[0]))
+    yield from ((m.start(), m.end(), 0, "") for m in CANDIDATE.finditer(text) if _DIGIT.search(m[0]))
+
+
+def sorted_candidates(text: str) -> list[tuple[int, int, int, str]]:
+    """(begin, end, sort, name) of the candidates, none overlapping, by place."""
+    found = sorted((a, -k, b, name) for a, b, k, name in _spans(text))
+    if not found:
+        return []
+    out: list[tuple[int, int, int, str]] = []
+    for k in (4, 3, 2, 1, 0):  # of overlapping ones the first sort
+        own = [(a, b, -j, name) for a, j, b, name in found if -j == k]
+        if not own:
+            continue
+        merged, i = [], 0
+        for x in own:
+            while i < len(out) and out[i][1] <= x[0]:
+                merged.append(out[i])
+                i += 1
+            if (i == len(out) or out[i][0] >= x[1]) and (not merged or merged[-1][1] <= x[0]):
+                merged.append(x)
+        out = merged + out[i:]
+    return out
+
+
 def candidates(text: str) -> list[tuple[int, int]]:
-    return [(m.start(), m.end()) for m in CANDIDATE.finditer(text) if _DIGIT.search(text, m.start(), m.end())]
+    return [(a, b) for a, b, _, _ in sorted_candidates(text)]
 
 
 def _names(before: str, words) -> bool:
     return any(w in before for w in words)
 
 
-def describe(text: str, begin: int, end: int) -> list[float]:
+def describe(text: str, begin: int, end: int, sort: int = 0, name: str = "") -> list[float]:
     """Features of a candidate; see the module's text."""
     s = text[begin:end]
     n = len(s)
@@ -71,7 +153,7 @@ def describe(text: str, begin: int, end: int) -> list[float]:
     entropy = -sum(k / n * math.log2(k / n) for k in counts.values())
     left, right = text[max(0, begin - 40):begin], text[end:end + 2]
     m = _BEFORE.search(left)
-    before = m[1].lower() if m else ""
+    before = name.lower() or (m[1].lower() if m else "")
     low = text.lower()
     known = sum(len(w) for w in _LETTERS.findall(s) if low.count(w.lower()) > 1)
     digits = [int(c) for c in s if c.isdigit()]
@@ -80,18 +162,33 @@ def describe(text: str, begin: int, end: int) -> list[float]:
         doubled = [d if (n - i) % 2 else (2 * d - 9 if d > 4 else 2 * d) for i, d in enumerate(digits)]
         luhn = float(sum(doubled) % 10 == 0)
     return [float(n), kinds.count("d") / n, kinds.count("u") / n, kinds.count("l") / n, entropy,
-            sum(a != b for a, b in zip(kinds, kinds[1:])) / (n - 1), float(bool(_HEX.fullmatch(s))), len(counts) / n,
+            sum(a != b for a, b in zip(kinds, kinds[1:])) / max(1, n - 1), float(bool(_HEX.fullmatch(s))), len(counts) / n,
             known / n, float("/" in s) + float("/" in left[-1:] + right[:1]), float("@" in left[-1:] + right[:1]),
             float(left[-1:] in "=:\"'" and left != ""), float(right[:1] in "\"'" and right != ""),
             float(_names(before, CREDENTIAL_WORDS)), float(_names(before, DIGEST_WORDS)), luhn,
-            float(kinds.count("o") / n)]
+            float(kinds.count("o") / n), float(sort), float(s.count("\n")), float("private" in before or _strong(name)),
+            float(any(c.isspace() or c in "()[]{}$" for c in s)), float(":" in s), float(s.lower() in NO_SECRETS)]
 
 
-def rule_label(text: str, begin: int, end: int) -> int:
-    """Label of a finding by fixed rules: 1 for published key formats and values assigned to a credential's name."""
+def rule_label(text: str, begin: int, end: int, sort: int | None = None, name: str = "") -> int:
+    """Label of a finding by fixed rules: 1 for published key formats, private keys, passwords in URLs and values
+    assigned to a credential's name."""
+    if sort is None:
+        sort, name = next(((k, x) for a, b, k, x in sorted_candidates(text) if (a, b) == (begin, end)), (0, ""))
     s = text[begin:end]
     if _FORMAT.fullmatch(s):
         return 1
+    if sort == 4:
+        return int("PRIVATE KEY" in name)
+    if sort == 3:
+        user, colon, password = s.partition(":")
+        return int(bool(_FORMAT.fullmatch(user)) or bool(password) and password[0] not in "$<{" and password != MASK)
+    if sort == 2 and _strong(name) and s.lower() not in NO_SECRETS and s[0] not in "$<{":
+        if text[begin - 1:begin] in ("'", '"') and text[end:end + 1] == text[begin - 1:begin]:
+            return 1
+        if not re.search(r"[()\[\]{}]|^[A-Za-z_]\w*(\.[A-Za-z_]\w*)+$", s):  # no expression of a program
+            mixed = any(c.isalpha() for c in s) and any(not c.isalpha() and c not in "_.-" for c in s)
+            return int(mixed or (s.isalpha() and len(s) >= 12))
     left = text[max(0, begin - 40):begin]
     m = _BEFORE.search(left)
     assigned = re.search(r"[=:]\s*[\"']?$", left) is not None
@@ -164,46 +261,50 @@ def grow(x: np.ndarray, y: np.ndarray, trees: int = 25, depth: int = 8, least: i
 
 
 def _described(batches):
-    """Rows (id, text) to one row per candidate: (id, start, label by rule, features)."""
+    """Rows (id, text) to one row per candidate: (id, start, label by rule, sort, features)."""
     for batch in batches:
         rows = []
         for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            for a, b in candidates(t or ""):
-                rows.append((i, a, rule_label(t, a, b), np.array(describe(t, a, b)).tobytes()))
-        kinds = (pa.string(), pa.int32(), pa.int32(), pa.binary())
-        cols = list(zip(*rows)) if rows else [[]] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["id", "start", "label", "x"])
+            for a, b, k, name in sorted_candidates(t or ""):
+                rows.append((i, a, rule_label(t, a, b, k, name), k, np.array(describe(t, a, b, k, name)).tobytes()))
+        kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+        cols = list(zip(*rows)) if rows else [[]] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["id", "start", "label", "sort", "x"])
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", findings: DataFrame | None = None,
-          per_class: int = 1500, **options) -> Forest:
+          per_class: int = 1500, least_rows: int = 60, **options) -> Forest:
     """Forest from labelled findings, ``findings`` (id, start, label) or by ``rule_label``."""
     bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"))
-    found = rows.mapInArrow(_described, "id string, start int, label int, x binary")
+    found = rows.mapInArrow(_described, "id string, start int, label int, sort int, x binary")
     if findings is not None:
         known = findings.select(F.col("id").cast("string"), F.col("start").cast("int"), F.col("label").cast("int"))
         found = found.drop("label").join(known, ["id", "start"])
+    found = cut(found)
     place = F.xxhash64("id", "start", "x")
-    picked = None
+    x, y = [], []
     for value in (0, 1):
-        part = (found.where(F.col("label") == value).orderBy(place, "id", "start").limit(per_class)
-                .select("label", "x"))
-        picked = part if picked is None else picked.unionByName(part)
-    sample = sorted((r.label, bytes(r.x)) for r in picked.collect())  # at most 2 * per_class rows of numbers
-    if not sample:
+        for sort in range(5):
+            part = (found.where((F.col("label") == value) & (F.col("sort") == sort)).orderBy(place, "id", "start")
+                    .limit(per_class).select("x"))
+            own = sorted(bytes(r.x) for r in part.collect())  # at most per_class rows of numbers
+            own *= -(-least_rows // len(own)) if own and len(own) < least_rows else 1
+            x += own
+            y += [value] * len(own)
+    if not x:
         return Forest([])
-    return grow(np.stack([np.frombuffer(x) for _, x in sample]), np.array([y for y, _ in sample]), **options)
+    return grow(np.stack([np.frombuffer(r) for r in x]), np.array(y), **options)
 
 
 def _found(model: Forest, texts: list, threshold: float):
     """(spans of candidates, scores) for each text."""
-    spans = [candidates(t or "") for t in texts]
-    x = [describe(t, a, b) for t, own in zip(texts, spans) for a, b in own]
+    spans = [sorted_candidates(t or "") for t in texts]
+    x = [describe(t, *c) for t, own in zip(texts, spans) for c in own]
     score = model.score(np.array(x)) if x else np.zeros(0)
     at = 0
     for own in spans:
-        yield own, score[at:at + len(own)]
+        yield [(a, b) for a, b, _, _ in own], score[at:at + len(own)]
         at += len(own)
 
 
