@@ -208,8 +208,12 @@ class Searcher:
             d = int(doc[place])
             words = self.words[item]
             begin = w.first[d] + (place - first[d]) * self.half
-            near = w.hash[max(w.first[d], begin - len(words)):min(w.first[d + 1], begin + 2 * self.half + len(words))]
-            common = lcs_share(words, near)
+            reach = slice(max(w.first[d], begin - len(words)), min(w.first[d + 1], begin + 2 * self.half + len(words)))
+            near = w.hash[reach]
+            held = near[t[reach] >= 0]  # other words are in no item
+            if len(held) < self.share * len(words) - 1e-6:
+                return
+            common = lcs_share(words, held)
             if common < self.share:
                 return
             if len(self.answers[item]) and lcs_share(self.answers[item], near) < self.answer_share:
@@ -225,7 +229,8 @@ class Searcher:
         for a in range(0, len(filled), 4096):
             rows = filled[a:a + 4096]
             cos = (p[rows] @ self.vectors.T) / norm[rows][:, None]
-            cos = np.maximum.reduceat(cos, begins, axis=1)  # by item, the best of its parts
+            if len(self.part_of) > len(self.ids):
+                cos = np.maximum.reduceat(cos, begins, axis=1)  # by item, the best of its parts
             for i, item in zip(*np.nonzero((cos >= self.cosine) & ~self.plain)):
                 check(rows[i], item, float(cos[i, item]))
         if self.plain.any():
