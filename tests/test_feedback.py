@@ -73,7 +73,7 @@ def test_versioned_table_roundtrip(spark, tmp_path):
 
 
 def test_review_store_layout_prunes_dates(spark, tmp_path):
-    from conftest import SF001
+    from data_paths import SF001
     from revlens.sources.fixtures import fixture
     base = str(tmp_path / "store")
     path = sinks.write_review_store(fixture(spark, SF001, "reviews").filter("ts IS NOT NULL"), base, vec_col=None)

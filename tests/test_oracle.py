@@ -5,7 +5,7 @@ import pytest
 
 from oracle_compare import compare
 
-from conftest import SF001
+from data_paths import SF001
 
 
 def test_all_registered_queries_match_oracle(spark):

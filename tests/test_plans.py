@@ -3,7 +3,7 @@ no nested-loop joins (all joins are equi-joins, OR scopes are rewritten)."""
 
 import pytest
 
-from conftest import SF001
+from data_paths import SF001
 
 from revlens.catalog import queries
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from revlens.session import checkpoint_dir, spread
 from revlens.sources import sinks
 
-from conftest import SF001
+from data_paths import SF001
 
 
 def test_spread_only_narrow_shuffle_free_inputs(spark):

@@ -10,7 +10,7 @@ from revlens.sources import sinks
 from revlens.sources.fixtures import fixture
 from revlens.streaming import jobs as J
 
-from conftest import SF001
+from data_paths import SF001
 
 
 def test_incremental_feedback_over_several_batches(spark, tmp_path):
