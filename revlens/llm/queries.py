@@ -74,10 +74,23 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_read(spark, sf_dir, "pages"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, proof and check of each document in the Merkle manifest of all documents."""
+    from revlens.llm.merkle import verify
+    return verify(_read(spark, sf_dir, "documents"))
+
+
+def op13_segment_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, score and rank of all documents in a sample drawn towards the benchmark's texts."""
+    from revlens.llm.resampling import resample
+    return (resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+            .select("doc_id", "n_features", "weight", "score", "rank"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2:3].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
     return {"op1_pivot_permutation": sql.OP1, "op2_relative_lz": sql.OP2, "op3_ngram_jaccard": sql.OP3,
-            "op10_warc": sql.OP10}
+            "op10_warc": sql.OP10, "op12_merkle_manifest": sql.OP12, "op13_segment_resampling": sql.OP13}
