@@ -55,6 +55,8 @@ def _norm(v):
 
 def frame_digest(pdf: pd.DataFrame):
     cols = sorted(pdf.columns)
+    # integers with nulls come as floats from one engine and as nullable integers from the other
+    pdf = pdf.astype({c: "float64" for c in cols if str(pdf[c].dtype) == "Int64"})
     rows = []
     for rec in pdf[cols].itertuples(index=False, name=None):
         rows.append(repr(tuple(_norm(x) for x in rec)))
