@@ -74,6 +74,12 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_read(spark, sf_dir, "pages"))
 
 
+def op11_gated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of each document by a gated recurrent network learnt from those not held out."""
+    from revlens.llm.gated_lm import score
+    return score(_read(spark, sf_dir, "documents"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaf, proof and check of each document in the Merkle manifest of all documents."""
     from revlens.llm.merkle import verify
