@@ -317,13 +317,15 @@ def backward(net: Network, s: Stream, index: np.ndarray, saved, back: np.ndarray
 
 
 class Adam:
-    def __init__(self, net: Network, rate: float):
-        self.net, self.rate, self.t = net, rate, 0
+    """Steps of slowly growing size at first, when the moments rest on few windows."""
+
+    def __init__(self, net: Network, rate: float, warm: int = 40):
+        self.net, self.rate, self.warm, self.t = net, rate, warm, 0
         self.m, self.v = ({k: np.zeros_like(a) for k, a in net.w.items()} for _ in range(2))
 
     def step(self, grads: dict, tokens: int) -> None:
         self.t += 1
-        fix = math.sqrt(1 - 0.999 ** self.t) / (1 - 0.9 ** self.t)
+        fix = math.sqrt(1 - 0.999 ** self.t) / (1 - 0.9 ** self.t) * min(1.0, self.t / self.warm)
         for k, g in grads.items():
             g /= tokens
             np.clip(g, -0.1, 0.1, out=g)

@@ -9,6 +9,7 @@ from revlens.operators import codefacts as CF
 from revlens.operators import diffs as D
 from revlens.plans.sql import with_fixtures
 from revlens.sources.fixtures import fixture
+from revlens.sources.samples import facts_sql
 
 # Known facts of the generated source files (see the source_text template):
 # run() spans the class body, helper() is nested in it, top_N() is top level.
@@ -32,6 +33,23 @@ def p01(spark, sf):
                       "param_count", "is_method")
 
 
+_FACTS = ["file_id", "name", "start_line", "end_line", "complexity", "has_docstring", "param_count", "is_method"]
+
+
+@register("P01_P06_mixed_sources", facts_sql())
+def p06(spark, sf):
+    """Functions of files of several shapes and languages."""
+    return CF.functions(fixture(spark, sf, "code_samples")).select(*_FACTS)
+
+
+@register("P01_function_sources", with_fixtures(f"""
+SELECT f.file_id, f.name, f.start_line, array_to_string(string_split(s.source, chr(10))[f.start_line + 1:f.end_line + 1], chr(10)) AS source
+FROM ({facts_sql()}) f JOIN code_samples s ON s.file_id = f.file_id""", "code_samples"))
+def p01_source(spark, sf):
+    """The text of each function's lines."""
+    return CF.functions(fixture(spark, sf, "code_samples")).select("file_id", "name", "start_line", "source")
+
+
 @register("A23_X31_function_summary", with_fixtures("""
 SELECT repo, pr_number, filename,
        CASE WHEN regexp_matches(filename, '\\.py$') THEN '  • f_' || file_id || '() — lines 0–1  [complexity=1]'

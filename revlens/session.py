@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -117,6 +118,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}"
 
 
+def written(df, name: str):
+    """``df`` as a table written once under the shared checkpoint folder: cuts
+    lineage, fixes its rows for every later read and has sizes of its own."""
+    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(df, min_partitions: int | None = None):
     """Spread a narrow input across the cluster before CPU-heavy row-local
     work (JSON parse, HMAC, diff parsing).

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from revlens.session import spread
+from revlens.sources.samples import source_template
 from revlens.sources.tables import load_table
 
 TEMPLATES: dict[str, str] = {}
@@ -135,6 +136,8 @@ SELECT p_partkey AS file_id, 'python' AS language,
 FROM {part}
 """
 
+TEMPLATES["code_samples"] = source_template()
+
 _PLACEHOLDER = re.compile(r"(?<!\{)\{([a-z_]+)\}(?!\})")
 
 
