@@ -85,13 +85,14 @@ def segment(texts: DataFrame, n: int, buckets: int) -> tuple[DataFrame, DataFram
     split = F.split("text", "\n", -1)
     lines = (texts.select(F.explode(split).alias("line")).where("line <> ''")
              .groupBy("line").agg(F.count(F.lit(1)).alias("occurrences"))
-             .withColumn("words", words(F.col("line"))).where(F.size("words") > 0)
+             .withColumn("words", words(F.col("line")))
              .select(F.unhex(F.sha2("line", 256)).alias("digest"), "occurrences", F.size("words").cast("long").alias("n_words"),
                      line_buckets(F.col("words"), n, buckets).alias("buckets")))
     digests = F.transform(F.filter(split, lambda s: s != ""), lambda s: F.unhex(F.sha2(s, 256)))
     rows = texts.select(F.monotonically_increasing_id().alias("row"), "id", digests.alias("digests"),
                         crossing_buckets(F.col("text"), n, buckets).alias("buckets"))
-    return cut(rows), cut(lines)
+    # a filter on the words, if put before the write, would run on every line ahead of the grouping
+    return cut(rows), cut(lines).where("n_words > 0")
 
 
 def bucket_counts(rows: DataFrame, lines: DataFrame) -> dict[int, int]:
