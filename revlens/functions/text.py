@@ -48,9 +48,10 @@ def py_strip(s) -> Column:
     return F.regexp_replace(_c(s), f"^{PY_SPACE_CLASS}+|{PY_SPACE_CLASS}+$", "")
 
 
-def pr_description(body, max_chars: int = 1000) -> Column:
-    """Null -> '', stripped, capped."""
-    return cap(py_strip(F.coalesce(_c(body), F.lit(""))), max_chars)
+def pr_description(body, max_chars: int | None = 1000) -> Column:
+    """Null -> '', stripped, capped (whole with None)."""
+    text = py_strip(F.coalesce(_c(body), F.lit("")))
+    return text if max_chars is None else cap(text, max_chars)
 
 
 def percent_text(x) -> Column:

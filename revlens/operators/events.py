@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from revlens import schemas as S
 from revlens.functions.text import pr_description, short_sha
+from revlens.operators.feedback import content_id
 from revlens.session import spread
 
 # --------------------------------------------------------------- F05 signature
@@ -263,16 +264,18 @@ def route(deliveries: DataFrame, secret: str | None, event_col: str = "event_nam
             .withColumn("reason", reason))
 
 
-def pr_context(routed: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+def pr_context(routed: DataFrame, keep: tuple[str, ...] = (), max_body_chars: int | None = S.MAX_PR_BODY) -> DataFrame:
     """PR context (flattened event) for queued deliveries, with X08 and X30;
-    ``keep`` names columns of the delivery to carry along."""
+    ``keep`` names columns of the delivery to carry along, ``max_body_chars``
+    is the description's length as the event model shows it (None: whole)."""
     e = "event"
     q = routed.filter(F.col("status") == "queued")
     return q.select(
         F.col("delivery_id").alias("event_id"),
+        content_id(F.lit("review"), F.col("delivery_id").cast("string")).alias("review_id"),   # the same on a re-run
         F.col(f"{e}.pull_request.number").alias("pr_number"),
         F.col(f"{e}.pull_request.title").alias("pr_title"),
-        pr_description(F.col(f"{e}.pull_request.body"), S.MAX_PR_BODY).alias("pr_body"),
+        pr_description(F.col(f"{e}.pull_request.body"), max_body_chars).alias("pr_body"),
         F.col(f"{e}.pull_request.user.login").alias("pr_author"),
         F.col(f"{e}.pull_request.html_url").alias("pr_url"),
         F.col(f"{e}.pull_request.draft").alias("is_draft"),
@@ -295,9 +298,9 @@ def pr_context(routed: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 
 def log_extra(ctx: DataFrame) -> Column:
     """Log-context record with 12-char SHAs."""
-    return F.struct(F.col("repo_full_name").alias("repo"), F.col("pr_number").alias("pr"),
-                    F.col("action"), short_sha("head_sha", S.SHORT_SHA).alias("head_sha"),
-                    short_sha("base_sha", S.SHORT_SHA).alias("base_sha"), F.col("event_id"))
+    return F.struct(F.col("review_id"), F.col("repo_full_name").alias("repo"), F.col("pr_number").alias("pr"),
+                    F.col("pr_author").alias("author"), F.col("action"), short_sha("head_sha", S.SHORT_SHA).alias("head_sha"),
+                    short_sha("base_sha", S.SHORT_SHA).alias("base_sha"), F.col("is_draft"), F.col("event_id"))
 
 
 def queued_response(ctx: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from revlens import wording as W
 from revlens.catalog import register
 from revlens.operators import codefacts as CF
 from revlens.operators import diffs as D
@@ -50,10 +51,10 @@ def p01_source(spark, sf):
     return CF.functions(fixture(spark, sf, "code_samples")).select("file_id", "name", "start_line", "source")
 
 
-@register("A23_X31_function_summary", with_fixtures("""
+@register("A23_X31_function_summary", with_fixtures(f"""
 SELECT repo, pr_number, filename,
-       CASE WHEN regexp_matches(filename, '\\.py$') THEN '  • f_' || file_id || '() — lines 0–1  [complexity=1]'
-            ELSE '  (no named functions detected in added lines)' END AS functions_summary
+       CASE WHEN regexp_matches(filename, '\\.py$') THEN '* function f_' || file_id || ', lines 0 to 1, complexity 1'
+            ELSE '{W.NO_FUNCTIONS}' END AS functions_summary
 FROM diff_files WHERE coalesce(patch, '') <> ''""", "diff_files"))
 def a23(spark, sf):
     cf = D.changed_files(fixture(spark, sf, "diff_files"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from revlens import wording as W
 from revlens.catalog import register
 from revlens.operators import diffs as D
 from revlens.operators import events as E
@@ -134,9 +135,17 @@ def f06(spark, sf):
 _QUEUED = f"SELECT * FROM deliveries WHERE {_DISPOSITION.split(' AS status')[0]} = 'queued'"
 
 
+# the description without spaces at its ends, and the id that a delivery's review gets
+_BODY = r"substring(regexp_replace(coalesce(json_extract_string(body, '$.pull_request.body'), ''), '^\s+|\s+$', '', 'g'), 1, 1000)"
+_SHA = "sha256('review:' || delivery_id)"
+_REVIEW_ID = (f"substring({_SHA}, 1, 8) || '-' || substring({_SHA}, 9, 4) || '-' || substring({_SHA}, 13, 4) || '-' || "
+              f"substring({_SHA}, 17, 4) || '-' || substring({_SHA}, 21, 12)")
+
+
 @register("X30_pr_context", with_fixtures(f"""
 SELECT delivery_id AS event_id, CAST(json_extract(body, '$.pull_request.number') AS BIGINT) AS pr_number,
-       json_extract_string(body, '$.pull_request.title') AS pr_title, '' AS pr_body,
+       json_extract_string(body, '$.pull_request.title') AS pr_title, {_BODY} AS pr_body,
+       {_REVIEW_ID} AS review_id, json_extract_string(body, '$.pull_request.user.login') AS author, {_DRAFT} AS is_draft,
        json_extract_string(body, '$.repository.full_name') AS repo_full_name,
        substring(lower(json_extract_string(body, '$.pull_request.head.sha')), 1, 12) AS head_sha12,
        substring(lower(json_extract_string(body, '$.pull_request.base.sha')), 1, 12) AS base_sha12,
@@ -146,19 +155,20 @@ def x30(spark, sf):
     ctx = E.pr_context(routed(spark, sf))
     lx = E.log_extra(ctx)
     return ctx.select("event_id", "pr_number", "pr_title", "pr_body", "repo_full_name",
-                      lx["head_sha"].alias("head_sha12"), lx["base_sha"].alias("base_sha12"), "action")
+                      lx["review_id"].alias("review_id"), lx["author"].alias("author"), lx["is_draft"].alias("is_draft"),
+                      lx["head_sha"].alias("head_sha12"), lx["base_sha"].alias("base_sha12"), lx["action"].alias("action"))
 
 
 _PR_TITLES = f"""SELECT json_extract_string(body, '$.repository.full_name') AS repo,
        CAST(json_extract(body, '$.pull_request.number') AS BIGINT) AS pr_number,
-       arg_max(json_extract_string(body, '$.pull_request.title'), received_ts) AS title, '' AS body
+       arg_max(json_extract_string(body, '$.pull_request.title'), received_ts) AS title,
+       arg_max({_BODY}, received_ts) AS body
 FROM ({_QUEUED}) GROUP BY 1, 2"""
 
 
 def pr_titles(spark, sf):
     """Latest title/body per (repo, PR) from queued deliveries."""
-    ctx = E.pr_context(routed(spark, sf)).join(
-        fixture(spark, sf, "deliveries").select(F.col("delivery_id").alias("event_id"), "received_ts"), "event_id")
+    ctx = E.pr_context(routed(spark, sf), keep=("received_ts",))
     return (ctx.groupBy(F.col("repo_full_name").alias("repo"), "pr_number")
             .agg(F.max_by("pr_title", "received_ts").alias("title"), F.max_by("pr_body", "received_ts").alias("body")))
 
@@ -179,7 +189,7 @@ def s04(spark, sf):
 
 
 @register("F19_nothing_reviewable", with_fixtures(f"""
-SELECT t.repo, t.pr_number, '🤖 **RevLens**: No reviewable source files found in this PR.' AS message
+SELECT t.repo, t.pr_number, '{W.NO_FILES}' AS message
 FROM ({_PR_TITLES}) t
 WHERE NOT EXISTS (SELECT 1 FROM diff_files d WHERE d.repo = t.repo AND d.pr_number = t.pr_number
                   AND coalesce(d.patch, '') <> '')""", "deliveries", "diff_files"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from revlens import schemas as S
+from revlens import wording as W
 from revlens.catalog import register
 from revlens.functions.lookups import verdict_display
 from revlens.operators import findings as FD
@@ -31,10 +32,11 @@ _FRC = f"""(SELECT f.repo, f.pr_number, f.filename, count(v.pos) AS n,
         f.filename || ': ' || count(v.pos) || ' finding(s).' AS summary
    FROM reviewed_files f LEFT JOIN {_VF} v USING (repo, pr_number, filename) GROUP BY f.repo, f.pr_number, f.filename)"""
 _FIX_MD = f"CASE WHEN coalesce(code_fix, '') <> '' THEN '```' || {NL} || code_fix || {NL} || '```' END"
-_X26_ITEM = (f"'- [' || upper(severity) || '] line ' || line || ' (' || category || '): ' || issue || {NL} || "
-             f"'  Suggestion: ' || suggestion || CASE WHEN coalesce(code_fix, '') <> '' THEN {NL} || '  Fix: `' || code_fix || '`' ELSE '' END")
+_X26_ITEM = (f"'* ' || line || ', ' || severity || ', ' || category || ': ' || issue || '{W.TEXT_PROPOSAL}' || suggestion || "
+             f"CASE WHEN coalesce(code_fix, '') <> '' THEN '{W.TEXT_FIX}' || code_fix ELSE '' END")
+_TITLE = f"'{W.FILE_TITLE[0]}' || {{}}.filename || '{W.FILE_TITLE[1]}'"
 _X26 = f"""(SELECT f.repo, f.pr_number, f.filename,
-        concat_ws({NL}, '### ' || f.filename, r.summary, string_agg({_X26_ITEM}, {NL} ORDER BY pos)) AS text
+        concat_ws({NL}, '{W.TEXT_FILE}' || f.filename, r.summary, string_agg({_X26_ITEM}, {NL} ORDER BY pos)) AS text
    FROM {_VF} f JOIN {_FR} r USING (repo, pr_number, filename) GROUP BY f.repo, f.pr_number, f.filename, r.summary)"""
 
 
@@ -108,10 +110,10 @@ def o01(spark, sf):
 
 @register("X25_file_comment_markdown", with_fixtures(f"""
 SELECT r.repo, r.pr_number, r.filename,
-       concat_ws({NL}, '## 🤖 {P} — `' || r.filename || '`', '', r.summary, '',
-                 CASE WHEN r.n = 0 THEN '✅ No issues found in this file.' ELSE string_agg(concat_ws({NL}, '**' || {_ICON} || ' Line ' || line || '** `[' || upper(severity) || ']` `' || category || '`',
-                                      '> ' || issue, '**Suggestion:** ' || suggestion, {_FIX_MD}, ''), {NL} ORDER BY line, pos) END,
-                 '---', '*Generated by {P}. Not a substitute for human review.*') AS body
+       concat_ws({NL} || {NL}, {_TITLE.format('r')}, r.summary,
+                 CASE WHEN r.n = 0 THEN '{W.NOTHING_FOUND}' ELSE string_agg(concat_ws({NL}, '* ' || {_ICON} || ' line ' || line || ', ' || severity || ', ' || category || ': ' || issue,
+                                      '{W.PROPOSAL}' || suggestion, {_FIX_MD}), {NL} ORDER BY line, pos) END,
+                 '{W.FILE_END}') AS body
 FROM {_FRC} r LEFT JOIN {_VF} f USING (repo, pr_number, filename)
 GROUP BY r.repo, r.pr_number, r.filename, r.summary, r.n""", "findings", "reviewed_files"))
 def x25(spark, sf):
@@ -127,11 +129,9 @@ def x26(spark, sf):
 
 @register("X24_S16_inline_comments", with_fixtures(f"""
 SELECT f.repo, f.pr_number, f.filename, f.pos, f.filename AS path, f.line, 'RIGHT' AS side,
-       concat_ws({NL}, '**' || {_ICON} || ' [' || upper(severity) || ']** `' || category || '`', '', issue, '',
-                 '**Suggestion:** ' || suggestion,
-                 CASE WHEN coalesce(code_fix, '') <> '' THEN {NL} || '```' || {NL} || code_fix || {NL} || '```' END) AS body,
+       concat_ws({NL} || {NL}, {_ICON} || ' ' || severity || ', ' || category || ': ' || issue, '{W.PROPOSAL}' || suggestion, {_FIX_MD}) AS body,
        CASE WHEN r.any_critical THEN 'REQUEST_CHANGES' ELSE 'COMMENT' END AS event,
-       '## 🤖 {P} — `' || f.filename || '`' || {NL} || {NL} || r.summary AS review_body
+       {_TITLE.format('f')} || {NL} || {NL} || r.summary AS review_body
 FROM {_VF} f JOIN {_FR} r USING (repo, pr_number, filename)""", "findings"))
 def x24(spark, sf):
     from revlens.operators.outputs import inline_comment_rows
@@ -163,9 +163,8 @@ def a12(spark, sf):
 
 _ROLLUP = f"""(SELECT repo, pr_number, count(*) AS files_reviewed, CAST(sum(n) AS BIGINT) AS total_issues,
     bool_or(n > 0) AS any_issues,
-    concat_ws({NL}, '## 🤖 {P} Summary' || {NL} || {NL} || '**' || CASE WHEN sum(n) > 0 THEN '⚠️ NEEDS CHANGES' ELSE '✅ APPROVED' END || '**' || {NL},
-              string_agg('- **' || filename || '** — ' || summary || ' (' || CASE WHEN n > 0 THEN n || ' issue(s)' ELSE 'no issues' END || ')', {NL} ORDER BY filename),
-              {NL} || '---' || {NL} || '*Generated by {P}.*') AS fallback_summary
+    concat_ws({NL} || {NL}, '{W.SUMMARY_TITLE}', CASE WHEN sum(n) > 0 THEN '{W.WITH_FINDINGS}' ELSE '{W.WITHOUT_FINDINGS}' END,
+              string_agg('* `' || filename || '` (' || n || '): ' || summary, {NL} ORDER BY filename), '{W.SUMMARY_END}') AS fallback_summary
   FROM {_FR} GROUP BY repo, pr_number)"""
 _ROLLUP_ALL = _ROLLUP.replace(_FR, _FRC)
 
@@ -206,10 +205,10 @@ def s17(spark, sf):
 
 @register("S18_file_comment_outbox", with_fixtures(f"""
 SELECT r.repo, r.pr_number, r.filename, 'COMMENT' AS event,
-       md5(concat_ws({NL}, '## 🤖 {P} — `' || r.filename || '`', '', r.summary, '',
-                 CASE WHEN r.n = 0 THEN '✅ No issues found in this file.' ELSE string_agg(concat_ws({NL}, '**' || {_ICON} || ' Line ' || line || '** `[' || upper(severity) || ']` `' || category || '`',
-                                      '> ' || issue, '**Suggestion:** ' || suggestion, {_FIX_MD}, ''), {NL} ORDER BY line, pos) END,
-                 '---', '*Generated by {P}. Not a substitute for human review.*')) AS body_md5
+       md5(concat_ws({NL} || {NL}, {_TITLE.format('r')}, r.summary,
+                 CASE WHEN r.n = 0 THEN '{W.NOTHING_FOUND}' ELSE string_agg(concat_ws({NL}, '* ' || {_ICON} || ' line ' || line || ', ' || severity || ', ' || category || ': ' || issue,
+                                      '{W.PROPOSAL}' || suggestion, {_FIX_MD}), {NL} ORDER BY line, pos) END,
+                 '{W.FILE_END}')) AS body_md5
 FROM {_FRC} r LEFT JOIN {_VF} f USING (repo, pr_number, filename)
 GROUP BY r.repo, r.pr_number, r.filename, r.summary, r.n""", "findings", "reviewed_files"))
 def s18(spark, sf):
@@ -221,12 +220,12 @@ def s18(spark, sf):
 @register("A16_S19_notification", with_fixtures(f"""
 SELECT repo, pr_number, critical, high, medium, low, info,
        CASE WHEN critical > 0 THEN '#FF4444' WHEN high > 0 THEN '#FFB800' ELSE '#36A64F' END AS colour,
-       CASE WHEN critical > 0 THEN '🚨 *CRITICAL ISSUES* — immediate action required'
-            WHEN high > 0 THEN '⚠️ *NEEDS CHANGES* — high-priority issues found'
-            ELSE '✅ *APPROVED* — no critical or high issues' END AS verdict_text,
+       CASE WHEN critical > 0 THEN '{W.CRITICAL_LINE}'
+            WHEN high > 0 THEN '{W.HIGH_LINE}'
+            ELSE '{W.CLEAR_LINE}' END AS verdict_text,
        critical + high + medium + low + info AS total,
        CASE WHEN critical = 0 AND high = 0 THEN 'primary' ELSE 'danger' END AS button_style,
-       '{P} reviewed ' || repo || ': ' || critical || ' critical, ' || high || ' high, ' || medium || ' medium, ' || low || ' low findings.' AS fallback
+       '{P}, ' || repo || ', critical ' || critical || ', high ' || high || ', medium ' || medium || ', low ' || low || ', info ' || info AS fallback
 FROM {_COUNTS_ALL}""", "findings", "reviewed_files"))
 def a16(spark, sf):
     from revlens.operators.outputs import notification_rows

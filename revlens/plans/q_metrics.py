@@ -8,6 +8,7 @@ from revlens.catalog import register
 from revlens.functions.text import preview
 from revlens.operators import filters as FL
 from revlens.operators import metrics as M
+from revlens.operators.ordering import with_position
 from revlens.plans.sql import NORM_SEV, RATE, ci, pct, with_fixtures, with_store
 from revlens.sources import store
 from revlens.sources.fixtures import fixture
@@ -125,6 +126,45 @@ def a10(spark, sf):
     return M.kpis(reviews(spark, sf))
 
 
+FIRST_DAY, LAST_DAY = "2024-01-02", "2024-01-03"
+
+
+@register("A10_kpis_of_days", with_store(f"""
+SELECT 'all' AS span, count(*) AS total_reviews, count(DISTINCT repo) AS repositories, {RATE} AS acceptance_rate,
+       CAST(count_if({NORM_SEV} = 'critical') AS BIGINT) AS critical_issues, {pct(RATE)} AS acceptance_pct FROM store
+UNION ALL
+SELECT 'range', count(*), count(DISTINCT repo), {RATE}, CAST(count_if({NORM_SEV} = 'critical') AS BIGINT), {pct(RATE)} FROM store
+WHERE date BETWEEN DATE '{FIRST_DAY}' AND DATE '{LAST_DAY}'"""))
+def a10_days(spark, sf):
+    """The same measures added up from daily rows, over all days and over a range."""
+    daily = M.daily_kpis(store_rows(spark, sf))
+    return (M.kpis_of_days(daily).withColumn("span", F.lit("all"))
+            .unionByName(M.kpis_of_days(daily, FIRST_DAY, LAST_DAY).withColumn("span", F.lit("range"))))
+
+
+@register("O02_values_in_order", with_store("""
+SELECT category, count(*) AS count, row_number() OVER (ORDER BY count(*) DESC, category) AS position FROM store GROUP BY category"""))
+def o02(spark, sf):
+    """Most frequent first, ties by name; the position is part of the result."""
+    return with_position(M.value_counts(store_rows(spark, sf), "category"), [F.desc("count"), "category"])
+
+
+@register("O03_rates_in_order", with_fixtures(f"""
+SELECT category, {RATE} AS acceptance_rate, row_number() OVER (ORDER BY {RATE} DESC, category) AS position,
+       row_number() OVER (ORDER BY {RATE}, category) AS from_lowest FROM reviews GROUP BY category""", "reviews"))
+def o03(spark, sf):
+    """Rates from the highest and from the lowest."""
+    rates = M.rate_by_category(reviews(spark, sf)).select("category", "acceptance_rate")
+    down = with_position(rates, [F.desc("acceptance_rate"), "category"])
+    return with_position(down, [F.asc("acceptance_rate"), "category"], "from_lowest")
+
+
+@register("O04_repositories_in_order", with_fixtures("""
+SELECT repo, count(*) AS total_reviews, row_number() OVER (ORDER BY repo) AS position FROM reviews GROUP BY repo""", "reviews"))
+def o04(spark, sf):
+    return with_position(M.repo_breakdown(reviews(spark, sf)).select("repo", "total_reviews"), ["repo"])
+
+
 @register("A19_filter_choices", with_store("""
 SELECT field, value, is_all FROM (
   SELECT DISTINCT 'repo' AS field, repo AS value, false AS is_all FROM store WHERE repo IS NOT NULL

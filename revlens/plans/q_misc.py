@@ -189,17 +189,18 @@ def a21(spark, sf):
 def _x20_oracle():
     from revlens.plans.q_findings import _COUNTS_ALL
     from revlens import schemas as S
+    from revlens import wording as W
     return with_fixtures(f"""
 SELECT repo, pr_number,
        CASE WHEN critical > 0 THEN '#FF4444' WHEN high > 0 THEN '#FFB800' ELSE '#36A64F' END AS color,
-       '{S.PRODUCT} reviewed ' || repo || ': ' || critical || ' critical, ' || high || ' high, ' || medium || ' medium, ' || low || ' low findings.' AS fallback,
-       CASE WHEN critical > 0 THEN '🚨 *CRITICAL ISSUES* — immediate action required'
-            WHEN high > 0 THEN '⚠️ *NEEDS CHANGES* — high-priority issues found'
-            ELSE '✅ *APPROVED* — no critical or high issues' END AS verdict_text,
-       'divider' AS third_block, '📊 *Total findings:*' || chr(10) || (critical + high + medium + low + info) AS total_field,
+       '{S.PRODUCT}, ' || repo || ', critical ' || critical || ', high ' || high || ', medium ' || medium || ', low ' || low || ', info ' || info AS fallback,
+       CASE WHEN critical > 0 THEN '{W.CRITICAL_LINE}'
+            WHEN high > 0 THEN '{W.HIGH_LINE}'
+            ELSE '{W.CLEAR_LINE}' END AS verdict_text,
+       'divider' AS third_block, '{W.NOTICE_TOTAL}' || (critical + high + medium + low + info) AS total_field,
        CASE WHEN critical = 0 AND high = 0 THEN 'primary' ELSE 'danger' END AS style,
        'https://example.invalid/' || repo || '/pull/' || pr_number AS url,
-       '*Repository:* `' || repo || '`' || chr(10) || '*PR:* <https://example.invalid/' || repo || '/pull/' || pr_number || '|PR ' || pr_number || '>' AS header_text
+       '{W.NOTICE_WHERE[0]}' || repo || '{W.NOTICE_WHERE[1]}<https://example.invalid/' || repo || '/pull/' || pr_number || '|PR ' || pr_number || '>' AS header_text
 FROM {_COUNTS_ALL}""", "findings", "reviewed_files")
 
 

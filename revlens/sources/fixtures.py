@@ -6,8 +6,8 @@ parameters (``spark.sql(text, documents=df)``), so no global temp views are
 registered; on DuckDB the placeholders become the pre-registered view names.
 Literal braces in the templates are doubled.
 
-Only the Spark side adds computed-in-Python columns that DuckDB cannot
-produce identically (the delivery signature, see ``deliveries``).
+Deliveries are signed in Python (DuckDB has no HMAC) and landed as files once;
+every job reads those files (see ``landed_deliveries``).
 """
 
 from __future__ import annotations
@@ -15,13 +15,15 @@ from __future__ import annotations
 import hmac
 import hashlib
 import re
+import uuid
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from revlens.session import spread
+from revlens.session import scratch_path, spread
+from revlens.sources import landing
 from revlens.sources.samples import source_template
 from revlens.sources.tables import load_table
 
@@ -58,7 +60,10 @@ TEMPLATES["deliveries"] = """
 SELECT delivery_id, received_ts, event_name, action, number, draft, repo, head_sha, additions,
        CASE WHEN delivery_id % 11 = 0 THEN '{{bad'
             ELSE concat('{{"action":"', action, '","number":', number,
-                 ',"pull_request":{{"number":', number, ',"title":"PR ', number, '","state":"open","draft":',
+                 ',"pull_request":{{"number":', number, ',"title":"PR ', number, '","state":"open","body":',
+                 CASE delivery_id % 5 WHEN 0 THEN 'null' WHEN 1 THEN '""' WHEN 2 THEN concat('"  fixes ', number, chr(92), 'n', chr(92), 't"')
+                      WHEN 3 THEN concat('"', repeat(concat('line ', delivery_id, chr(92), 'n'), 200), '"') ELSE concat('"see ', chr(92), 'u00e9 ', chr(92), '"x', chr(92), '" "') END,
+                 ',"draft":',
                  CASE WHEN draft THEN 'true' ELSE 'false' END, ',"html_url":"u","user":{{"login":"dev","id":1}},"head":{{"label":"o:f","ref":"f","sha":"', upper(head_sha),
                  '"}},"base":{{"label":"o:main","ref":"main","sha":"', head_sha, '"}},"additions":', additions, '}}',
                  CASE WHEN delivery_id % 13 = 0 THEN '' ELSE concat(',"repository":{{"id":1,"name":"r","full_name":"', repo, '","html_url":"u","owner":{{"login":"org"}}}}') END,
@@ -176,15 +181,33 @@ def _sign_batches(it):
         yield pdf
 
 
+_LANDED: dict[tuple[str, str], str] = {}
+
+
+def landed_deliveries(spark: SparkSession, sf_dir: str) -> str:
+    """Folder of landed files made of the events: signed deliveries, and lines cut off in the middle of a record.
+
+    Written once per application and directory; jobs read the files only.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _LANDED:
+        path = scratch_path(spark, f"landing-{uuid.uuid4().hex}")
+        df = spark.sql(TEMPLATES["deliveries"], events=load_table(spark, sf_dir, "events"))
+        signed = spread(df).mapInPandas(_sign_batches, T.StructType(df.schema.fields + [T.StructField("signature", T.StringType())]))
+        landing.land(signed, f"{path}/deliveries")
+        cut_off = load_table(spark, sf_dir, "events").filter("event_id % 50 = 0")
+        cut_off.select(F.concat(F.lit('{"delivery_id":"x'), F.col("event_id").cast("string"), F.lit('","body":"{'))).write.text(f"{path}/cut-off")
+        _LANDED[key] = path
+    return _LANDED[key]
+
+
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Build a derived table on Spark from the shared parquet tables."""
-    params = {t: load_table(spark, sf_dir, t) for t in base_tables(name)}
-    df = spark.sql(TEMPLATES[name], **params)
+    """Build a derived table on Spark from the shared parquet tables; deliveries are read from their landed files."""
     if name == "deliveries":
-        # row-local, Arrow-batched: one pass, no re-read of the base table
-        schema = T.StructType(df.schema.fields + [T.StructField("signature", T.StringType())])
-        df = spread(df).mapInPandas(_sign_batches, schema)
-    return df
+        return landing.good(landing.read_landed(spark, landed_deliveries(spark, sf_dir))).withColumn(
+            "delivery_id", F.col("delivery_id").cast("long"))
+    params = {t: load_table(spark, sf_dir, t) for t in base_tables(name)}
+    return spark.sql(TEMPLATES[name], **params)
 
 
 def with_ctes(sql: str, fixtures: list[str], extra: list[tuple[str, str]]) -> str:

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from revlens.session import scratch_path
+from revlens.session import scratch_path, written
 
 
 def _fs(spark: SparkSession, path: str):
@@ -68,6 +68,54 @@ def table_base(spark: SparkSession, name: str) -> str:
     return scratch_path(spark, f"tables/{name}")
 
 
+def _done(spark: SparkSession, path: str) -> bool:
+    fs, p = _fs(spark, f"{path}/_SUCCESS")
+    return fs.exists(p)
+
+
+def folders(spark: SparkSession, base: str, mark: str) -> list[int]:
+    """Numbers n of the complete folders ``<base>/<mark>=<n>``."""
+    fs, p = _fs(spark, base)
+    names = [st.getPath().getName() for st in fs.listStatus(p)] if fs.exists(p) else []
+    return sorted(n for n in (int(x[len(mark) + 1:]) for x in names if x.startswith(f"{mark}=")) if _done(spark, f"{base}/{mark}={n}"))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, p = _fs(spark, path)
+    fs.delete(p, True)
+
+
+def merge_epoch(batch: DataFrame, epoch: int, base: str, keys: list[str], bucket) -> None:
+    """One epoch of a keyed sink: rows of ``batch`` replace those with the same keys.
+
+    The table lies in folders by ``bucket`` (a function of the keys), and only
+    the buckets that the batch touches are read and overwritten.  The merged
+    rows are staged under the epoch's number first: an epoch that runs again
+    writes the same staged rows again, so it changes nothing and a crash while
+    folders are replaced loses nothing.
+    """
+    spark = batch.sparkSession
+    data, stage = f"{base}/data", f"{base}/staged/e={epoch}"
+    if not _done(spark, stage):
+        new = written(batch.withColumn("bucket", bucket.cast("string")), "epoch")
+        fs, p = _fs(spark, data)
+        if fs.exists(p):
+            old = spark.read.schema(new.schema).parquet(data).join(new.select("bucket").distinct(), "bucket", "left_semi")
+            new = new.unionByName(old.join(new.select(*keys), keys, "left_anti"))
+        new.write.mode("overwrite").parquet(stage)
+    staged = spark.read.parquet(stage)
+    staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(data)
+    for n in folders(spark, f"{base}/staged", "e"):
+        if n < epoch:
+            remove(spark, f"{base}/staged/e={n}")
+
+
+def read_keyed(spark: SparkSession, base: str) -> DataFrame | None:
+    """The table of a keyed sink."""
+    fs, p = _fs(spark, f"{base}/data")
+    return spark.read.parquet(f"{base}/data").drop("bucket") if fs.exists(p) else None
+
+
 def write_outbox(df: DataFrame, base: str, keys: list[str], batch: str | int) -> str:
     """Outbox rows (S16-S19) keyed by ``keys``, appended as batch ``batch``.
 

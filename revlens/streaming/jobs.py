@@ -3,9 +3,9 @@
 Deliveries and feedback land as files; each job is ``readStream`` ->
 DataFrame transformations -> ``writeStream`` with a checkpoint in the shared
 folder (``spark.checkpoint.dir``).  Sinks are idempotent: append sinks are
-file sinks (exactly-once through the checkpoint's commit log) and
-``foreachBatch`` sinks write one table version per epoch id, so a replayed
-epoch rewrites the same version instead of adding rows twice.
+file sinks (exactly-once through the checkpoint's commit log), gold tables are
+keyed sinks that merge an epoch's changed rows into the folders they touch
+(``sinks.merge_epoch``), and the feedback log has one folder per epoch.
 """
 
 from __future__ import annotations
@@ -13,15 +13,16 @@ from __future__ import annotations
 import time
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from revlens.operators import events as E
-from revlens.operators import feedback as FB
 from revlens.operators import metrics as M
 from revlens.session import scratch_path
-from revlens.sources import sinks
-from revlens.sources.fixtures import TEMPLATES, _sign_batches
+from revlens.sources import landing, sinks
+from revlens.sources.fixtures import TEMPLATES
 from revlens.sources.tables import table_path
 
 # Gold tables refresh on this trigger (the dashboard's cache lifetime).
@@ -56,15 +57,6 @@ def landing_stream(spark: SparkSession, path: str, max_files: int | None = None)
     return df
 
 
-def deliveries_from_events(spark: SparkSession, events: DataFrame) -> DataFrame:
-    """Webhook deliveries (headers + raw signed body) derived from event rows;
-    works on a stream or a batch."""
-    from pyspark.sql import types as T
-    d = spark.sql(TEMPLATES["deliveries"], events=events)
-    schema = T.StructType(d.schema.fields + [T.StructField("signature", T.StringType())])
-    return d.mapInPandas(_sign_batches, schema)
-
-
 def run_available_now(writer, timeout_s: float | None = None):
     """Start a stream with the availableNow trigger and wait until it is done.
 
@@ -84,14 +76,18 @@ def run_available_now(writer, timeout_s: float | None = None):
 
 # ----------------------------------------------------------------- T01/T02
 
-def ingest_and_route(spark: SparkSession, landing: str, secret: str | None,
+def deliveries(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
+    """T01 source: whole deliveries of the landed files, with a long id as the given tables have."""
+    return landing.good(landing.stream_landed(spark, path, max_files)).withColumn("delivery_id", F.col("delivery_id").cast("long"))
+
+
+def ingest_and_route(spark: SparkSession, path: str, secret: str | None,
                      out: str | None = None) -> str:
-    """T01 + T02: continuous ingest; every delivery is verified, parsed and
+    """T01 + T02: continuous ingest; every landed delivery is verified, parsed and
     routed in the stream (stateless) and appended to the routed table."""
     base = out or run_dir(spark, "routed")
-    stream = deliveries_from_events(spark, landing_stream(spark, landing))
-    routed = E.route(stream, secret).select(
-        "delivery_id", "received_ts", "event_name", "status", "http_code", "reason",
+    routed = E.route(deliveries(spark, path), secret).select(
+        "delivery_id", "received_ts", "event_name", "status", "http_code", "reason", "landed_file",
         F.col("event.repository.full_name").alias("repo"), F.col("event.pull_request.number").alias("pr_number"))
     run_available_now(routed.writeStream.format("parquet").option("path", f"{base}/data")
                       .option("checkpointLocation", f"{base}/_checkpoint").outputMode("append"))
@@ -105,11 +101,9 @@ def dedupe_redeliveries(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
     return stream.withWatermark("received_ts", delay).dropDuplicatesWithinWatermark(["delivery_id"])
 
 
-def run_dedupe(spark: SparkSession, landing: str) -> str:
+def run_dedupe(spark: SparkSession, path: str) -> str:
     base = run_dir(spark, "dedupe")
-    a = deliveries_from_events(spark, landing_stream(spark, landing))
-    b = deliveries_from_events(spark, landing_stream(spark, landing))   # the same deliveries again
-    d = dedupe_redeliveries(a.unionByName(b)).select("delivery_id", "received_ts", "event_name")
+    d = dedupe_redeliveries(deliveries(spark, path)).select("delivery_id", "received_ts", "event_name")
     run_available_now(d.writeStream.format("parquet").option("path", f"{base}/data")
                       .option("checkpointLocation", f"{base}/_checkpoint").outputMode("append"))
     return f"{base}/data"
@@ -126,17 +120,12 @@ def reviews_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(TEMPLATES["reviews"], documents=docs, labels=labels, events=events)
 
 
-def _versioned_batch_writer(base: str):
-    """foreachBatch sink: the complete result of each epoch as table version
-    ``epoch`` (a replayed epoch overwrites its own version)."""
-    def write(batch: DataFrame, epoch_id: int):
-        batch.write.mode("overwrite").parquet(f"{base}/_v={epoch_id}")
-    return write
-
-
 def issues_per_day_stream(reviews: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Issues per day kept current; late rows inside the watermark
-    update their day."""
+    """Issues per day kept current.
+
+    A late row inside the watermark's delay changes its day, one beyond it is
+    dropped, and a day that the watermark has passed leaves the state.
+    """
     return (reviews.filter(F.col("ts").isNotNull())
             .withColumn("ts", F.col("ts").cast("timestamp"))
             .withWatermark("ts", delay)
@@ -160,17 +149,37 @@ def running_repo_breakdown(reviews: DataFrame) -> DataFrame:
             .withColumn("acceptance_pct", percent_text("acceptance_rate")))
 
 
-def run_gold(spark: SparkSession, gold: DataFrame, name: str, trigger: str | None = None):
-    """Keep a gold table current.  With ``trigger`` (e.g. GOLD_REFRESH)
-    the query keeps running and refreshes on that schedule; without, it
-    processes what is available and stops."""
-    base = run_dir(spark, name)
-    w = (gold.writeStream.outputMode("complete").foreachBatch(_versioned_batch_writer(f"{base}/data"))
+REPO_BUCKETS = 64
+
+
+def day_bucket():
+    return F.col("date")
+
+
+def repo_bucket():
+    return F.pmod(F.xxhash64("repo"), F.lit(REPO_BUCKETS))
+
+
+def run_gold(spark: SparkSession, gold: DataFrame, name: str, keys: list[str], bucket, trigger: str | None = None,
+             base: str | None = None):
+    """Keep a gold table current: (query or None, folder of the keyed sink).
+
+    Update mode: an epoch brings the rows that changed.  With ``trigger`` (e.g.
+    GOLD_REFRESH) the query keeps running and refreshes on that schedule;
+    without, it processes what is available and stops.  A given ``base``
+    goes on from its checkpoint.
+    """
+    base = base or run_dir(spark, name)
+
+    def write(batch: DataFrame, epoch: int):
+        sinks.merge_epoch(batch, epoch, base, keys, bucket)
+
+    w = (gold.writeStream.outputMode("update").foreachBatch(write)
          .option("checkpointLocation", f"{base}/_checkpoint"))
     if trigger:
-        return w.trigger(processingTime=trigger).start(), f"{base}/data"
+        return w.trigger(processingTime=trigger).start(), base
     run_available_now(w)
-    return None, f"{base}/data"
+    return None, base
 
 
 # ----------------------------------------------------------------- T06
@@ -185,46 +194,106 @@ def incremental_feedback(spark: SparkSession, reviews: DataFrame, feedback: Data
     """Fold feedback into the review table batch by batch.
 
     Each micro-batch costs O(batch): its latest mark per review (with ts and
-    feedback id) is written to the feedback log as folder ``_e=<epoch>``
-    (a replayed epoch rewrites its own folder).  The current table is the
-    base snapshot with the latest mark over the whole log applied
-    (``current_reviews``; ``max_by`` over (ts, feedback id), so a late,
-    older mark cannot override a newer one); ``compact`` folds the log into
-    a new base version.  Returns the job folder.
+    feedback id) is written to the log as folder ``log/e=<epoch>`` (a replayed
+    epoch rewrites its own folder).  The table is the newest committed snapshot
+    with the latest mark of the epochs after it (``current_reviews``);
+    ``compact`` folds those epochs into a new snapshot.  Returns the job folder.
     """
     base = base or run_dir(spark, "feedback")
-    if sinks.latest_path(spark, f"{base}/reviews") is None:
-        sinks.write_version(reviews, f"{base}/reviews")
+    if not sinks.folders(spark, f"{base}/commits", "c"):
+        rows = reviews.withColumns({"_mark_ts": F.lit(None).cast("timestamp"), "_mark_id": F.lit(None).cast("long")})
+        rows.write.mode("overwrite").parquet(f"{base}/snapshots/s=0")
+        spark.createDataFrame([], "review_id long, accepted int, ts timestamp, feedback_id long").write.mode("overwrite").parquet(f"{base}/pending/s=0")
+        commit(spark, base, 0, -1)
 
     def append(batch: DataFrame, epoch_id: int):
-        latest = (batch.groupBy("review_id")
-                  .agg(F.max_by(F.struct("accepted", "ts", "feedback_id"), F.struct("ts", "feedback_id")).alias("s"))
-                  .select("review_id", "s.accepted", "s.ts", "s.feedback_id"))
-        latest.write.mode("overwrite").parquet(f"{base}/log/_e={epoch_id}")
+        _latest_marks(batch).write.mode("overwrite").parquet(f"{base}/log/e={epoch_id}")
 
     run_available_now(feedback.writeStream.foreachBatch(append)
                       .option("checkpointLocation", f"{base}/_checkpoint"))
     return base
 
 
-def feedback_log(spark: SparkSession, base: str) -> DataFrame | None:
-    fs, p = sinks._fs(spark, f"{base}/log")
-    if not fs.exists(p):
-        return None
-    return spark.read.parquet(f"{base}/log")
+def _latest_marks(marks: DataFrame) -> DataFrame:
+    return (marks.groupBy("review_id")
+            .agg(F.max_by(F.struct(F.col("accepted").cast("int").alias("accepted"), F.col("ts").cast("timestamp").alias("ts"),
+                                   F.col("feedback_id").cast("long").alias("feedback_id")), F.struct("ts", "feedback_id")).alias("s"))
+            .select("review_id", "s.accepted", "s.ts", "s.feedback_id"))
+
+
+def commit(spark: SparkSession, base: str, n: int, folded: int) -> None:
+    """Marker: snapshot ``n`` holds all epochs up to ``folded``.  Written whole or not at all (its _SUCCESS file counts)."""
+    spark.createDataFrame([(n, folded)], "snapshot long, folded long").coalesce(1).write.mode("overwrite").json(f"{base}/commits/c={n}")
+
+
+def last_commit(spark: SparkSession, base: str) -> tuple[int, int]:
+    """(snapshot, last epoch in it) of the newest marker."""
+    n = sinks.folders(spark, f"{base}/commits", "c")[-1]
+    r = spark.read.schema("snapshot long, folded long").json(f"{base}/commits/c={n}").first()
+    return r.snapshot, r.folded
+
+
+def open_epochs(spark: SparkSession, base: str) -> list[int]:
+    """Complete epochs of the log that the newest snapshot does not hold."""
+    return [e for e in sinks.folders(spark, f"{base}/log", "e") if e > last_commit(spark, base)[1]]
+
+
+def _marked(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
+    """(reviews with their latest marks, marks without a review) of the newest snapshot and the epochs after it."""
+    n = last_commit(spark, base)[0]
+    reviews, marks = spark.read.parquet(f"{base}/snapshots/s={n}"), spark.read.parquet(f"{base}/pending/s={n}")
+    epochs = open_epochs(spark, base)
+    if epochs:
+        marks = marks.unionByName(spark.read.schema(marks.schema).parquet(*[f"{base}/log/e={e}" for e in epochs]))
+    marks = _latest_marks(marks)
+    m = marks.select("review_id", F.struct("ts", "feedback_id").alias("_at"), F.col("accepted").alias("_accepted"))
+    # an older mark that comes late does not undo a newer one, folded or not
+    newer = F.col("_at").isNotNull() & (F.col("_mark_ts").isNull() | (F.col("_at") > F.struct(F.col("_mark_ts").alias("ts"), F.col("_mark_id").alias("feedback_id"))))
+    rows = (reviews.join(m, "review_id", "left")
+            .withColumns({"accepted": F.when(newer, F.col("_accepted")).otherwise(F.col("accepted")).cast("int"),
+                          "_mark_ts": F.when(newer, F.col("_at.ts")).otherwise(F.col("_mark_ts")),
+                          "_mark_id": F.when(newer, F.col("_at.feedback_id")).otherwise(F.col("_mark_id"))})
+            .select(reviews.columns))
+    return rows, marks.join(reviews.select("review_id"), "review_id", "left_anti")
 
 
 def current_reviews(spark: SparkSession, base: str) -> DataFrame:
     """The review table as of the last processed epoch (merge on read)."""
-    reviews = sinks.read_table(spark, f"{base}/reviews")
-    log = feedback_log(spark, base)
-    return reviews if log is None else FB.apply_feedback(reviews, log.select("review_id", "accepted", "ts", "feedback_id"))
+    return _marked(spark, base)[0].drop("_mark_ts", "_mark_id")
+
+
+def fold(spark: SparkSession, base: str) -> tuple[int, int]:
+    """Step 1 of ``compact``: write the next snapshot; without its marker nothing reads it."""
+    n, folded = last_commit(spark, base)
+    epochs = open_epochs(spark, base)
+    rows, waiting = _marked(spark, base)
+    rows.write.mode("overwrite").parquet(f"{base}/snapshots/s={n + 1}")
+    waiting.write.mode("overwrite").parquet(f"{base}/pending/s={n + 1}")
+    return n + 1, max([folded, *epochs])
+
+
+def retire(spark: SparkSession, base: str) -> None:
+    """Step 3 of ``compact``: remove what the newest snapshot has made needless."""
+    n, folded = last_commit(spark, base)
+    for e in sinks.folders(spark, f"{base}/log", "e"):
+        if e <= folded:
+            sinks.remove(spark, f"{base}/log/e={e}")
+    for old in range(n):
+        for part in ("snapshots/s", "pending/s", "commits/c"):
+            sinks.remove(spark, f"{base}/{part}={old}")
 
 
-def compact(spark: SparkSession, base: str) -> str:
-    """Write the current table as a new base version (a batch job to run off
-    the stream's path; the log is kept, re-applying it is idempotent)."""
-    return sinks.write_version(current_reviews(spark, base), f"{base}/reviews")
+def compact(spark: SparkSession, base: str) -> int:
+    """Fold the log into a new snapshot: write it, commit it by a marker, retire the epochs it holds.
+
+    A crash before the marker leaves the old snapshot and its epochs in force, one
+    after it the new snapshot; running it again finishes either.  Not while
+    another reader still reads the old snapshot.
+    """
+    if open_epochs(spark, base):
+        commit(spark, base, *fold(spark, base))
+    retire(spark, base)
+    return last_commit(spark, base)[0]
 
 
 def bench_streaming_upsert(spark: SparkSession, sf_dir: str) -> float:
@@ -238,16 +307,77 @@ def bench_streaming_upsert(spark: SparkSession, sf_dir: str) -> float:
 
 # ----------------------------------------------------------------- T07
 
-def route_with_dead_letters(spark: SparkSession, landing: str, secret: str | None) -> tuple[str, str]:
+def route_with_dead_letters(spark: SparkSession, path: str, secret: str | None) -> tuple[str, str]:
     """A bad delivery never fails the micro-batch; it is routed to a
-    dead-letter table with its code and reason, the rest go on."""
+    dead-letter table with its file, code and reason, the rest go on.  Lines that
+    are no delivery at all are dead letters without an id."""
     base = run_dir(spark, "deadletter")
-    routed = E.route(deliveries_from_events(spark, landing_stream(spark, landing)), secret)
+    landed = landing.stream_landed(spark, path)
 
     def split(batch: DataFrame, epoch_id: int):
-        b = batch.select("delivery_id", "status", "http_code", "reason", "body")
-        b.filter("status = 'rejected'").write.mode("overwrite").parquet(f"{base}/dead/_e={epoch_id}")
+        routed = E.route(landing.good(batch).withColumn("delivery_id", F.col("delivery_id").cast("long")), secret)
+        b = routed.select("delivery_id", "status", "http_code", "reason", "body", "landed_file")
+        bad = landing.bad_lines(batch).select(F.lit(None).cast("long").alias("delivery_id"), F.lit("rejected").alias("status"),
+                                              F.lit(400).alias("http_code"), "reason", F.col("line").alias("body"), "landed_file")
+        b.filter("status = 'rejected'").unionByName(bad).write.mode("overwrite").parquet(f"{base}/dead/_e={epoch_id}")
         b.filter("status <> 'rejected'").drop("body").write.mode("overwrite").parquet(f"{base}/ok/_e={epoch_id}")
 
-    run_available_now(routed.writeStream.foreachBatch(split).option("checkpointLocation", f"{base}/_checkpoint"))
+    run_available_now(landed.writeStream.foreachBatch(split).option("checkpointLocation", f"{base}/_checkpoint"))
     return f"{base}/ok", f"{base}/dead"
+
+
+#: one step of a review run: kind 'queued' (with the number of files) or 'file' (with its outcome)
+STEP_SCHEMA = "run string, repo string, pr_number long, kind string, files int, ok boolean, ts timestamp"
+_ALERT = "run string, repo string, pr_number long, reason string, files int, failed int"
+_RUN_STATE = "repo string, pr_number long, files int, done int, failed int"
+
+
+def pr_alerts(steps: DataFrame, patience: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
+    """One alert for each review run whose files all failed ('all files failed') or that
+    had not reported all of them ``patience`` after it was queued ('not finished'); none for others.
+
+    ``steps`` is a stream of STEP_SCHEMA.  State is a few counts per run with an
+    event-time timer; it goes when the run ends or its timer fires.
+    """
+    limit = pd.Timedelta(patience)
+
+    def step(key, batches, state: GroupState):
+        repo, pr, files, done, failed = state.get if state.exists else (None, None, None, 0, 0)
+        if state.hasTimedOut:
+            state.remove()
+            if files is not None:
+                yield pd.DataFrame([(key[0], repo, pr, "not finished", files, failed)],
+                                   columns=["run", "repo", "pr_number", "reason", "files", "failed"])
+            return
+        first = None
+        for pdf in batches:
+            queued = pdf[pdf["kind"] == "queued"]
+            if len(queued):
+                q = queued.iloc[0]
+                repo, pr, files = q["repo"], int(q["pr_number"]), int(q["files"])
+            ended = pdf[pdf["kind"] == "file"]
+            done, failed = done + len(ended), failed + int((~ended["ok"].astype(bool)).sum())
+            seen = (queued if len(queued) else pdf)["ts"].min()
+            first = seen if first is None else min(first, seen)
+        if files is not None and done >= files:
+            if state.exists:
+                state.remove()
+            if files > 0 and failed >= files:
+                yield pd.DataFrame([(key[0], repo, pr, "all files failed", files, failed)],
+                                   columns=["run", "repo", "pr_number", "reason", "files", "failed"])
+            return
+        state.update((repo, pr, files, done, failed))
+        due = int((first + limit).timestamp() * 1000)
+        state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+
+    return (steps.withWatermark("ts", delay).groupBy("run")
+            .applyInPandasWithState(step, _ALERT, _RUN_STATE, "append", GroupStateTimeout.EventTimeTimeout))
+
+
+def run_alerts(spark: SparkSession, path: str, base: str | None = None, **options) -> str:
+    """T07 over landed step files (JSON lines), one file a micro-batch: folder of the alerts."""
+    base = base or run_dir(spark, "alerts")
+    steps = spark.readStream.schema(STEP_SCHEMA).option("maxFilesPerTrigger", 1).json(path)
+    run_available_now(pr_alerts(steps, **options).writeStream.format("parquet").option("path", f"{base}/data")
+                      .option("checkpointLocation", f"{base}/_checkpoint").outputMode("append"))
+    return f"{base}/data"
