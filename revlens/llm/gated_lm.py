@@ -82,13 +82,15 @@ def word_bytes(body: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array
 def _count(batches):
     """(text) to (word, shape, n): the words of each slice with their counts."""
     for batch in batches:
-        for _, _, body, off in slices(batch.column(0), 4 << 20):
+        for _, _, body, off in slices(batch.column(0), 2 << 20):
             body = H.lower_ascii(body)
             w = H.split_words(body, off)
             _, first, n = np.unique(w.hash, return_index=True, return_counts=True)
-            kind = shapes(body, w)[first]
-            yield pa.RecordBatch.from_arrays([word_bytes(body, w.start[first], w.end[first]), pa.array(kind.astype(np.int32)),
-                                              pa.array(n)], ["word", "shape", "n"])
+            words = word_bytes(body, w.start[first], w.end[first])
+            edge = np.frombuffer(words.buffers()[1], np.int32)
+            each = H.Words(edge[:-1], edge[1:], first, w.hash, w.first)  # the distinct words, one after the other
+            kind = shapes(np.frombuffer(words.buffers()[2], np.uint8), each)
+            yield pa.RecordBatch.from_arrays([words, pa.array(kind.astype(np.int32)), pa.array(n)], ["word", "shape", "n"])
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -156,10 +158,11 @@ def network(counts: np.ndarray, shape_counts: np.ndarray, size: int = 16, seed:
     c = net.class_of(np.arange(len(counts) + SHAPES))
     n = np.concatenate([counts, shape_counts]) + 0.5
     mass = np.bincount(c, n)
+    # the last row of "c" and the last column of "o" are the biases
     net.w = {k: a.astype(kind) for k, a in {
         "in": rng.normal(0, 0.3, (len(n), 3 * size)), "u": rng.normal(0, 1 / math.sqrt(size), (size, 3 * size)),
-        "c": rng.normal(0, 0.05, (size, net.n_classes)), "cb": np.log(mass / mass.sum()),
-        "o": rng.normal(0, 0.05, (len(counts), size)), "ob": np.log(n[:len(counts)] / mass[c[:len(counts)]])}.items()}
+        "c": np.vstack([rng.normal(0, 0.05, (size, net.n_classes)), np.log(mass / mass.sum())]),
+        "o": np.column_stack([rng.normal(0, 0.05, (len(counts), size)), np.log(n[:len(counts)] / mass[c[:len(counts)]])])}.items()}
     return net
 
 
@@ -244,27 +247,31 @@ def forward(net: Network, s: Stream, index: np.ndarray, active: np.ndarray, h: n
     return out, (prev, gate, new, inner, edge)
 
 
-def _softmax(logits: np.ndarray) -> np.ndarray:
-    """In place: probabilities; the largest logit of a row is far below overflow by the clip."""
-    np.clip(logits, -60, 60, out=logits)
-    np.exp(logits, out=logits)
-    logits /= logits.sum(axis=1, keepdims=True)
-    return logits
-
-
 def outputs(net: Network, states: np.ndarray, ids: np.ndarray, grads: dict | None = None):
     """Log probability of each token; with ``grads`` their derivatives are added there and those of the states returned."""
-    w = net.w
+    w, size = net.w, states.shape[1]
+    hs = np.ones((len(states), size + 1), states.dtype)
+    hs[:, :size] = states
+
+    def softmax(h, weights, target):
+        """Log probability of the targets, and the derivatives of the logits; ``Adam`` keeps weights so small that no
+        logit overflows."""
+        p = h @ weights
+        at = np.arange(len(target))
+        chosen = p[at, target]
+        np.exp(p, out=p)
+        total = p.sum(axis=1)
+        if grads is not None:
+            p /= total[:, None]
+            p[at, target] -= 1
+        return chosen - np.log(total), p
+
     c = net.class_of(ids)
-    rows = np.arange(len(ids))
-    p = _softmax(states @ w["c"] + w["cb"])
-    logp = np.log(p[rows, c])
+    logp, p = softmax(hs, w["c"], c)
     back = None
     if grads is not None:
-        p[rows, c] -= 1
-        grads["c"] += states.T @ p
-        grads["cb"] += p.sum(axis=0)
-        back = p @ w["c"].T
+        grads["c"] += hs.T @ p
+        back = p @ w["c"][:size].T
     order = np.argsort(c, kind="stable")
     edge = np.searchsorted(c[order], np.arange(net.n_classes - SHAPES + 1)).tolist()
     for k, (i, j) in enumerate(zip(edge, edge[1:])):
@@ -272,15 +279,12 @@ def outputs(net: Network, states: np.ndarray, ids: np.ndarray, grads: dict | Non
             continue
         a, b = k * CLASS, min((k + 1) * CLASS, net.n_words)
         r = order[i:j]
-        hs, target = states[r], ids[r] - a
-        p = _softmax(hs @ w["o"][a:b].T + w["ob"][a:b])
-        at = np.arange(j - i)
-        logp[r] += np.log(p[at, target])
+        own = hs[r]
+        got, p = softmax(own, w["o"][a:b].T, ids[r] - a)
+        logp[r] += got
         if grads is not None:
-            p[at, target] -= 1
-            grads["o"][a:b] += p.T @ hs
-            grads["ob"][a:b] += p.sum(axis=0)
-            back[r] += p @ w["o"][a:b]
+            grads["o"][a:b] += p.T @ own
+            back[r] += p @ w["o"][a:b, :size]
     return logp, back
 
 
@@ -334,6 +338,10 @@ class Adam:
             v += (g * g - v) * 0.001
             self.net.w[k] -= m * (self.rate * fix) / (np.sqrt(v) + 1e-8)
             g[:] = 0
+        for k, bias in (("c", self.net.w["c"][-1]), ("o", self.net.w["o"][:, -1])):
+            kept = np.maximum(bias, -20)  # a class or word that is never seen needs no less
+            np.clip(self.net.w[k], -2.5, 2.5, out=self.net.w[k])
+            bias[:] = np.minimum(kept, 20)
 
 
 def learn(net: Network, opt: Adam, ids: np.ndarray, first: np.ndarray, window: int, most: int) -> None:
@@ -453,15 +461,14 @@ def _average(batches):
 
 def _unpacked(column, kind):
     """(ids, first) of slices of packed token ids, with their row range."""
-    for a, b, body, off in slices(column, 2 << 20):
+    for a, b, body, off in slices(column, 1 << 20):
         yield a, b, np.frombuffer(body.tobytes(), kind), off // np.dtype(kind).itemsize
 
 
 def train(parts: DataFrame, known: Counts, size: int = 16, window: int = 16, most: int = 256, rounds: int = 4,
           rate: float = 0.01) -> Network:
     """Network from every window of the token ids of a table (id, ids)."""
-    soft = known.softmax
-    net = network(np.concatenate([[known.docs], known.c[:soft]]), known.total, size)
+    net = network(np.concatenate([[known.docs], known.c[:known.softmax]]), known.total, size)
     for k in range(rounds):
         start, step = net, rate * 0.6 ** k
 
@@ -501,7 +508,7 @@ def _parts(known: Counts):
     def run(batches):
         look, row = Lookup(known.head), TaskContext.get().partitionId() << 33
         for batch in batches:
-            for a, b, body, off in slices(batch.column(2), 4 << 20):
+            for a, b, body, off in slices(batch.column(2), 1 << 20):
                 body = H.lower_ascii(body)
                 w = H.split_words(body, off)
                 at, kind, n = look(w.hash), shapes(body, w), b - a

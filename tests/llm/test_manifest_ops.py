@@ -185,12 +185,12 @@ def plain_likelihood(net, doc):
         z, r = (1 / (1 + np.exp(-(x[k * n:k * n + n] + g[k * n:k * n + n]))) for k in (0, 1))
         new = np.tanh(x[2 * n:] + r * g[2 * n:])
         h = (1 - z) * new + z * h
-        logits = h @ w["c"] + w["cb"]
+        logits = h @ w["c"][:-1] + w["c"][-1]
         c = int(net.class_of(np.array([t]))[0])
         total += logits[c] - np.log(np.exp(logits).sum())
         if t < net.n_words:
             a, b = c * G.CLASS, min((c + 1) * G.CLASS, net.n_words)
-            logits = w["o"][a:b] @ h + w["ob"][a:b]
+            logits = w["o"][a:b, :-1] @ h + w["o"][a:b, -1]
             total += logits[t - a] - np.log(np.exp(logits).sum())
         before = t
     return total
