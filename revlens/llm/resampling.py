@@ -29,6 +29,7 @@ further columns are ignored, names may clash.
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -36,7 +37,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from revlens.llm.common import bound_batches, cut
+from revlens.llm import hashing as H
+from revlens.llm.common import bound_batches, cut, slices
 from revlens.llm.ranks import positions
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -61,9 +63,60 @@ def _runs(w: Column, n: int, keep=None) -> Column:
     return F.concat(*map(of, range(1, n + 1))) if n > 1 or keep is not None else w
 
 
-def line_buckets(w: Column, n: int, buckets: int) -> Column:
-    """Buckets of the features of one line's words, repeats kept."""
-    return F.transform(_runs(w, n), lambda r: _bucket(r, buckets))
+# fixed value: the reflected polynomial of CRC-32
+_TABLE = np.arange(256, dtype=np.uint32)
+for _ in range(8):
+    _TABLE = (_TABLE >> np.uint32(1)) ^ np.where(_TABLE & np.uint32(1), np.uint32(0xEDB88320), np.uint32(0))
+
+
+def _append(crc: np.ndarray, body: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+    """Take the bytes [start, end) into each running CRC, in place: one step for each byte position."""
+    order = np.argsort(start - end, kind="stable")           # longest first
+    state, begin, size = crc[order], start[order], (end - start)[order]
+    for k in range(int(size[0]) if len(size) else 0):
+        n = int(np.searchsorted(-size, -k, "left"))
+        now = state[:n]
+        state[:n] = (now >> np.uint32(8)) ^ _TABLE[(now ^ body[begin[:n] + k]) & np.uint32(255)]
+    crc[order] = state
+
+
+def run_buckets(body: np.ndarray, off: np.ndarray, n: int, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(buckets of all runs of 1 to n words, first run of each text, words of each text) of a slice of texts."""
+    body = H.lower_ascii(body)
+    w = H.split_words(body, off, letters=True)
+    stop = w.first[1:][w.doc]                                # after the last word of the word's text
+    crc, found, of = np.full(len(w.start), 0xFFFFFFFF, np.uint32), [], []
+    place = np.arange(len(w.start))
+    for size in range(1, n + 1):
+        if size > 1:
+            keep = place + size <= stop[place]
+            crc, place = crc[keep], place[keep]
+            crc = (crc >> np.uint32(8)) ^ _TABLE[(crc ^ np.uint32(32)) & np.uint32(255)]
+        last = place + size - 1
+        _append(crc, body, w.start[last], w.end[last])
+        found.append((~crc) % np.uint32(buckets))
+        of.append(w.doc[place])
+    doc, bucket = np.concatenate(of), np.concatenate(found).astype(np.int32)
+    if n > 1:
+        order = np.argsort(doc, kind="stable")
+        doc, bucket = doc[order], bucket[order]
+    return bucket, np.searchsorted(doc, np.arange(len(off))), np.diff(w.first)
+
+
+def _line_rows(n: int, buckets: int):
+    """Rows (line, occurrences) to (digest, occurrences, n_words, buckets)."""
+    def run(batches):
+        for batch in batches:
+            for a, b, body, off in slices(batch.column(0)):
+                bucket, first, words = run_buckets(body, off, n, buckets)
+                text = body.tobytes()
+                digests = [hashlib.sha256(text[i:j]).digest() for i, j in zip(off[:-1].tolist(), off[1:].tolist())]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(digests, pa.binary()), batch.column(1).slice(a, b - a), pa.array(words.astype(np.int64)),
+                     pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(bucket))],
+                    ["digest", "occurrences", "n_words", "buckets"])
+
+    return run
 
 
 def crossing_buckets(text: Column, n: int, buckets: int) -> Column:
@@ -77,7 +130,7 @@ def crossing_buckets(text: Column, n: int, buckets: int) -> Column:
 
 
 def segment(texts: DataFrame, n: int, buckets: int) -> tuple[DataFrame, DataFrame]:
-    """(rows, lines) of a table (id, text) without nulls in text, both written.
+    """(rows, lines) of a table (id, text) without nulls in text.
 
     rows: (row, id, digests of the lines, buckets of the crossing runs);
     lines: (digest, occurrences, n_words, buckets), one row for each distinct line that holds words.
@@ -85,14 +138,12 @@ def segment(texts: DataFrame, n: int, buckets: int) -> tuple[DataFrame, DataFram
     split = F.split("text", "\n", -1)
     lines = (texts.select(F.explode(split).alias("line")).where("line <> ''")
              .groupBy("line").agg(F.count(F.lit(1)).alias("occurrences"))
-             .withColumn("words", words(F.col("line")))
-             .select(F.unhex(F.sha2("line", 256)).alias("digest"), "occurrences", F.size("words").cast("long").alias("n_words"),
-                     line_buckets(F.col("words"), n, buckets).alias("buckets")))
+             .mapInArrow(_line_rows(n, buckets), "digest binary, occurrences long, n_words long, buckets array<int>")
+             .where("n_words > 0"))
     digests = F.transform(F.filter(split, lambda s: s != ""), lambda s: F.unhex(F.sha2(s, 256)))
     rows = texts.select(F.monotonically_increasing_id().alias("row"), "id", digests.alias("digests"),
                         crossing_buckets(F.col("text"), n, buckets).alias("buckets"))
-    # a filter on the words, if put before the write, would run on every line ahead of the grouping
-    return cut(rows), cut(lines).where("n_words > 0")
+    return rows, lines
 
 
 def bucket_counts(rows: DataFrame, lines: DataFrame) -> dict[int, int]:
@@ -136,6 +187,7 @@ def weigh(docs: DataFrame, target: DataFrame, text_col: str = "text", id_col: st
     bound_batches(docs.sparkSession)
     rows, lines = segment(docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")),
                           n, buckets)
+    rows, lines = cut(rows), cut(lines)
     wanted = segment(target.select(F.lit(0).alias("id"), F.coalesce(F.col(target_col).cast("string"), F.lit("")).alias("text")),
                      n, buckets)
     gain = gains(bucket_counts(rows, lines), bucket_counts(*wanted), buckets)
@@ -164,11 +216,11 @@ def resample(docs: DataFrame, target: DataFrame, text_col: str = "text", id_col:
     digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.lit(""))), 256)
     h = F.conv(F.substring(digest, 1, 8), 16, 10).cast("double")
     noise = F.floor(-1000 * F.log(-F.log((h + 0.5) / 4294967296.0)))
-    scored = cut(weigh(docs, target, text_col, id_col, target_col, n, buckets)
-                 .withColumn("score", (F.col("weight") + noise).cast("long")))
-    usable = F.col("n_words") >= least_words
-    drawn = scored.where(usable).count() * percent // 100
-    placed = positions(scored.where(usable), [], [F.col("score").desc(), F.col("id").asc_nulls_last()])
-    out = placed.withColumn("rank", F.when(F.col("pos") < drawn, F.col("pos") + 1)).drop("pos").unionByName(
-        scored.where(~usable).withColumn("rank", F.lit(None).cast("long")))
-    return out.select(F.col("id").alias("doc_id"), "n_words", "n_features", "weight", "score", "rank")
+    scored = (weigh(docs, target, text_col, id_col, target_col, n, buckets)
+              .withColumn("score", (F.col("weight") + noise).cast("long")).withColumn("short", F.col("n_words") < least_words))
+    # those that can be drawn come first, the best of them foremost
+    placed = positions(scored, [], ["short", F.col("score").desc(), F.col("id").asc_nulls_last()])
+    usable = placed.where("not short").agg(F.count(F.lit(1)).alias("n"))
+    drawn = usable.first().n * percent // 100
+    rank = F.when(~F.col("short") & (F.col("pos") < drawn), F.col("pos") + 1)
+    return placed.select(F.col("id").alias("doc_id"), "n_words", "n_features", "weight", "score", rank.alias("rank"))
