@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 import zlib
 
@@ -145,11 +146,26 @@ def test_encoder_equals_the_tokenizer():
     assert [x.tolist() for x in e.encode(ODD_TEXTS)] == [t.encode(x, add_special_tokens=False).ids for x in ODD_TEXTS]
 
 
-def test_pack_is_an_exact_round_trip(corpus, empty):
+def test_encoder_with_a_small_table_and_colliding_words():
+    from tokenizers import Tokenizer
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(4)
+    texts = [[" ".join(f"w{rng.randrange(300)}x" for _ in range(rng.randrange(1, 60))) for _ in range(20)] + ODD_TEXTS for _ in range(30)]
+    e = Encoder(None, table_bytes=2000)
+    for part in texts:
+        assert [x.tolist() for x in e.encode(part)] == [t.encode(x, add_special_tokens=False).ids for x in part]
+    assert len(e.table.key) < 2000
+    e.table.bytes[:] = 0                          # every word now looks like another one with the same hash
+    for part in texts:
+        assert [x.tolist() for x in e.encode(part)] == [t.encode(x, add_special_tokens=False).ids for x in part]
+
+
+@pytest.mark.parametrize("stretch", [None, 150, 2000])
+def test_pack_is_an_exact_round_trip(corpus, empty, stretch):
     from tokenizers import Tokenizer
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     want = sorted((str(r.doc_id), tuple(t.encode(r.text or "", add_special_tokens=False).ids + [1])) for r in corpus.collect())
-    pieces = pack(corpus).collect()
+    pieces = (pack(corpus) if stretch is None else pack(corpus, stretch=stretch)).collect()
     windows = {}
     for p in pieces:
         windows.setdefault(p.sequence_id, []).append(p)
