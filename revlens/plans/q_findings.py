@@ -50,7 +50,7 @@ def reviews(spark, sf):
 
 def all_reviews(spark, sf):
     """File reviews of all reviewed files, clean ones included."""
-    return FD.with_clean_files(reviews(spark, sf), fixture(spark, sf, "reviewed_files"))
+    return FD.file_reviews(valid_findings(spark, sf), files=fixture(spark, sf, "reviewed_files"))
 
 
 def all_counts(spark, sf):

@@ -26,6 +26,29 @@ def d01(spark, sf):
             .select("doc_id", "dim", F.round("value", 6).alias("value")))
 
 
+def failing_embedder_factory():
+    """The test embedder behind a connection that drops every first call of a batch."""
+    base, seen = U.hash_embedder_factory(), set()
+
+    def embed(texts):
+        if texts and texts[0] not in seen:
+            seen.add(texts[0])
+            raise ConnectionError("dropped")
+        return base(texts)
+    return embed
+
+
+@register("D02_embedding_after_failures", """
+SELECT doc_id, CAST(i AS INT) AS dim, round(CAST(('0x' || substring(md5(coalesce(text, '')), 2 * i + 1, 2)) AS INT) / 255.0, 6) AS value
+FROM documents, range(8) t(i)""")
+def d02(spark, sf):
+    """Every call fails once and is tried again; no vector is missing."""
+    d = load_table(spark, sf, "documents").select("doc_id", "text")
+    e = d.withColumn("e", U.embedding_udf(failing_embedder_factory, retry_sleep=lambda s: None)(F.col("text")))
+    return (e.select("doc_id", F.posexplode("e").alias("dim", "value"))
+            .select("doc_id", "dim", F.round("value", 6).alias("value")))
+
+
 @register("W03_embed_batch_index", """
 SELECT doc_id, CAST((row_number() OVER (ORDER BY doc_id) - 1) // 100 AS BIGINT) AS batch_no FROM documents""")
 def w03(spark, sf):

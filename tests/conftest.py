@@ -10,7 +10,7 @@ sys.path.insert(0, ROOT)
 @pytest.fixture(scope="session")
 def spark():
     from revlens.session import get_session
-    s = get_session("local[4]", shuffle_partitions=8, app_name="revlens-tests",
+    s = get_session("local[8]", shuffle_partitions=4, app_name="revlens-tests",
                     extra={"spark.driver.memory": "4g"})
     yield s
     s.stop()

@@ -53,3 +53,31 @@ def test_filter_choices(spark, reviews):
     rows = M.filter_choices(reviews).collect()
     repo_vals = [r.value for r in rows if r.field == "repo"]
     assert repo_vals == ["All", "a", "b"]
+
+
+def test_kpis_of_days_add_up_and_the_sketch_keeps_its_bound(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(60_000).select(
+        F.concat(F.lit("r"), (F.col("id") % 20_000).cast("string")).alias("repo"), F.lit("CRITICAL").alias("severity"),
+        (F.col("id") % 3 - 1).cast("int").alias("accepted"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") % 10).cast("int")).alias("date"))
+    daily = M.daily_kpis(rows)
+    got = M.kpis_of_days(daily).first()
+    assert got.total_reviews == got.critical_issues == 60_000 and got.acceptance_rate == 0.5
+    assert abs(got.repositories - 20_000) < 3 * 1.04 / 2 ** (M.SKETCH_SIZE / 2) * 20_000
+    part = M.kpis_of_days(daily, "2024-01-03", "2024-01-04").first()
+    exact = rows.filter("date BETWEEN '2024-01-03' AND '2024-01-04'").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("repo").alias("r")).first()
+    assert part.total_reviews == exact.n and abs(part.repositories - exact.r) < 0.05 * exact.r
+    none = M.kpis_of_days(daily, "2030-01-01").first()
+    assert (none.total_reviews, none.repositories, none.acceptance_rate) == (0, 0, 0.0)
+
+
+def test_positions_follow_the_order(spark):
+    from pyspark.sql import functions as F
+
+    from revlens.operators.ordering import with_position
+
+    df = spark.range(500).select((F.col("id") * 7 % 500).alias("k")).repartition(7)
+    got = {r.k: r.position for r in with_position(df, [F.desc("k")]).collect()}
+    assert got == {k: 500 - k for k in range(500)}
+    assert with_position(df.filter("false"), ["k"]).collect() == []
