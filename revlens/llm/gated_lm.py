@@ -459,15 +459,45 @@ def _average(batches):
         yield pa.RecordBatch.from_arrays([pa.array([tokens], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["tokens", "weights"])
 
 
-def _unpacked(column, kind):
-    """(ids, first) of slices of packed token ids, with their row range."""
-    for a, b, body, off in slices(column, 1 << 20):
-        yield a, b, np.frombuffer(body.tobytes(), kind), off // np.dtype(kind).itemsize
+POOL = 1 << 20
+
+
+def pooled(batches, kind, most: int, pool: int = POOL):
+    """(rows, ids, first) of groups of documents from batches (row, packed token ids).
+
+    A group fills ``most`` streams of near equal length: documents longer than a
+    stream of a full group wait for each other, and make groups of their own.
+    """
+    held: dict[bool, list] = {False: [], True: []}
+    size = {False: 0, True: 0}
+
+    def group(long):
+        parts, held[long], size[long] = held[long], [], 0
+        return (np.concatenate([r for r, _, _ in parts]), np.concatenate([x for _, x, _ in parts]),
+                np.concatenate([[0], np.cumsum(np.concatenate([n for _, _, n in parts]))]))
+
+    for batch in batches:
+        rows = np.asarray(batch.column(0))
+        for a, b, body, off in slices(batch.column(1), 1 << 20):
+            ids, first = np.frombuffer(body.tobytes(), kind), off // np.dtype(kind).itemsize
+            n = np.diff(first)
+            for long in (False, True):
+                mine = np.flatnonzero((n * most > pool) == long)
+                if len(mine):
+                    begin = np.cumsum(n[mine]) - n[mine]
+                    at = np.repeat(first[mine] - begin, n[mine]) + np.arange(int(n[mine].sum()))
+                    held[long].append((rows[a:b][mine], ids[at], n[mine]))
+                    size[long] += len(at)
+                if size[long] >= pool * (4 if long else 1):
+                    yield group(long)
+    for long in (False, True):
+        if held[long]:
+            yield group(long)
 
 
 def train(parts: DataFrame, known: Counts, size: int = 16, window: int = 16, most: int = 256, rounds: int = 4,
           rate: float = 0.01) -> Network:
-    """Network from every window of the token ids of a table (id, ids)."""
+    """Network from every window of the token ids of a table (row, id, ids)."""
     net = network(np.concatenate([[known.docs], known.c[:known.softmax]]), known.total, size)
     for k in range(rounds):
         start, step = net, rate * 0.6 ** k
@@ -475,17 +505,16 @@ def train(parts: DataFrame, known: Counts, size: int = 16, window: int = 16, mos
         def run(batches):
             own, tokens = start.filled(start.flat()), 0
             opt = Adam(own, step)
-            for batch in batches:
-                for _, _, ids, first in _unpacked(batch.column(0), known.kind):
-                    learn(own, opt, ids, first, window, most)
-                    tokens += len(ids)
+            for _, ids, first in pooled(batches, known.kind, most):
+                learn(own, opt, ids, first, window, most)
+                tokens += len(ids)
             if tokens:
                 task = TaskContext.get().partitionId()
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([task % GROUPS], pa.int32()), pa.array([task], pa.int32()), pa.array([tokens], pa.int64()),
                      pa.array([own.flat().tobytes()], pa.binary())], ["part", "task", "tokens", "weights"])
 
-        part = parts.where(F.pmod(F.hash("id"), F.lit(rounds)) == k).select("ids")
+        part = parts.where(F.pmod(F.hash("id"), F.lit(rounds)) == k).select("row", "ids")
         sums = (part.mapInArrow(run, "part int, task int, tokens long, weights binary")
                 .repartition(GROUPS, "part").sortWithinPartitions("task").select("tokens", "weights")
                 .mapInArrow(_average, "tokens long, weights binary").collect())  # at most GROUPS models
@@ -542,10 +571,9 @@ def _parts(known: Counts):
 def _scored(net: Network, kind, window: int, most: int):
     """Rows (row, ids) to (row, log10 probability by the network)."""
     def run(batches):
-        for batch in batches:
-            for a, b, ids, first in _unpacked(batch.column(1), kind):
-                logp = likelihood(net, ids, first, window, most) / math.log(10)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(logp)], ["row", "logp"])
+        for rows, ids, first in pooled(batches, kind, most):
+            logp = likelihood(net, ids, first, window, most) / math.log(10)
+            yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(logp)], ["row", "logp"])
 
     return run
 
@@ -561,7 +589,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", softm
     parts = cut(rows.mapInArrow(_parts(known), f"row long, id {id_type}, held_out boolean, n_tokens long, n_known long, "
                                                "base double, share double, ids binary, rest array<struct<word:binary,shape:int,n:long>>"))
     net = train(parts.where(~F.col("held_out")), known, size, window, most, rounds, rate)
-    own = parts.select("row", "ids").mapInArrow(_scored(net, known.kind, 4 * window, most), "row long, logp double")
+    own = parts.select("row", "ids").mapInArrow(_scored(net, known.kind, window, most), "row long, logp double")
     total, discount, unseen = ([float(x) for x in a] for a in (known.total, known.discount, known.unseen))
 
     def by_shape(values):

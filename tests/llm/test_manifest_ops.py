@@ -247,6 +247,19 @@ def test_lookup_with_shared_slots():
     assert G.Lookup(keys[:0])(asked[:3]).tolist() == [-1] * 3
 
 
+def test_pooled_groups_hold_every_document_once():
+    import pyarrow as pa
+    rng = np.random.default_rng(8)
+    docs = [rng.integers(0, 99, n).astype(np.int16) for n in [1, 5, 900, 3, 40, 1200, 2, 7, 33, 800, 1]]
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(a, min(a + 3, 11)), pa.int64()), pa.array([d.tobytes() for d in docs[a:a + 3]], pa.binary())], ["row", "ids"])
+               for a in range(0, 11, 3)]
+    got = {}
+    for rows, ids, first in G.pooled(batches, np.int16, 4, 200):
+        assert len({n > 50 for n in np.diff(first)}) == 1
+        got.update({int(r): ids[a:b].tolist() for r, a, b in zip(rows, first, first[1:])})
+    assert got == {i: d.tolist() for i, d in enumerate(docs)}
+
+
 def lm_rows(n=400, seed=9):
     """Texts with an order to learn: a word's successor is nearly fixed."""
     rng = random.Random(seed)
