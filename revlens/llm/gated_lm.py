@@ -558,7 +558,7 @@ def _parts(known: Counts):
                 packed = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((first * width).astype(np.int32)), pa.py_buffer(ids)])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(row + np.arange(n)), batch.column(0).slice(a, n), batch.column(1).slice(a, n), pa.array(np.diff(first)),
-                     pa.array(known_n), pa.array(np.bincount(doc, base[place], n) + end), pa.array(np.bincount(doc, share[place], n)),
+                     pa.array(known_n), pa.array(np.bincount(doc, base[place], n) + end), pa.array(np.bincount(doc, share[place], n) + 0.0),
                      packed, rest],
                     ["row", "id", "held_out", "n_tokens", "n_known", "base", "share", "ids", "rest"])
                 row += n
