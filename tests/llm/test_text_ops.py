@@ -220,6 +220,33 @@ def test_shards_hold_equal_counts(corpus, empty, tmp_path):
     assert curve_shards(empty, ["lang", "n_chars"]).count() == 0
 
 
+def test_steps_spread_few_values_and_tell_long_prefixes_apart(spark):
+    from revlens.llm.hilbert import _step, quantile_bounds
+    import pandas as pd
+    rows = [(["de", "en", "es", "fr"][i % 4], f"https://example.org/a/long/prefix/{i % 40:02}", i, None) for i in range(400)]
+    df = spark.createDataFrame(rows, "lang string, source string, n long, nothing string").repartition(3)
+    lang, source, n, nothing = quantile_bounds(df, ["lang", "source", "n", "nothing"], 5)
+    assert _step(pd.Series(["de", "en", "es", "fr", None]), lang).tolist()[:4] == [4, 12, 20, 27]
+    names = [f"https://example.org/a/long/prefix/{i:02}" for i in range(40)]
+    steps = _step(pd.Series(names), source)
+    assert (np.diff(steps) >= 0).all() and steps[0] <= 1 and steps[-1] >= 30 and len(set(steps.tolist())) >= 25
+    want = [sorted(r[1] for r in rows)[-(-400 * k // 32) - 1] for k in range(1, 32)]
+    assert source.tolist() == want
+    assert _step(pd.Series([0, 399]), n).tolist() == [0, 31] and _step(pd.Series([None]), nothing).tolist() == [0]
+
+
+def test_equal_texts_stay_together(spark):
+    rows = [(i, f"text {i % 30}" if i < 240 else f"own {i}", ["de", "en", "es", "fr"][i % 4], f"s{i % 7}", i % 50) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    got = curve_shards(docs, ["lang", "source", "n_chars"], shards=8).collect()
+    shards = {}
+    for r in got:
+        shards.setdefault(r.text_crc32, set()).add(r.shard)
+    assert sum(len(s) > 1 for s in shards.values()) <= 7 and max(map(len, shards.values())) == 2
+    counts = np.bincount([r.shard for r in got])
+    assert counts.max() - counts.min() <= 1
+
+
 def test_shards_are_written_whole(spark, corpus, tmp_path):
     docs = corpus.where("doc_id is not null").dropDuplicates(["doc_id"])
     write_shards(docs, curve_shards(docs, ["lang", "n_chars"], shards=4), str(tmp_path / "out"))
