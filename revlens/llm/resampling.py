@@ -34,35 +34,13 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from revlens.llm import hashing as H
 from revlens.llm.common import bound_batches, cut, slices
 from revlens.llm.ranks import positions
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
-
-def words(text: Column) -> Column:
-    return F.regexp_extract_all(F.translate(text, _UPPER, _LOWER), F.lit(WORD), F.lit(0))
-
-
-def _bucket(run: Column, buckets: int) -> Column:
-    return (F.crc32(F.encode(run, "UTF-8")) % buckets).cast("int")
-
-
-def _runs(w: Column, n: int, keep=None) -> Column:
-    """All runs of 1 to n words; ``keep(first, last)`` picks some by their first and last index."""
-    def of(size: int) -> Column:
-        starts = F.when(F.size(w) >= size, F.sequence(F.lit(0), F.size(w) - size)).otherwise(F.array().cast("array<int>"))
-        if keep is not None:
-            starts = F.filter(starts, lambda i: keep(i, i + (size - 1)))
-        return F.transform(starts, lambda i: F.array_join(F.slice(w, i + 1, size), " "))
-    return F.concat(*map(of, range(1, n + 1))) if n > 1 or keep is not None else w
-
-
 # fixed value: the reflected polynomial of CRC-32
 _TABLE = np.arange(256, dtype=np.uint32)
 for _ in range(8):
@@ -80,11 +58,16 @@ def _append(crc: np.ndarray, body: np.ndarray, start: np.ndarray, end: np.ndarra
     crc[order] = state
 
 
-def run_buckets(body: np.ndarray, off: np.ndarray, n: int, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(buckets of all runs of 1 to n words, first run of each text, words of each text) of a slice of texts."""
+def run_buckets(body: np.ndarray, off: np.ndarray, n: int, buckets: int,
+                crossing: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(buckets of all runs of 1 to n words, first run of each text, words of each text) of a slice of texts.
+
+    With ``crossing`` only runs whose first and last word are parted by a line break count.
+    """
     body = H.lower_ascii(body)
     w = H.split_words(body, off, letters=True)
     stop = w.first[1:][w.doc]                                # after the last word of the word's text
+    line = np.searchsorted(np.flatnonzero(body == 10), w.start)
     crc, found, of = np.full(len(w.start), 0xFFFFFFFF, np.uint32), [], []
     place = np.arange(len(w.start))
     for size in range(1, n + 1):
@@ -94,8 +77,9 @@ def run_buckets(body: np.ndarray, off: np.ndarray, n: int, buckets: int) -> tupl
             crc = (crc >> np.uint32(8)) ^ _TABLE[(crc ^ np.uint32(32)) & np.uint32(255)]
         last = place + size - 1
         _append(crc, body, w.start[last], w.end[last])
-        found.append((~crc) % np.uint32(buckets))
-        of.append(w.doc[place])
+        keep = line[place] != line[last] if crossing else slice(None)
+        found.append(((~crc) % np.uint32(buckets))[keep])
+        of.append(w.doc[place][keep])
     doc, bucket = np.concatenate(of), np.concatenate(found).astype(np.int32)
     if n > 1:
         order = np.argsort(doc, kind="stable")
@@ -119,14 +103,17 @@ def _line_rows(n: int, buckets: int):
     return run
 
 
-def crossing_buckets(text: Column, n: int, buckets: int) -> Column:
-    """Buckets of the runs of words that cross a line break."""
-    if n == 1:
-        return F.array().cast("array<int>")
-    by_line = F.transform(F.split(text, "\n", -1), words)
-    line_of = F.flatten(F.transform(by_line, lambda ws, i: F.array_repeat(i, F.size(ws))))
-    runs = _runs(F.flatten(by_line), n, lambda a, b: F.get(line_of, a) != F.get(line_of, b))
-    return F.transform(runs, lambda r: _bucket(r, buckets))
+def _crossing_rows(n: int, buckets: int):
+    """Rows (row, id, digests, text) to (row, id, digests, buckets of the runs that cross a line break)."""
+    def run(batches):
+        for batch in batches:
+            for a, b, body, off in slices(batch.column(3)):
+                bucket, first, _ = run_buckets(body, off, n, buckets, crossing=True)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(i).slice(a, b - a) for i in range(3)]
+                    + [pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(bucket))], ["row", "id", "digests", "buckets"])
+
+    return run
 
 
 def segment(texts: DataFrame, n: int, buckets: int) -> tuple[DataFrame, DataFrame]:
@@ -141,9 +128,11 @@ def segment(texts: DataFrame, n: int, buckets: int) -> tuple[DataFrame, DataFram
              .mapInArrow(_line_rows(n, buckets), "digest binary, occurrences long, n_words long, buckets array<int>")
              .where("n_words > 0"))
     digests = F.transform(F.filter(split, lambda s: s != ""), lambda s: F.unhex(F.sha2(s, 256)))
-    rows = texts.select(F.monotonically_increasing_id().alias("row"), "id", digests.alias("digests"),
-                        crossing_buckets(F.col("text"), n, buckets).alias("buckets"))
-    return rows, lines
+    rows = texts.select(F.monotonically_increasing_id().alias("row"), "id", digests.alias("digests"), "text")
+    if n == 1:
+        return rows.select("row", "id", "digests", F.array().cast("array<int>").alias("buckets")), lines
+    kind = dict(rows.dtypes)["id"]
+    return rows.mapInArrow(_crossing_rows(n, buckets), f"row long, id {kind}, digests array<binary>, buckets array<int>"), lines
 
 
 def bucket_counts(rows: DataFrame, lines: DataFrame) -> dict[int, int]:

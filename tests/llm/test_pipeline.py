@@ -48,7 +48,7 @@ def test_run_is_the_chain_of_stages(spark):
 
 def test_every_operator_has_one_query():
     names = sorted(int(k[2:].split("_")[0]) for k in queries.queries())
-    assert names == list(range(1, 11))
+    assert names == list(range(1, 14))
 
 
 def test_stages_take_odd_rows(spark, corpus, tmp_path):
