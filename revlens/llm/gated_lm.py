@@ -79,18 +79,38 @@ def word_bytes(body: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array
     return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(body[at]))])
 
 
+def _distinct(body: np.ndarray, w: H.Words, pick: np.ndarray):
+    """(hashes, words, shapes, counts) of the distinct ones among some words of a slice."""
+    h, first, n = np.unique(w.hash[pick], return_index=True, return_counts=True)
+    first = pick[first]
+    words = word_bytes(body, w.start[first], w.end[first])
+    edge = np.frombuffer(words.buffers()[1], np.int32)
+    each = H.Words(edge[:-1], edge[1:], first, h, w.first)  # one after the other
+    return h, words, shapes(np.frombuffer(words.buffers()[2], np.uint8), each), n
+
+
 def _count(batches):
-    """(text) to (word, shape, n): the words of each slice with their counts."""
+    """(text) to (word, shape, n): the words of each slice with their counts.  Words of a task's first slice, most of
+    all that come, are added up over the task; in a task words are told apart by their hash."""
+    def rows(words, kind, n):
+        return pa.RecordBatch.from_arrays([words, pa.array(kind.astype(np.int32)), pa.array(n)], ["word", "shape", "n"])
+
+    look = None
     for batch in batches:
         for _, _, body, off in slices(batch.column(0), 2 << 20):
             body = H.lower_ascii(body)
             w = H.split_words(body, off)
-            _, first, n = np.unique(w.hash, return_index=True, return_counts=True)
-            words = word_bytes(body, w.start[first], w.end[first])
-            edge = np.frombuffer(words.buffers()[1], np.int32)
-            each = H.Words(edge[:-1], edge[1:], first, w.hash, w.first)  # the distinct words, one after the other
-            kind = shapes(np.frombuffer(words.buffers()[2], np.uint8), each)
-            yield pa.RecordBatch.from_arrays([words, pa.array(kind.astype(np.int32)), pa.array(n)], ["word", "shape", "n"])
+            pick = np.arange(len(w.hash))
+            if look is None:
+                h, words, kind, total = _distinct(body, w, pick)
+                look = Lookup(h)
+            else:
+                at = look(w.hash)
+                total += np.bincount(at[at >= 0], minlength=len(total))
+                _, *rest = _distinct(body, w, pick[at < 0])
+                yield rows(*rest)
+    if look is not None:
+        yield rows(words, kind, total)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -133,6 +153,9 @@ class Network:
     n_words: int
     w: dict = field(default_factory=dict)
 
+    def __post_init__(self):
+        self.classes = self.class_of(np.arange(self.n_words + SHAPES))
+
     @property
     def n_classes(self) -> int:
         return -(-self.n_words // CLASS) + SHAPES
@@ -266,7 +289,7 @@ def outputs(net: Network, states: np.ndarray, ids: np.ndarray, grads: dict | Non
             p[at, target] -= 1
         return chosen - np.log(total), p
 
-    c = net.class_of(ids)
+    c = net.classes[ids]
     logp, p = softmax(hs, w["c"], c)
     back = None
     if grads is not None:
