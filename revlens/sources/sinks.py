@@ -21,6 +21,12 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+def is_file(spark: SparkSession, path: str) -> bool:
+    """True for a path that is one file, False for a folder, a pattern or nothing."""
+    fs, p = _fs(spark, path)
+    return fs.exists(p) and fs.getFileStatus(p).isFile()
+
+
 def table_versions(spark: SparkSession, base: str) -> list[int]:
     fs, p = _fs(spark, base)
     if not fs.exists(p):

@@ -35,19 +35,18 @@ def run_dir(spark: SparkSession, name: str) -> str:
 
 
 def landing_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
-    """T01 source: Parquet files landing in a folder (``path`` is the folder,
-    or one file name in it, which becomes a file-name filter).
+    """T01 source: Parquet files landing in a folder (``path`` is the folder, whatever
+    its name, or one file, whose name becomes a filter in its folder).
 
     The schema is taken from the files' footers once, then fixed; event-time
     columns stored without a zone are read as UTC timestamps.
     """
-    import os
     schema = spark.read.parquet(path).schema
     r = spark.readStream.schema(schema)
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
-    if path.endswith(".parquet"):
-        folder, name = os.path.split(path.rstrip("/"))
+    if sinks.is_file(spark, path):
+        folder, name = path.rstrip("/").rsplit("/", 1)
         df = r.option("pathGlobFilter", name).parquet(folder)
     else:
         df = r.parquet(path)

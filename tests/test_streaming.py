@@ -152,6 +152,23 @@ def test_alerts_of_review_runs(spark, tmp_path):
     assert got == [("bad", "all files failed", 2, 2), ("early", "all files failed", 1, 1), ("stuck", "not finished", 2, 0)]
 
 
+def test_tables_in_folders_of_several_files(spark, tmp_path, monkeypatch):
+    """A table may be one file or a folder of files that has the table's name."""
+    from revlens.plans import q_streaming
+
+    days = [(i, f"2024-01-0{1 + i % 3} 10:00:00") for i in range(9)]
+    docs = spark.createDataFrame([(i, f"text {i}", f"src{i % 2}") for i, _ in days], "doc_id long, text string, source string")
+    docs.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, i % 2) for i, _ in days], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    events = spark.createDataFrame(days, "event_id long, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    sf = str(tmp_path)
+    monkeypatch.setattr(J, "GOLD_REFRESH", "1 second")
+    assert {r.date: r.issues for r in q_streaming.t04(spark, sf).collect()} == {f"2024-01-0{d}": 3 for d in (1, 2, 3)}
+    for q in (q_streaming.t05, q_streaming.t08):
+        assert {r.repo: (r.total_reviews, r.accepted) for r in q(spark, sf).collect()} == {"src0": (5, 0), "src1": (4, 4)}
+
+
 def test_gold_refresh_trigger(spark):
     q, base = J.run_gold(spark, J.issues_per_day_stream(J.reviews_stream(spark, SF001)), "daily_test", ["date"], J.day_bucket(),
                          trigger=J.GOLD_REFRESH)
