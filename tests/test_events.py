@@ -113,3 +113,12 @@ def test_payload_fields_of_the_wrong_type_are_422(spark, field, value):
     ("pull_request.body", None), ("pull_request.body", "text")])
 def test_payload_fields_read_leniently(spark, field, value):
     assert route_one(spark, payload(**{field: value})).status == "queued"
+
+
+def test_a_filter_on_parsed_fields_does_not_parse_again(spark):
+    df = spark.createDataFrame([(1, "pull_request", "{}", "s")], "delivery_id long, event_name string, body string, signature string")
+    queued = E.route(df, "secret").filter("status = 'queued'").select("delivery_id", "event.action")
+    parsed = E.parse_event(df).filter("schema_ok").filter("event.action = 'opened'").select("delivery_id")
+    for out in (queued, parsed):
+        assert out._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 1
+        assert out.collect() == []

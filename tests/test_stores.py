@@ -172,3 +172,15 @@ def test_alerts_for_prs_whose_files_all_failed(spark, flow):
     assert {r.pr_number for r in alerts} == {p for p in reviewed if p % 2 == 0}
     assert all(r.kind == "alert" and r.repo in r.text for r in alerts)
     assert out["nothing_reviewable"].select(F.count(F.lit(1))).first()[0] >= 0
+
+
+def test_landed_files_are_compressed_and_of_bounded_lines(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(landing, "LINES", 40)
+    rows = spark.range(100).coalesce(1).select(
+        F.col("id").cast("string").alias("delivery_id"), F.lit("ping").alias("event_name"),
+        F.timestamp_seconds("id").alias("received_ts"), F.lit("s").alias("signature"), F.concat(F.lit("a\u00e9\n"), F.col("id")).alias("body"))
+    landing.land(rows, str(tmp_path / "in"))
+    files = [f for f in os.listdir(tmp_path / "in") if f.startswith("part-")]
+    assert len(files) == 3 and all(f.endswith(".gz") for f in files)
+    got = landing.good(landing.read_landed(spark, str(tmp_path / "in"))).select("delivery_id", "received_ts", "body")
+    assert sorted(got.collect()) == sorted(rows.select("delivery_id", "received_ts", "body").collect())
