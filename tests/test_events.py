@@ -122,3 +122,15 @@ def test_a_filter_on_parsed_fields_does_not_parse_again(spark):
     for out in (queued, parsed):
         assert out._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 1
         assert out.collect() == []
+
+
+def test_bodies_that_nearly_fill_the_cores_are_not_shuffled(spark):
+    cores = spark.sparkContext.defaultParallelism
+    df = spark.createDataFrame([(i, "pull_request", "{}", "s") for i in range(2 * cores)],
+                               "delivery_id long, event_name string, body string, signature string")
+    full, one, moved = df.coalesce(max(1, cores - 1)), df.coalesce(1), f"Repartition {cores}, true"
+    for out in (E.parse_event(full), E.route(full, "secret")):
+        assert moved not in out._jdf.queryExecution().optimizedPlan().toString()
+        assert out.filter("json_ok").count() == 2 * cores
+    if cores > 3:
+        assert moved in E.parse_event(one)._jdf.queryExecution().optimizedPlan().toString()
