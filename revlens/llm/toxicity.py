@@ -92,20 +92,24 @@ def fit(rows: list[np.ndarray], label: np.ndarray, weight: np.ndarray, features:
         empty = np.zeros(0, np.int64)
         # a constant score: an infinite margin has no finite bias
         return Machine(empty, 500.0 if share == 1 else -500.0, np.zeros(0), np.zeros((0, rank)))
-    doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    terms, number, count = np.unique(np.concatenate(rows), return_inverse=True, return_counts=True)
-    ones = np.bincount(number, label[doc].astype(float), len(terms))
+    # counted by bucket: sorting all terms of the sample would take several copies of them
+    size = max((int(r.max()) + 1 for r in rows if len(r)), default=0)
+    count, ones = np.zeros(size, np.int32), np.zeros(size, np.int32)
+    for r, one in zip(rows, label):
+        count[r] += 1
+        ones[r] += one
+    terms = np.flatnonzero(count)
+    count, ones = count[terms].astype(np.int64), ones[terms].astype(float)
     n1, n0 = label.sum(), len(label) - label.sum()
     p1, p0 = (ones + 0.5) / (n1 + 1), (count - ones + 0.5) / (n0 + 1)
     z = np.abs(np.log(p1 / p0)) / np.sqrt(1 / (ones + 0.5) + 1 / (count - ones + 0.5))
     order = np.argsort(-np.where(count >= least, z, 0), kind="stable")[:features]
     order = np.sort(order[(count[order] >= least) & (z[order] >= 2)])
     chosen = terms[order]
-    place = np.full(len(terms), -1)
-    place[order] = np.arange(len(order))
-    keep = place[number] >= 0
-    doc, feature = doc[keep], place[number[keep]]
-    first = np.searchsorted(doc, np.arange(len(rows) + 1))
+    place = np.full(size, -1, np.int32)
+    place[chosen] = np.arange(len(chosen))
+    held = [place[r] for r in rows]
+    held = [f[f >= 0] for f in held]
     rng = np.random.default_rng(seed)
     bias = float(np.log(share / (1 - share)))
     w, v = np.zeros(len(chosen)), rng.normal(0, 0.01, (len(chosen), rank))
@@ -116,7 +120,7 @@ def fit(rows: list[np.ndarray], label: np.ndarray, weight: np.ndarray, features:
             part = mixed[a:a + batch]
             x = np.zeros((len(part), len(chosen)))
             for i, d in enumerate(part):
-                x[i, feature[first[d]:first[d + 1]]] = 1
+                x[i, held[d]] = 1
             used = np.flatnonzero(x.any(axis=0))
             x = x[:, used]
             total = x @ v[used]
@@ -171,7 +175,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     got = np.bincount(label, minlength=2)
     weight = np.array([counts.get(k, 0) / max(1, got[k]) for k in (0, 1)], float)[label] if len(label) else np.zeros(0)
     weight = weight / weight.mean() if len(weight) else weight
-    return fit([np.frombuffer(r.terms, np.int32).astype(np.int64) for r in sample], label, weight, **options)
+    return fit([np.frombuffer(r.terms, np.int32) for r in sample], label, weight, **options)
 
 
 def score(docs: DataFrame, model: Machine, text_col: str = "text", out: str = "score") -> DataFrame:

@@ -388,3 +388,17 @@ def test_warc_round_trip(spark, tmp_path):
     assert {(m.file, m.sha256) for m in manifest} == {(m.file, m.sha256) for m in spark.read.json(again + "/_manifest").collect()}
     assert not [p for p in (tmp_path / "w").iterdir() if p.name.startswith("_tmp")]
     assert warc.round_trip(pages.where("false")).count() == 0
+
+
+def test_toxicity_fit_takes_little_more_than_its_rows():
+    import tracemalloc
+    rng = np.random.default_rng(1)
+    rows = [np.unique(rng.integers(0, 100_000, 2000)).astype(np.int32) for _ in range(1500)]
+    label = np.arange(len(rows)) % 2
+    rows = [np.unique(np.append(r, [5, 9] if one else [7])).astype(np.int32) for r, one in zip(rows, label)]
+    tracemalloc.start()
+    model = toxicity.fit(rows, label, np.ones(len(rows)), epochs=2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert {5, 7, 9} <= set(model.chosen.tolist())
+    assert peak < 60 << 20  # the rows are 12 MB
