@@ -64,6 +64,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def reuse_memory() -> None:
+    """Let the process use the memory of freed arrays again.  The C library gives large blocks back at once, so that work
+    on arrays of some hundred KB spends much of its time on new pages; freeing one block of just under its bound of 32 MB
+    (never touched, so without pages) makes it keep up to twice that."""
+    np.empty(31 << 20, np.uint8)
+
+
 def string_buffers(arr) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of an Arrow string array without copying; a null counts as an empty text."""
     if isinstance(arr, pa.ChunkedArray):

@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from revlens.llm import hashing as H
-from revlens.llm.common import bound_batches, cut, slices
+from revlens.llm.common import bound_batches, cut, reuse_memory, slices
 
 CLASS, SHAPES, GROUPS = 64, 24, 64
 END = 0  # its id
@@ -489,6 +489,7 @@ def pooled(batches, kind, most: int, pool: int = POOL):
     A group fills ``most`` streams of near equal length: documents longer than a
     stream of a full group wait for each other, and make groups of their own.
     """
+    reuse_memory()
     held: dict[bool, list] = {False: [], True: []}
     size = {False: 0, True: 0}
 

@@ -2,8 +2,11 @@
 
 import hashlib
 import math
+import os
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter
 
@@ -310,3 +313,22 @@ def test_scores_of_tables_without_training_rows(spark, empty):
     got = G.score(spark.createDataFrame([(i, "a b") for i in ids], "doc_id long, text string")).collect()
     assert {(r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in got} == {(3, 0, 0, 0.0)}
     assert all(r.held_out and r.score < 0 for r in got)
+
+
+def test_windows_of_a_group_use_the_same_memory_again():
+    code = """
+import resource
+import numpy as np, pyarrow as pa
+from revlens.llm import gated_lm as G
+ids = (np.arange(256 * 160) * 7919 % 1000).astype(np.int16)
+rows = pa.array([ids[i:i + 160].tobytes() for i in range(0, len(ids), 160)], pa.binary())
+net = G.network(np.ones(1024), np.ones(G.SHAPES))
+for _, ids, first in G.pooled([pa.RecordBatch.from_arrays([pa.array(range(256)), rows], ["row", "ids"])], np.int16, 256):
+    G.likelihood(net, ids, first, 16, 256)
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_minflt
+    for _ in range(5):
+        G.likelihood(net, ids, first, 16, 256)
+    print((resource.getrusage(resource.RUSAGE_SELF).ru_minflt - before) / 50)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
+    assert float(out.stdout) < 50  # pages a window
