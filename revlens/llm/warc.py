@@ -144,14 +144,20 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
 
 
 _HEADER = re.compile(rb"([^:\r\n]+): ?([^\r\n]*)\r\n")
+_PIECE = 8 << 10
 
 
 def parse_records(data: bytes):
-    """(headers, HTTP headers, payload) of each record of an archive file, member by member."""
-    while data:
-        z = zlib.decompressobj(31)
-        record = z.decompress(data)
-        data = z.unused_data
+    """(headers, HTTP headers, payload) of each record of an archive file, member by member.  A member's end is known only
+    when it is unpacked, and zlib copies what lies behind it: it gets the file in pieces, not all the rest for each member."""
+    data, at = memoryview(data), 0
+    while at < len(data):
+        z, parts = zlib.decompressobj(31), []
+        while at < len(data) and not z.eof:
+            piece = data[at:at + _PIECE]
+            parts.append(z.decompress(piece))
+            at += len(piece) - len(z.unused_data)
+        record = b"".join(parts)
         end = record.index(b"\r\n\r\n")
         head = {k.decode().lower(): v.decode() for k, v in _HEADER.findall(record[:end + 2])}
         block = record[end + 4:end + 4 + int(head["content-length"])]

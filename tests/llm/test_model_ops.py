@@ -390,6 +390,34 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.round_trip(pages.where("false")).count() == 0
 
 
+def test_warc_reader_unpacks_an_archive_in_one_pass(monkeypatch):
+    rng = random.Random(4)
+    sizes = [rng.choice([0, 10, 300, 4000]) for _ in range(600)] + [200_000, 0, 30_000]
+    bodies = [rng.randbytes(n) for n in sizes]  # random bytes stay as long as they are
+    data = b"".join(warc._gzip(warc.record_bytes(i, f"http://a/{i}", b, len(b), hashlib.sha256(b).hexdigest(), None, None,
+                                                 "1970-01-01T00:00:00Z")) for i, b in enumerate(bodies))
+    given, opened = [], zlib.decompressobj
+
+    class Counted:
+        def __init__(self, *args):
+            self.z = opened(*args)
+
+        def decompress(self, piece):
+            given.append(len(piece))
+            return self.z.decompress(piece)
+
+        def __getattr__(self, name):
+            return getattr(self.z, name)
+
+    monkeypatch.setattr(warc.zlib, "decompressobj", Counted)
+    got = [(head["x-page-id"], payload) for head, _, payload in warc.parse_records(data)]
+    assert got == [(str(i), b) for i, b in enumerate(bodies)]
+    assert sum(given) < len(data) + (len(bodies) << 14)  # not all the rest of the file for each member
+    assert max(given) < 1 << 17
+    with pytest.raises(ValueError):
+        list(warc.parse_records(data[:-20_000]))
+
+
 def test_toxicity_fit_takes_little_more_than_its_rows():
     import tracemalloc
     rng = np.random.default_rng(1)
