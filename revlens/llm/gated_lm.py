@@ -79,14 +79,18 @@ def word_bytes(body: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array
     return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(body[at]))])
 
 
+def _shaped(body: np.ndarray, w: H.Words, pick: np.ndarray):
+    """(words, shapes) of some words of a slice."""
+    words = word_bytes(body, w.start[pick], w.end[pick])
+    edge = np.frombuffer(words.buffers()[1], np.int32)
+    each = H.Words(edge[:-1], edge[1:], pick, w.hash[pick], w.first)  # one after the other
+    return words, shapes(np.frombuffer(words.buffers()[2], np.uint8), each)
+
+
 def _distinct(body: np.ndarray, w: H.Words, pick: np.ndarray):
     """(hashes, words, shapes, counts) of the distinct ones among some words of a slice."""
     h, first, n = np.unique(w.hash[pick], return_index=True, return_counts=True)
-    first = pick[first]
-    words = word_bytes(body, w.start[first], w.end[first])
-    edge = np.frombuffer(words.buffers()[1], np.int32)
-    each = H.Words(edge[:-1], edge[1:], first, h, w.first)  # one after the other
-    return h, words, shapes(np.frombuffer(words.buffers()[2], np.uint8), each), n
+    return h, *_shaped(body, w, pick[first]), n
 
 
 def _count(batches):
@@ -166,12 +170,16 @@ class Network:
     def flat(self) -> np.ndarray:
         return np.concatenate([a.ravel() for a in self.w.values()])
 
-    def filled(self, values: np.ndarray) -> "Network":
+    def parts(self, values: np.ndarray) -> dict:
+        """The arrays that lie one after the other in ``values``, without copying."""
         out, i = {}, 0
         for k, a in self.w.items():
-            out[k] = values[i:i + a.size].reshape(a.shape).astype(a.dtype)
+            out[k] = values[i:i + a.size].reshape(a.shape)
             i += a.size
-        return Network(self.n_words, out)
+        return out
+
+    def filled(self, values: np.ndarray) -> "Network":
+        return Network(self.n_words, {k: a.astype(self.w[k].dtype) for k, a in self.parts(values).items()})
 
 
 def network(counts: np.ndarray, shape_counts: np.ndarray, size: int = 16, seed: int = 11, kind=np.float32) -> Network:
@@ -203,13 +211,12 @@ def streams(length: np.ndarray, most: int) -> list[list[int]]:
 
 @dataclass
 class Stream:
-    """Tokens of a batch of documents, laid out stream after stream."""
+    """Tokens of a batch of documents, laid out step after step: the first token of each stream, the second of each ..."""
     ids: np.ndarray       # the token to predict
     before: np.ndarray    # the token before it (the end, at a document's start)
-    start: np.ndarray     # 0 at a document's start, else 1
+    start: np.ndarray     # true at a document's start
     doc: np.ndarray
-    base: np.ndarray      # where each stream begins
-    length: np.ndarray    # falling
+    length: np.ndarray    # of the streams, falling
 
 
 def lay_out(ids: np.ndarray, first: np.ndarray, most: int) -> Stream:
@@ -221,53 +228,75 @@ def lay_out(ids: np.ndarray, first: np.ndarray, most: int) -> Stream:
     begin = np.cumsum(n) - n
     at = np.repeat(first[order] - begin, n) + np.arange(n.sum())
     ids = ids[at]
-    before, start = np.empty_like(ids), np.ones(len(ids), np.float32)
+    before, start = np.empty_like(ids), np.zeros(len(ids), bool)
     before[1:] = ids[:-1]
-    before[begin], start[begin] = END, 0
-    length = np.array([size[s].sum() for s in dealt])
-    return Stream(ids, before, start, np.repeat(order, n), np.cumsum(length) - length, length)
+    before[begin], start[begin] = END, True
+    length = np.array([size[s].sum() for s in dealt], np.int64)
+    # streams that reach a step are the first ones, so their tokens lie there in the order of the streams
+    step = np.arange(len(ids)) - np.repeat(np.cumsum(length) - length, length)
+    reach = np.searchsorted(-length, -np.arange(length[0] if len(length) else 0), "left")
+    place = (np.cumsum(reach) - reach)[step] + np.repeat(np.arange(len(length)), length)
+
+    def by_step(values):
+        out = np.empty_like(values)
+        out[place] = values
+        return out
+
+    return Stream(by_step(ids), by_step(before), by_step(start), by_step(np.repeat(order, n)), length)
 
 
 def steps(s: Stream, window: int):
-    """Windows: for each, the index of every (step, stream) and the number of streams that reach each step."""
-    t, last = 0, int(s.length[0]) if len(s.length) else 0
+    """Windows: for each, the range of its tokens and the number of streams that reach each step."""
+    t, at, last = 0, 0, int(s.length[0]) if len(s.length) else 0
     while t < last:
         active = np.searchsorted(-s.length, -np.arange(t, min(t + window, last)), "left")
-        index = np.concatenate([s.base[:a] + t + k for k, a in enumerate(active.tolist())])
-        yield index, active
-        t += len(active)
+        size = int(active.sum())
+        yield slice(at, at + size), active
+        t, at = t + len(active), at + size
 
 
-def forward(net: Network, s: Stream, index: np.ndarray, active: np.ndarray, h: np.ndarray):
-    """States after each token before the predicted ones, and what going back needs."""
+def _starts(s: Stream, index: slice, edge: list) -> list:
+    """Streams that begin a document, for each step of a window."""
+    at = np.flatnonzero(s.start[index])
+    cuts = np.searchsorted(at, edge).tolist()
+    return [at[a:b] - i if a < b else None for a, b, i in zip(cuts, cuts[1:], edge)]
+
+
+def forward(net: Network, s: Stream, index: slice, active: np.ndarray, h: np.ndarray):
+    """States after each token before the predicted ones, and what going back needs.  Gates and the new state lie apart,
+    so that a step works on whole blocks of memory."""
     w, n = net.w, h.shape[1]
     edge = np.concatenate([[0], np.cumsum(active)]).tolist()
-    x = w["in"][s.before[index]]
-    keep = s.start[index][:, None].astype(h.dtype)
-    prev, gate, new, inner, out = (np.empty((len(index), k), h.dtype) for k in (n, 2 * n, n, n, n))
+    starts = _starts(s, index, edge)
+    rows = edge[-1]
+    embed = np.ascontiguousarray(w["in"].reshape(-1, 3, n).transpose(1, 0, 2))
+    np.negative(embed[:2], out=embed[:2])
+    x = embed.take(s.before[index], axis=1)
     u = w["u"]
-    for i, j in zip(edge, edge[1:]):
+    prev, new, out = (np.empty((rows, n), h.dtype) for _ in range(3))
+    mixed = np.empty((3, rows, n), h.dtype)
+    gate, inner = mixed[:2], mixed[2]
+    for i, j, fresh in zip(edge, edge[1:], starts):
         p = prev[i:j]
-        np.multiply(h[:j - i], keep[i:j], out=p)
-        g = p @ u
-        z = gate[i:j]
-        np.add(x[i:j, :2 * n], g[:, :2 * n], out=z)
-        z *= -1
+        p[:] = h[:j - i]
+        if fresh is not None:
+            p[fresh] = 0
+        mixed[:, i:j] = (p @ u).reshape(-1, 3, n).transpose(1, 0, 2)
+        z = gate[:, i:j]
+        np.subtract(x[:2, i:j], z, out=z)
         np.exp(z, out=z)
         z += 1
         np.reciprocal(z, out=z)
-        q = inner[i:j]
-        q[:] = g[:, 2 * n:]
         m = new[i:j]
-        np.multiply(z[:, n:], q, out=m)
-        m += x[i:j, 2 * n:]
+        np.multiply(z[1], inner[i:j], out=m)
+        m += x[2, i:j]
         np.tanh(m, out=m)
         o = out[i:j]
         np.subtract(p, m, out=o)
-        o *= z[:, :n]
+        o *= z[0]
         o += m
         h = o
-    return out, (prev, gate, new, inner, edge)
+    return out, (prev, gate, new, inner, edge, starts)
 
 
 def outputs(net: Network, states: np.ndarray, ids: np.ndarray, grads: dict | None = None):
@@ -280,85 +309,98 @@ def outputs(net: Network, states: np.ndarray, ids: np.ndarray, grads: dict | Non
         """Log probability of the targets, and the derivatives of the logits; ``Adam`` keeps weights so small that no
         logit overflows."""
         p = h @ weights
-        at = np.arange(len(target))
-        chosen = p[at, target]
+        at = np.arange(len(target)) * p.shape[1] + target
+        flat = p.ravel()
+        chosen = flat.take(at)
         np.exp(p, out=p)
         total = p.sum(axis=1)
         if grads is not None:
             p /= total[:, None]
-            p[at, target] -= 1
-        return chosen - np.log(total), p
+            flat[at] -= 1
+        return np.subtract(chosen, np.log(total, out=total), out=chosen), p
 
-    c = net.classes[ids]
+    c = net.classes.take(ids)
     logp, p = softmax(hs, w["c"], c)
     back = None
     if grads is not None:
         grads["c"] += hs.T @ p
         back = p @ w["c"][:size].T
+    # the tokens with a class of several words, class after class
     order = np.argsort(c, kind="stable")
-    edge = np.searchsorted(c[order], np.arange(net.n_classes - SHAPES + 1)).tolist()
+    edge = np.searchsorted(c.take(order), np.arange(net.n_classes - SHAPES + 1)).tolist()
+    order = order[:edge[-1]]
+    hs, target = hs.take(order, axis=0), ids.take(order) % CLASS
+    within = np.empty(len(order), logp.dtype)
+    more = np.empty((len(order), size), logp.dtype) if grads is not None else None
     for k, (i, j) in enumerate(zip(edge, edge[1:])):
         if i == j:
             continue
         a, b = k * CLASS, min((k + 1) * CLASS, net.n_words)
-        r = order[i:j]
-        own = hs[r]
-        got, p = softmax(own, w["o"][a:b].T, ids[r] - a)
-        logp[r] += got
+        own = hs[i:j]
+        within[i:j], p = softmax(own, w["o"][a:b].T, target[i:j])
         if grads is not None:
             grads["o"][a:b] += p.T @ own
-            back[r] += p @ w["o"][a:b, :size]
+            np.matmul(p, w["o"][a:b, :size], out=more[i:j])
+    logp[order] += within
+    if grads is not None:
+        more += back.take(order, axis=0)
+        back[order] = more
     return logp, back
 
 
-def backward(net: Network, s: Stream, index: np.ndarray, saved, back: np.ndarray, grads: dict) -> None:
+def backward(net: Network, s: Stream, index: slice, saved, back: np.ndarray, grads: dict) -> None:
     """Derivatives through the window's steps, added to ``grads``; the state at its start is given."""
-    prev, gate, new, inner, edge = saved
+    prev, gate, new, inner, edge, starts = saved
     n = prev.shape[1]
     ut = np.ascontiguousarray(net.w["u"].T)
-    z, r = gate[:, :n], gate[:, n:]
+    z, r = gate
     slope = gate * (1 - gate)
-    keep = s.start[index][:, None].astype(prev.dtype)
-    to_z, to_n, to_r = (prev - new) * slope[:, :n], (1 - z) * (1 - new * new), inner * slope[:, n:]
-    dg = np.empty((len(index), 3 * n), prev.dtype)
-    dn = np.empty((len(index), n), prev.dtype)
+    to_z, to_n, to_r = (prev - new) * slope[0], (1 - z) * (1 - new * new), inner * slope[1]
+    dg = np.empty((len(prev), 3 * n), prev.dtype)
+    dn = np.empty((len(prev), n), prev.dtype)
     dh = np.zeros((edge[1], n), prev.dtype)
-    for i, j in zip(edge[-2::-1], edge[:0:-1]):
+    for i, j, fresh in zip(edge[-2::-1], edge[:0:-1], starts[::-1]):
         d = back[i:j]
         d[:min(j - i, len(dh))] += dh[:j - i]
-        np.multiply(d, to_n[i:j], out=dn[i:j])
+        dm = np.multiply(d, to_n[i:j], out=dn[i:j])
         g = dg[i:j]
         np.multiply(d, to_z[i:j], out=g[:, :n])
-        np.multiply(dn[i:j], to_r[i:j], out=g[:, n:2 * n])
-        np.multiply(dn[i:j], r[i:j], out=g[:, 2 * n:])
+        np.multiply(dm, to_r[i:j], out=g[:, n:2 * n])
+        np.multiply(dm, r[i:j], out=g[:, 2 * n:])
         dh = g @ ut
-        dh += d * z[i:j]
-        dh *= keep[i:j]
+        d *= z[i:j]
+        dh += d
+        if fresh is not None:
+            dh[fresh] = 0
     grads["u"] += prev.T @ dg
     dg[:, 2 * n:] = dn
     before = s.before[index]
     order = np.argsort(before, kind="stable")
-    sorted_ids = before[order]
+    sorted_ids = before.take(order)
     cuts = np.flatnonzero(np.concatenate([[True], sorted_ids[1:] != sorted_ids[:-1]]))
-    grads["in"][sorted_ids[cuts]] += np.add.reduceat(dg[order], cuts, axis=0)
+    grads["in"][sorted_ids[cuts]] += np.add.reduceat(dg.take(order, axis=0), cuts, axis=0)
 
 
 class Adam:
+    """Steps of all weights at once; the network's arrays become parts of one."""
+
     def __init__(self, net: Network, rate: float):
         self.net, self.rate, self.t = net, rate, 0
-        self.m, self.v = ({k: np.zeros_like(a) for k, a in net.w.items()} for _ in range(2))
+        self.all = net.flat()
+        net.w = net.parts(self.all)
+        self.grads, self.m, self.v, self.a, self.b = (np.zeros_like(self.all) for _ in range(5))
 
-    def step(self, grads: dict, tokens: int) -> None:
+    def step(self, tokens: int) -> None:
         self.t += 1
         fix = math.sqrt(1 - 0.999 ** self.t) / (1 - 0.9 ** self.t)
-        for k, g in grads.items():
-            g /= tokens
-            np.clip(g, -0.1, 0.1, out=g)
-            m, v = self.m[k], self.v[k]
-            m += (g - m) * 0.1
-            v += (g * g - v) * 0.001
-            self.net.w[k] -= m * (self.rate * fix) / (np.sqrt(v) + 1e-8)
-            g[:] = 0
+        g, m, v, a, b = self.grads, self.m, self.v, self.a, self.b
+        g /= tokens
+        np.clip(g, -0.1, 0.1, out=g)
+        m += np.multiply(np.subtract(g, m, out=a), 0.1, out=a)
+        v += np.multiply(np.subtract(np.multiply(g, g, out=a), v, out=a), 0.001, out=a)
+        np.add(np.sqrt(v, out=a), 1e-8, out=a)
+        self.all -= np.divide(np.multiply(m, self.rate * fix, out=b), a, out=b)
+        g[:] = 0
         for k, bias in (("c", self.net.w["c"][-1]), ("o", self.net.w["o"][:, -1])):
             kept = np.maximum(bias, -20)  # a class or word that is never seen needs no less
             np.clip(self.net.w[k], -2.5, 2.5, out=self.net.w[k])
@@ -369,13 +411,13 @@ def learn(net: Network, opt: Adam, ids: np.ndarray, first: np.ndarray, window: i
     """One pass over a batch of documents."""
     s = lay_out(ids, first, most)
     h = np.zeros((len(s.length), net.w["u"].shape[0]), net.w["u"].dtype)
-    grads = {k: np.zeros_like(a) for k, a in net.w.items()}
+    grads = net.parts(opt.grads)
     for index, active in steps(s, window):
         states, saved = forward(net, s, index, active, h)
         _, back = outputs(net, states, s.ids[index], grads)
         h = states[len(states) - active[-1]:].copy()
         backward(net, s, index, saved, back, grads)
-        opt.step(grads, len(index))
+        opt.step(len(back))
 
 
 def likelihood(net: Network, ids: np.ndarray, first: np.ndarray, window: int, most: int) -> np.ndarray:
@@ -562,13 +604,15 @@ def _parts(known: Counts):
             for a, b, body, off in slices(batch.column(2), 1 << 20):
                 body = H.lower_ascii(body)
                 w = H.split_words(body, off)
-                at, kind, n = look(w.hash), shapes(body, w), b - a
-                ids, first = _tokens(w, at, kind, known)
+                at, n = look(w.hash), b - a
                 hit = np.flatnonzero(at >= 0)
                 doc, place = w.doc[hit], at[hit]
+                far = np.flatnonzero(at < 0)
+                kind = np.empty(len(at), np.int16)
+                kind[hit], kind[far] = known.head_shape[place], _shaped(body, w, far)[1]
+                ids, first = _tokens(w, at, kind, known)
                 known_n = np.bincount(doc, minlength=n) + int(known.docs > 0)
                 # words beyond the head, once for each document
-                far = np.flatnonzero(at < 0)
                 order = far[np.lexsort((w.hash[far], w.doc[far]))]
                 h, d = w.hash[order], w.doc[order]
                 lead = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (d[1:] != d[:-1])])[:len(h)])

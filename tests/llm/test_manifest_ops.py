@@ -241,6 +241,43 @@ def test_derivatives_match_differences():
             assert math.isclose((up - down) / 2e-5, grads[k][at], rel_tol=1e-4, abs_tol=1e-5), k
 
 
+def test_windows_are_ranges_of_the_tokens():
+    docs, ids, first = random_docs(np.random.default_rng(7), 31, 150)
+    s = G.lay_out(ids, first, 6)
+    state, got, at = np.full(6, -1), {}, 0
+    for index, active in G.steps(s, 5):
+        window = s.ids[index]
+        assert np.shares_memory(window, s.ids)  # no copy by an index of single tokens
+        assert len(window) == active.sum()
+        for n in active.tolist():
+            for j in range(n):
+                d = int(s.doc[at + j])
+                assert s.start[at + j] == (d not in got) and (d in got) == (state[j] == d)
+                assert s.before[at + j] == (got[d][-1] if d in got else G.END)
+                got.setdefault(d, []).append(int(s.ids[at + j]))
+                state[j] = d
+            at += n
+    assert [got[d] for d in range(len(docs))] == [d.tolist() for d in docs]
+
+
+def test_a_step_over_all_weights_is_that_of_each_array():
+    net, plain = small_network(), small_network()
+    opt = G.Adam(net, 0.01)
+    rng = np.random.default_rng(8)
+    m, v = ({k: np.zeros_like(a) for k, a in plain.w.items()} for _ in range(2))
+    for t in range(1, 4):
+        for k, g in net.parts(opt.grads).items():
+            given = rng.normal(0, 3, g.shape)
+            g += given
+            given = np.clip(given / 20, -0.1, 0.1)
+            m[k] = m[k] + (given - m[k]) * 0.1
+            v[k] = v[k] + (given ** 2 - v[k]) * 0.001
+            plain.w[k] -= 0.01 * math.sqrt(1 - 0.999 ** t) / (1 - 0.9 ** t) * m[k] / (np.sqrt(v[k]) + 1e-8)
+        opt.step(20)
+        assert not opt.grads.any()
+    assert all(np.allclose(net.w[k], np.clip(a, -20, 20)) for k, a in plain.w.items())
+
+
 def test_lookup_with_shared_slots():
     keys = np.random.default_rng(6).integers(0, 1 << 20, 500).astype(np.uint64)  # all in the first slots
     keys = np.unique(keys)
