@@ -89,8 +89,11 @@ def _shaped(body: np.ndarray, w: H.Words, pick: np.ndarray):
 
 def _distinct(body: np.ndarray, w: H.Words, pick: np.ndarray):
     """(hashes, words, shapes, counts) of the distinct ones among some words of a slice."""
-    h, first, n = np.unique(w.hash[pick], return_index=True, return_counts=True)
-    return h, *_shaped(body, w, pick[first]), n
+    h = w.hash[pick]
+    order = np.argsort(h)
+    h = h[order]
+    lead = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])[:len(h)])
+    return h[lead], *_shaped(body, w, pick[order[lead]]), np.diff(lead, append=len(h))
 
 
 def _count(batches):
@@ -245,11 +248,13 @@ def lay_out(ids: np.ndarray, first: np.ndarray, most: int) -> Stream:
     return Stream(by_step(ids), by_step(before), by_step(start), by_step(np.repeat(order, n)), length)
 
 
-def steps(s: Stream, window: int):
-    """Windows: for each, the range of its tokens and the number of streams that reach each step."""
+def steps(s: Stream, window: int, tokens: int = 0):
+    """Windows: for each, the range of its tokens and the number of streams that reach each step.  Where few streams are
+    left, a window has more steps, as long as it has no more than so many ``tokens``."""
     t, at, last = 0, 0, int(s.length[0]) if len(s.length) else 0
     while t < last:
-        active = np.searchsorted(-s.length, -np.arange(t, min(t + window, last)), "left")
+        n = max(window, tokens // int(np.searchsorted(-s.length, -t, "left"))) if tokens else window
+        active = np.searchsorted(-s.length, -np.arange(t, min(t + n, last)), "left")
         size = int(active.sum())
         yield slice(at, at + size), active
         t, at = t + len(active), at + size
@@ -262,41 +267,51 @@ def _starts(s: Stream, index: slice, edge: list) -> list:
     return [at[a:b] - i if a < b else None for a, b, i in zip(cuts, cuts[1:], edge)]
 
 
-def forward(net: Network, s: Stream, index: slice, active: np.ndarray, h: np.ndarray):
-    """States after each token before the predicted ones, and what going back needs.  Gates and the new state lie apart,
-    so that a step works on whole blocks of memory."""
-    w, n = net.w, h.shape[1]
+def by_gate(net: Network) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of the input and of the state, one block for each gate (those of the two gates' inputs negated) and one
+    for the new state."""
+    n = net.w["u"].shape[0]
+    embed, u = (np.ascontiguousarray(net.w[k].reshape(-1, 3, n).transpose(1, 0, 2)) for k in ("in", "u"))
+    np.negative(embed[:2], out=embed[:2])
+    return embed, u
+
+
+def forward(net: Network, s: Stream, index: slice, active: np.ndarray, h: np.ndarray, weights=None, keep: bool = True):
+    """States after each token before the predicted ones, and with ``keep`` what going back needs.  A step's gates and
+    inner state lie in one block, the same for all steps.  ``weights`` are those of :func:`by_gate`, for many windows
+    with the same network."""
+    n = h.shape[1]
+    embed, u = weights or by_gate(net)
     edge = np.concatenate([[0], np.cumsum(active)]).tolist()
     starts = _starts(s, index, edge)
-    rows = edge[-1]
-    embed = np.ascontiguousarray(w["in"].reshape(-1, 3, n).transpose(1, 0, 2))
-    np.negative(embed[:2], out=embed[:2])
-    x = embed.take(s.before[index], axis=1)
-    u = w["u"]
-    prev, new, out = (np.empty((rows, n), h.dtype) for _ in range(3))
-    mixed = np.empty((3, rows, n), h.dtype)
-    gate, inner = mixed[:2], mixed[2]
+    before = s.before[index].astype(np.intp)
+    out = np.empty((edge[-1], n), h.dtype)
+    prev, new, mixed = (np.empty(x + (edge[-1], n), h.dtype) if keep else None for x in ((), (), (3,)))
+    block = np.empty((3, edge[1], n), h.dtype)
     for i, j, fresh in zip(edge, edge[1:], starts):
-        p = prev[i:j]
-        p[:] = h[:j - i]
+        p = h[:j - i]
         if fresh is not None:
+            p = p.copy()
             p[fresh] = 0
-        mixed[:, i:j] = (p @ u).reshape(-1, 3, n).transpose(1, 0, 2)
-        z = gate[:, i:j]
-        np.subtract(x[:2, i:j], z, out=z)
+        if j - i < block.shape[1]:
+            block = np.empty((3, j - i, n), h.dtype)
+        z, m = block[:2], block[2]
+        x = embed.take(before[i:j], axis=1)
+        np.matmul(p, u, out=block)
+        np.subtract(x[:2], z, out=z)
         np.exp(z, out=z)
         z += 1
         np.reciprocal(z, out=z)
-        m = new[i:j]
-        np.multiply(z[1], inner[i:j], out=m)
-        m += x[2, i:j]
+        if keep:
+            prev[i:j], mixed[:, i:j] = p, block
+            m = new[i:j]
+        np.multiply(z[1], block[2], out=m)
+        m += x[2]
         np.tanh(m, out=m)
-        o = out[i:j]
-        np.subtract(p, m, out=o)
-        o *= z[0]
-        o += m
-        h = o
-    return out, (prev, gate, new, inner, edge, starts)
+        h = np.subtract(p, m, out=out[i:j])
+        h *= z[0]
+        h += m
+    return out, (prev, mixed, new, edge, starts)
 
 
 def outputs(net: Network, states: np.ndarray, ids: np.ndarray, grads: dict | None = None):
@@ -305,10 +320,9 @@ def outputs(net: Network, states: np.ndarray, ids: np.ndarray, grads: dict | Non
     hs = np.ones((len(states), size + 1), states.dtype)
     hs[:, :size] = states
 
-    def softmax(h, weights, target):
-        """Log probability of the targets, and the derivatives of the logits; ``Adam`` keeps weights so small that no
-        logit overflows."""
-        p = h @ weights
+    def softmax(p, target):
+        """Log probability of the targets by logits, which become their derivatives; ``Adam`` keeps weights so small that
+        no logit overflows."""
         at = np.arange(len(target)) * p.shape[1] + target
         flat = p.ravel()
         chosen = flat.take(at)
@@ -317,30 +331,37 @@ def outputs(net: Network, states: np.ndarray, ids: np.ndarray, grads: dict | Non
         if grads is not None:
             p /= total[:, None]
             flat[at] -= 1
-        return np.subtract(chosen, np.log(total, out=total), out=chosen), p
+        return np.subtract(chosen, np.log(total, out=total), out=chosen)
 
-    c = net.classes.take(ids)
-    logp, p = softmax(hs, w["c"], c)
+    c, p = net.classes.take(ids), hs @ w["c"]
+    logp = softmax(p, c)
     back = None
     if grads is not None:
         grads["c"] += hs.T @ p
         back = p @ w["c"][:size].T
-    # the tokens with a class of several words, class after class
+    # the tokens with a class of several words, class after class; classes of one width are one softmax
     order = np.argsort(c, kind="stable")
     edge = np.searchsorted(c.take(order), np.arange(net.n_classes - SHAPES + 1)).tolist()
     order = order[:edge[-1]]
     hs, target = hs.take(order, axis=0), ids.take(order) % CLASS
     within = np.empty(len(order), logp.dtype)
     more = np.empty((len(order), size), logp.dtype) if grads is not None else None
-    for k, (i, j) in enumerate(zip(edge, edge[1:])):
-        if i == j:
+    full = net.n_words // CLASS
+    for classes in (range(full), range(full, len(edge) - 1)):
+        some = [(edge[k], edge[k + 1], k * CLASS, min((k + 1) * CLASS, net.n_words)) for k in classes if edge[k] < edge[k + 1]]
+        if not some:
             continue
-        a, b = k * CLASS, min((k + 1) * CLASS, net.n_words)
-        own = hs[i:j]
-        within[i:j], p = softmax(own, w["o"][a:b].T, target[i:j])
+        at = slice(some[0][0], some[-1][1])
+        first = at.start
+        p = np.empty((at.stop - first, some[0][3] - some[0][2]), logp.dtype)
+        for i, j, a, b in some:
+            np.matmul(hs[i:j], w["o"][a:b].T, out=p[i - first:j - first])
+        within[at] = softmax(p, target[at])
         if grads is not None:
-            grads["o"][a:b] += p.T @ own
-            np.matmul(p, w["o"][a:b, :size], out=more[i:j])
+            for i, j, a, b in some:
+                own = p[i - first:j - first]
+                grads["o"][a:b] += own.T @ hs[i:j]
+                np.matmul(own, w["o"][a:b, :size], out=more[i:j])
     logp[order] += within
     if grads is not None:
         more += back.take(order, axis=0)
@@ -350,12 +371,17 @@ def outputs(net: Network, states: np.ndarray, ids: np.ndarray, grads: dict | Non
 
 def backward(net: Network, s: Stream, index: slice, saved, back: np.ndarray, grads: dict) -> None:
     """Derivatives through the window's steps, added to ``grads``; the state at its start is given."""
-    prev, gate, new, inner, edge, starts = saved
+    prev, mixed, new, edge, starts = saved
     n = prev.shape[1]
     ut = np.ascontiguousarray(net.w["u"].T)
-    z, r = gate
-    slope = gate * (1 - gate)
-    to_z, to_n, to_r = (prev - new) * slope[0], (1 - z) * (1 - new * new), inner * slope[1]
+    gate, (z, r, inner) = mixed[:2], mixed
+    slope, to_n = 1 - gate, new * new
+    np.subtract(1, to_n, out=to_n)
+    to_n *= slope[0]
+    slope *= gate
+    to_z, to_r = slope
+    to_z *= prev - new
+    to_r *= inner
     dg = np.empty((len(prev), 3 * n), prev.dtype)
     dn = np.empty((len(prev), n), prev.dtype)
     dh = np.zeros((edge[1], n), prev.dtype)
@@ -424,9 +450,9 @@ def likelihood(net: Network, ids: np.ndarray, first: np.ndarray, window: int, mo
     """Sum of the log probabilities of each document's tokens, the state carried through the whole document."""
     s = lay_out(ids, first, most)
     h = np.zeros((len(s.length), net.w["u"].shape[0]), net.w["u"].dtype)
-    total = np.zeros(len(first) - 1)
-    for index, active in steps(s, window):
-        states, _ = forward(net, s, index, active, h)
+    total, weights = np.zeros(len(first) - 1), by_gate(net)
+    for index, active in steps(s, window, window * most):
+        states, _ = forward(net, s, index, active, h, weights, keep=False)
         logp, _ = outputs(net, states, s.ids[index])
         h = states[len(states) - active[-1]:]
         total += np.bincount(s.doc[index], logp, len(total))
@@ -613,7 +639,8 @@ def _parts(known: Counts):
                 ids, first = _tokens(w, at, kind, known)
                 known_n = np.bincount(doc, minlength=n) + int(known.docs > 0)
                 # words beyond the head, once for each document
-                order = far[np.lexsort((w.hash[far], w.doc[far]))]
+                order = far[np.argsort(w.hash[far])]
+                order = order[np.argsort(w.doc[order].astype(np.min_scalar_type(n)), kind="stable")]
                 h, d = w.hash[order], w.doc[order]
                 lead = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (d[1:] != d[:-1])])[:len(h)])
                 times = np.diff(np.append(lead, len(h)))

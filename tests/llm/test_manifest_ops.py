@@ -260,6 +260,42 @@ def test_windows_are_ranges_of_the_tokens():
     assert [got[d] for d in range(len(docs))] == [d.tolist() for d in docs]
 
 
+def test_scoring_takes_more_steps_where_few_streams_are_left(monkeypatch):
+    net = small_network()
+    rng = np.random.default_rng(10)
+    docs = [rng.integers(0, net.n_words + G.SHAPES, n).astype(np.int16) for n in [900, 1000, 1100] + [20] * 40]
+    ids, first = np.concatenate(docs), np.concatenate([[0], np.cumsum([len(d) for d in docs])])
+    plain, sizes = G.outputs, []
+
+    def counted(net, states, ids, *rest):
+        sizes.append(len(ids))
+        return plain(net, states, ids, *rest)
+
+    monkeypatch.setattr(G, "outputs", counted)
+    got = G.likelihood(net, ids, first, 16, 20)
+    assert np.allclose(got, [plain_likelihood(net, d) for d in docs])
+    assert max(sizes) <= 16 * 20 and sum(sizes) == len(ids)
+    assert len(sizes) <= 2 * len(ids) / (16 * 20)  # not one for each 16 of 1100 steps
+
+
+def test_classes_of_one_width_are_one_softmax(monkeypatch):
+    net = small_network()  # classes of 64, 64 and 22 words
+    rng = np.random.default_rng(11)
+    ids = rng.integers(0, net.n_words, 500)
+    states = rng.normal(0, 1, (500, 5))
+    plain, rows = np.log, []
+    monkeypatch.setattr(np, "log", lambda x, **given: rows.append(len(x)) or plain(x, **given))
+    logp, _ = G.outputs(net, states, ids)
+    monkeypatch.undo()
+    assert rows == [500, int((ids < 128).sum()), int((ids >= 128).sum())]
+    hs = np.column_stack([states, np.ones(500)])
+    for k in range(3):
+        own = np.flatnonzero(ids // 64 == k)
+        a, b = hs[own] @ net.w["c"], hs[own] @ net.w["o"][64 * k:64 * k + 64].T
+        want = a[:, k] - np.log(np.exp(a).sum(axis=1)) + b[np.arange(len(own)), ids[own] % 64] - np.log(np.exp(b).sum(axis=1))
+        assert np.allclose(logp[own], want)
+
+
 def test_a_step_over_all_weights_is_that_of_each_array():
     net, plain = small_network(), small_network()
     opt = G.Adam(net, 0.01)
