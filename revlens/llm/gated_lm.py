@@ -142,13 +142,14 @@ class Lookup:
     def __call__(self, h: np.ndarray) -> np.ndarray:
         if not len(self.keys):
             return np.full(len(h), -1, np.int32)
-        at = self.table[(h >> self.shift).astype(np.int64)]
-        miss = np.flatnonzero((at < 0) | (self.keys[at] != h))
+        at = self.table[(h >> self.shift).view(np.int64)]
+        miss = np.flatnonzero(self.keys[at] != h)  # at -1 too: the last key has a slot that is not empty
+        shared = miss[at[miss] >= 0]  # no key of an empty slot is in the rest
         at[miss] = -1
         if len(self.rest):
-            p = np.minimum(np.searchsorted(self.rest_keys, h[miss]), len(self.rest) - 1)
-            hit = self.rest_keys[p] == h[miss]
-            at[miss[hit]] = self.rest[p[hit]]
+            p = np.minimum(np.searchsorted(self.rest_keys, h[shared]), len(self.rest) - 1)
+            hit = self.rest_keys[p] == h[shared]
+            at[shared[hit]] = self.rest[p[hit]]
         return at
 
 
@@ -245,7 +246,7 @@ def lay_out(ids: np.ndarray, first: np.ndarray, most: int) -> Stream:
         out[place] = values
         return out
 
-    return Stream(by_step(ids), by_step(before), by_step(start), by_step(np.repeat(order, n)), length)
+    return Stream(by_step(ids), by_step(before), by_step(start), by_step(np.repeat(order.astype(np.int32), n)), length)
 
 
 def steps(s: Stream, window: int, tokens: int = 0):

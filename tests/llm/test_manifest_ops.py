@@ -323,6 +323,21 @@ def test_lookup_with_shared_slots():
     assert G.Lookup(keys[:0])(asked[:3]).tolist() == [-1] * 3
 
 
+def test_lookup_searches_only_shared_slots(monkeypatch):
+    rng = np.random.default_rng(12)
+    keys = np.unique(rng.integers(0, 1 << 62, 5000).astype(np.uint64) * np.uint64(4))
+    look = G.Lookup(keys)
+    asked = np.concatenate([keys + np.uint64(1), keys])  # absent ones lie in slots that are not empty
+    absent = rng.integers(0, 1 << 62, 20000).astype(np.uint64) * np.uint64(4) + np.uint64(1)
+    plain, searched = np.searchsorted, []
+    monkeypatch.setattr(np, "searchsorted", lambda a, v, *rest: searched.append(len(v)) or plain(a, v, *rest))
+    got = look(asked).tolist()
+    assert got == [-1] * len(keys) + list(range(len(keys)))
+    searched.clear()
+    assert (look(absent) == -1).all()
+    assert sum(searched) < len(absent) / 5
+
+
 def test_pooled_groups_hold_every_document_once():
     import pyarrow as pa
     rng = np.random.default_rng(8)
