@@ -84,6 +84,21 @@ def test_short_near_copies_are_linked(spark):
     assert got == up and sum(i != k for i, k in up.items()) > 250
 
 
+def test_sets_of_n_grams_do_not_stay_on_disk(spark, tmp_path, monkeypatch):
+    import os
+    import uuid
+
+    from revlens.llm import common
+    monkeypatch.setattr(common, "scratch", lambda _, name: f"{tmp_path}/{name}-{uuid.uuid4().hex}")
+    # 40 near copies of one text and as many texts of their own
+    rows = [(i, " ".join([f"w{k}" for k in range(60)] + [f"x{i}"])) for i in range(40)]
+    rows += [(100 + i, " ".join(f"y{i}z{k}" for k in range(9))) for i in range(40)]
+    got = {r.doc_id: r.component_id for r in jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    kept = [spark.read.parquet(str(f)) for f in tmp_path.iterdir() if any(x.endswith(".parquet") for x in os.listdir(f))]
+    assert got == {i: 0 if i < 40 else i for i, _ in rows}
+    assert kept and not [t for t in kept if "grams" in t.columns]
+
+
 def test_wide_groups_split_into_row_blocks(spark, monkeypatch):
     import revlens.llm.ngram_jaccard as op
     monkeypatch.setattr(op, "ROW_BLOCK", 4)  # read on the driver: groups of more than four documents are split
