@@ -314,12 +314,24 @@ def route_with_dead_letters(spark: SparkSession, path: str, secret: str | None)
     landed = landing.stream_landed(spark, path)
 
     def split(batch: DataFrame, epoch_id: int):
-        routed = E.route(landing.good(batch).withColumn("delivery_id", F.col("delivery_id").cast("long")), secret)
-        b = routed.select("delivery_id", "status", "http_code", "reason", "body", "landed_file")
-        bad = landing.bad_lines(batch).select(F.lit(None).cast("long").alias("delivery_id"), F.lit("rejected").alias("status"),
-                                              F.lit(400).alias("http_code"), "reason", F.col("line").alias("body"), "landed_file")
-        b.filter("status = 'rejected'").unionByName(bad).write.mode("overwrite").parquet(f"{base}/dead/_e={epoch_id}")
+        # one pass over the landed lines: whatever their end, they are read, verified and parsed once, and staged with the
+        # texts of the dead letters alone
+        line, why = landing.line_and_reason()
+        whole = F.col("_whole")
+        read = (batch.withColumns({"_whole": landing.is_delivery(), "_why": F.when(~landing.is_delivery(), why),
+                                   "_line": F.when(~landing.is_delivery(), line)})
+                .withColumn("delivery_id", F.when(whole, F.col("delivery_id").cast("long"))).drop("_corrupt"))
+        status = F.when(whole, F.col("status")).otherwise(F.lit("rejected"))
+        staged = f"{base}/staged/_e={epoch_id}"
+        (E.route(read, secret)
+         .select("delivery_id", status.alias("status"), F.when(whole, F.col("http_code")).otherwise(F.lit(400)).alias("http_code"),
+                 F.when(whole, F.col("reason")).otherwise(F.col("_why")).alias("reason"),
+                 F.when(status == "rejected", F.when(whole, F.col("body")).otherwise(F.col("_line"))).alias("body"), "landed_file")
+         .write.mode("overwrite").parquet(staged))
+        b = spark.read.parquet(staged)
+        b.filter("status = 'rejected'").write.mode("overwrite").parquet(f"{base}/dead/_e={epoch_id}")
         b.filter("status <> 'rejected'").drop("body").write.mode("overwrite").parquet(f"{base}/ok/_e={epoch_id}")
+        sinks.remove(spark, staged)
 
     run_available_now(landed.writeStream.foreachBatch(split).option("checkpointLocation", f"{base}/_checkpoint"))
     return f"{base}/ok", f"{base}/dead"

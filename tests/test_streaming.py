@@ -195,3 +195,40 @@ def test_a_stream_that_is_not_done_in_time_raises(spark, tmp_path):
     with pytest.raises(TimeoutError):
         run_available_now(writer, timeout_s=1)
     assert not spark.streams.active
+
+
+def test_dead_letters_take_one_pass(spark, tmp_path, monkeypatch):
+    import json
+
+    def line(i, body, good=True):
+        return json.dumps({"delivery_id": str(i), "received_ts": "2024-01-01T00:00:00.000000Z", "event_name": "ping", "body": body,
+                           "signature": hmac_of("s" if good else "other", body)})
+
+    def hmac_of(secret, body):
+        import hashlib
+        import hmac
+        return "sha256=" + hmac.new(secret.encode(), body.encode(), hashlib.sha256).hexdigest()
+
+    (tmp_path / "land").mkdir()
+    lines = [line(1, "{}"), line(2, "{}", False), '{"delivery_id":"3","body":"{', '{"delivery_id":"4"}', line(5, '{"a":1}')]
+    (tmp_path / "land" / "a.json").write_text("\n".join(lines) + "\n")
+    routed, route = spark.sparkContext.accumulator(0), J.E.route
+
+    def counted(deliveries, secret):
+        def run(batches):
+            for b in batches:
+                routed.add(b.num_rows)
+                yield b
+        out = route(deliveries, secret)
+        return out.mapInArrow(run, out.schema)
+
+    monkeypatch.setattr(J.E, "route", counted)
+    ok, dead = J.route_with_dead_letters(spark, str(tmp_path / "land"), "s")
+    assert routed.value == len(lines)                                          # not once for each table
+    got = {(r.delivery_id, r.http_code, r.reason, r.body) for r in spark.read.parquet(dead).collect()}
+    assert {x for x in got if x[0] is not None} == {(2, 401, "signature mismatch", "{}")}
+    assert (None, 400, "not a delivery record", lines[2]) in got
+    assert [(json.loads(b)["delivery_id"], c) for i, c, why, b in got if why == "delivery without id or body"] == [("4", 400)]
+    assert len(got) == 3
+    rows = spark.read.parquet(ok)
+    assert {(r.delivery_id, r.status) for r in rows.collect()} == {(1, "ok"), (5, "ok")} and "body" not in rows.columns
