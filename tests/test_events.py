@@ -134,3 +134,33 @@ def test_bodies_that_nearly_fill_the_cores_are_not_shuffled(spark):
         assert out.filter("json_ok").count() == 2 * cores
     if cores > 3:
         assert moved in E.parse_event(one)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_flow_parses_what_may_be_queued_and_spreads_its_files(spark, tmp_path, monkeypatch):
+    from revlens.plans import review_flow as RF
+
+    good = payload()
+    rows = [(1, "pull_request", good, True, 1), (2, "pull_request", good, False, 2), (3, "ping", good, True, 3), (4, None, good, True, 4),
+            (5, "pull_request", "{bad", True, 5), (6, "pull_request", payload(**{"pull_request.title": "T2"}), True, 6),
+            (7, "issues", None, True, 7), (8, "pull_request", None, True, 8)]
+    signed = [(i, ev, body, "sha256=" + hmac.new((SECRET if ok else "x").encode(), (body or "").encode(), hashlib.sha256).hexdigest(), h)
+              for i, ev, body, ok, h in rows]
+    df = (spark.createDataFrame(signed, "delivery_id long, event_name string, body string, signature string, h int")
+          .selectExpr("delivery_id", "event_name", "body", "signature", "timestamp_seconds(h) AS received_ts"))
+    parsed, parse = spark.sparkContext.accumulator(0), E.parse_event
+
+    def counted(rows):
+        def run(batches):
+            for b in batches:
+                parsed.add(b.num_rows)
+                yield b
+        return parse(rows.mapInArrow(run, rows.schema))
+
+    monkeypatch.setattr(E, "parse_event", counted)
+    got = [(r.repo, r.pr_number, r.pr_title, r.event_id) for r in RF.queued_prs(df, SECRET).collect()]
+    assert got == [("o/r", 7, "T2", 6)] and parsed.value == 3          # 1, 5 and 6
+    prs = RF.queued_prs(df, SECRET)
+    spark.createDataFrame([("o/r", 7, f"f{i}.py", "+x") for i in range(50)], "repo string, pr_number long, filename string, patch string"
+                          ).coalesce(1).write.parquet(str(tmp_path / "files"))
+    files = RF.queued_files(spark.read.parquet(str(tmp_path / "files")), spark.createDataFrame(prs.collect(), prs.schema))
+    assert files.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and files.count() == 50
